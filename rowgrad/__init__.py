@@ -1 +1,8 @@
 """rowgrad: labelled-row preparation and neural-network fitting as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel inside the tasks that use them, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -64,41 +64,47 @@ def _type_suffix(value: Column) -> Column:
     return value.rlike(r"[0-9.]\s*[fFdD]\s*(,|$)")
 
 
-def _width_ok(fields: Column, layout: Layout) -> Column:
-    expected = F.lit(layout.n_features + (1 if layout.kind == CLASS_FIRST else layout.n_out))
-    # Further columns after the last target are ignored, in the multi-target layout only.
-    return F.size(fields) >= expected if layout.kind == MULTI_TARGET else F.size(fields) == expected
-
-
-def _answer_and_features(fields: Column, layout: Layout) -> dict[str, Column]:
-    nf = layout.n_features
+def _typed(fields: Column, layout: Layout) -> Column:
+    """``struct(label|target, features, fits)``; ``fits`` tells whether the line has the right width."""
+    nf, n_fields = layout.n_features, F.size(fields)
     if layout.kind == CLASS_FIRST:
-        return {"label": fields[0].try_cast("int"), "features": features_to_float(F.slice(fields, 2, nf))}
-    return {
-        "target": features_to_float(F.slice(fields, nf + 1, layout.n_out)),
-        "features": features_to_float(F.slice(fields, 1, nf)),
-    }
+        fits = n_fields == nf + 1
+        answer, features = F.get(fields, F.lit(0)).try_cast("int").alias("label"), F.slice(fields, 2, nf)
+    else:
+        # Columns after the last target are ignored where there are several targets.
+        fits = n_fields >= nf + layout.n_out if layout.kind == MULTI_TARGET else n_fields == nf + 1
+        answer, features = features_to_float(F.slice(fields, nf + 1, layout.n_out)).alias("target"), F.slice(fields, 1, nf)
+    return F.struct(answer, features_to_float(features).alias("features"), fits.alias("fits"))
+
+
+def _judged(row: Column, value: Column, layout: Layout) -> Column:
+    """``struct(label|target, features, reason)`` from a typed row."""
+    answer = row[layout.answer]
+    missing = answer.isNull() if layout.answer == "label" else F.exists(answer, F.isnull)
+    missing = missing | F.exists(row["features"], F.isnull)
+    length = F.length(value)
+    reason = (
+        F.when(length.isNull() | (length == 0), "blank")
+        .when(length < layout.min_len, "short")
+        .when(~row["fits"] | missing | _type_suffix(value), "malformed")
+    )
+    if layout.answer == "label":
+        reason = reason.when(~answer.between(0, layout.n_out - 1), "label_range")
+    return F.struct(answer.alias(layout.answer), row["features"].alias("features"), reason.alias("reason"))
 
 
 def classify_lines(df: DataFrame, layout: Layout, value: str = "value") -> DataFrame:
     """Parse every line and say in ``reason`` why it cannot be used (NULL: it can).
 
     Reasons: ``blank``, ``short``, ``malformed``, ``label_range``.
+
+    Array functions over one-element arrays carry the split and the typed row from step to step,
+    and the generator on top keeps later filters and projections above it: a line is split once,
+    however many of its fields are asked for afterwards.
     """
-    answer = layout.answer
-    fields = fields_of(F.col(value))
-    parsed = df.withColumns(_answer_and_features(fields, layout))
-    has_null = F.exists("features", F.isnull)
-    has_null = has_null | (F.col("label").isNull() if answer == "label" else F.exists("target", F.isnull))
-    length = F.length(value)
-    reason = (
-        F.when(length.isNull() | (length == 0), "blank")
-        .when(length < layout.min_len, "short")
-        .when(~_width_ok(fields, layout) | has_null | _type_suffix(F.col(value)), "malformed")
-    )
-    if answer == "label":
-        reason = reason.when(~F.col("label").between(0, layout.n_out - 1), "label_range")
-    return parsed.withColumn("reason", reason)
+    line = F.col(value)
+    typed = F.transform(F.array(fields_of(line)), lambda fields: _typed(fields, layout))
+    return df.select("*", F.inline(F.transform(typed, lambda row: _judged(row, line, layout))))
 
 
 def parse_lines(

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,84 +20,143 @@ from ..functions.optim import Optimizer
 from .gradients import sum_values
 from .params import KEYS
 from .ranking import row_positions
+from .scoring import matrix
 
 _MIN_BLOCK = 1024
 
 
-def apply_log(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order: list[str]) -> DataFrame:
+def apply_log(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order: list[str], total: int | None = None) -> DataFrame:
     """The parameter table after all ``messages`` ``(*order, layer, name, chunk, values)``.
 
-    ``order`` must be a total order of the messages; every message carries all chunks.
+    ``order`` must be a total order of the messages; every message carries all chunks.  ``total``
+    is their number, counted here if not given.
     """
-    seq = row_positions(messages.select(*order, *KEYS, "values"), order, group=KEYS, name="seq").select(*KEYS, "seq", "values")
-    total = seq.agg(F.max("seq")).first()[0]
     if total is None:
+        total = messages.groupBy(*KEYS).count().agg(F.max("count")).first()[0]
+    if not total:
         return table
-    return apply_numbered(table, seq, optimizer, total)
+    seq = row_positions(messages.select(*order, *KEYS, "values"), order, group=KEYS, name="seq").select(*KEYS, "seq", "values")
+    if total <= _MIN_BLOCK:
+        return apply_few(table, seq, optimizer, "seq")
+    return apply_many(table, seq, optimizer, total)
+
+
+def apply_few(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order: str) -> DataFrame:
+    """As ``apply_log`` for so few messages that one task may hold a chunk of all of them."""
+    slots = list(optimizer.slots)
+
+    def fold(key, left, right):
+        values, *run = [_rows(left, c)[0] for c in ["values", *slots]]
+        step = left.column("step")[0].as_py()
+        if right.num_rows:
+            g = _ordered(right, order)
+            after = _running(optimizer, run, g)
+            values = values + _change(optimizer, after, g, step)
+            run, step = [s[-1] for s in after], step + len(g)
+        return _table({**_keys(key), "values": [values], **{n: [s] for n, s in zip(slots, run)}, "step": pa.array([step], pa.int64())})
+
+    schema = f"layer int, name string, chunk int, values array<double>, {_arrays(slots)}, step long"
+    few = messages.select(*KEYS, order, "values")
+    return table.groupBy(*KEYS).cogroup(few.groupBy(*KEYS)).applyInArrow(fold, schema)
 
 
-def apply_numbered(table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: int) -> DataFrame:
+def apply_many(table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: int, block: int | None = None) -> DataFrame:
     """As ``apply_log`` for messages already numbered 1 … ``total`` in ``seq``."""
-    block = max(_MIN_BLOCK, math.isqrt(total) + 1)
+    block = block or max(_MIN_BLOCK, math.isqrt(total) + 1)
     slots = list(optimizer.slots)
-    state = table.select(*KEYS, *slots, "step")
+    by_block = [*KEYS, "block"]
     blocked = seq.withColumn("block", F.floor((F.col("seq") - 1) / block).cast("int"))
-    arrays = ", ".join(f"{s} array<double>" for s in slots)
-    block_schema = f"layer int, name string, chunk int, block int, {arrays}"
-
-    if total <= block:
-        starts = state.withColumn("block", F.lit(0))
-    else:
-
-        def block_slots(key, pdf):
-            rows = _ordered(pdf)
-            run = tuple(np.zeros(rows.shape[1]) for _ in slots)
-            for g in rows:
-                run = optimizer.advance(run, g)
-            return pd.DataFrame([[*key, *run]], columns=[*KEYS, "block", *slots])
-
-        def carry(key, left, right):
-            # the slots each block starts from; one row per block
-            run = tuple(np.asarray(left[s].iloc[0]) for s in slots)
-            rows = []
-            for row in right.sort_values("block").itertuples(index=False):
-                rows.append([*key, row.block, *run, int(left["step"].iloc[0])])
-                run = tuple(d**block * s + np.asarray(getattr(row, n)) for d, s, n in zip(optimizer.decays, run, slots))
-            return pd.DataFrame(rows, columns=[*KEYS, "block", *slots, "step"])
-
-        summaries = blocked.groupBy(*KEYS, "block").applyInPandas(block_slots, block_schema)
-        starts = state.groupBy(*KEYS).cogroup(summaries.groupBy(*KEYS)).applyInPandas(carry, f"{block_schema}, step long")
+    block_schema = f"layer int, name string, chunk int, block int, {_arrays(slots)}"
+
+    def summarize(key, messages):
+        g = _ordered(messages, "seq")
+        run = _running(optimizer, [np.zeros(g.shape[1]) for _ in slots], g)
+        return _table({**_keys(key), **{n: [s[-1]] for n, s in zip(slots, run)}})
+
+    def carry(key, left, right):
+        # the slots that each block starts from; one row per block
+        right = right.sort_by("block")
+        run = [_rows(left, s)[0] for s in slots]
+        starts = [[] for _ in slots]
+        left_behind = [_rows(right, s) for s in slots]
+        for i in range(right.num_rows):
+            for k, (decay, fed) in enumerate(zip(optimizer.decays, left_behind)):
+                starts[k].append(run[k])
+                run[k] = decay**block * run[k] + fed[i]
+        n = right.num_rows
+        columns = {k: pa.array([v.as_py()] * n, v.type) for k, v in zip(KEYS, key)}
+        step = pa.array([left.column("step")[0].as_py()] * n, pa.int64())
+        return _table({**columns, "block": right.column("block").combine_chunks(), **dict(zip(slots, starts)), "step": step})
 
     def run_block(key, left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*KEYS, "block", "change", *slots])
-        run = tuple(np.asarray(left[s].iloc[0]) for s in slots)
-        step = int(left["step"].iloc[0]) + key[3] * block
-        moved = np.zeros(len(run[0]))
-        for i, g in enumerate(_ordered(right), start=1):
-            run = optimizer.advance(run, g)
-            moved += optimizer.change(run, g, step + i, np.sqrt)
-        return pd.DataFrame([[*key, moved, *run]], columns=[*KEYS, "block", "change", *slots])
-
-    schema = f"layer int, name string, chunk int, block int, change array<double>, {arrays}"
-    by_block = [*KEYS, "block"]
-    changes = starts.groupBy(*by_block).cogroup(blocked.groupBy(*by_block)).applyInPandas(run_block, schema)
-    last = F.struct("block", *slots)
-    summed = _sum_changes(changes, last)
-    moved = table.drop(*slots).join(summed, KEYS)
-    return moved.select(
-        *KEYS,
-        F.zip_with("values", "_change", lambda p, c: p + c).alias("values"),
-        *[F.col("_last")[s].alias(s) for s in slots],
-        (F.col("step") + total).alias("step"),
+        g = _ordered(right, "seq")
+        run = _running(optimizer, [_rows(left, s)[0] for s in slots], g)
+        step = left.column("step")[0].as_py() + key[3].as_py() * block
+        return _table({**_keys(key), "change": [_change(optimizer, run, g, step)], **{n: [s[-1]] for n, s in zip(slots, run)}})
+
+    state = table.select(*KEYS, *slots, "step")
+    summaries = blocked.groupBy(*by_block).applyInArrow(summarize, block_schema)
+    starts = state.groupBy(*KEYS).cogroup(summaries.groupBy(*KEYS)).applyInArrow(carry, f"{block_schema}, step long")
+    change_schema = f"layer int, name string, chunk int, block int, change array<double>, {_arrays(slots)}"
+    changes = starts.groupBy(*by_block).cogroup(blocked.groupBy(*by_block)).applyInArrow(run_block, change_schema)
+
+    ends = changes.groupBy(*KEYS).agg(F.max_by(F.struct(*slots), "block").alias("_last"))
+    moved = sum_values(changes.select(*KEYS, F.col("change").alias("values"), F.lit(1).alias("n_rows")), [])
+    moved = moved.select(*KEYS, F.col("values").alias("_change"))
+    return (
+        table.drop(*slots)
+        .join(moved, KEYS)
+        .join(ends, KEYS)
+        .select(
+            *KEYS,
+            F.zip_with("values", "_change", lambda p, c: p + c).alias("values"),
+            *[F.col("_last")[s].alias(s) for s in slots],
+            (F.col("step") + total).alias("step"),
+        )
     )
 
 
-def _ordered(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf.sort_values("seq")["values"].to_list())
+def _arrays(names: list[str]) -> str:
+    return ", ".join(f"{n} array<double>" for n in names)
 
 
-def _sum_changes(changes: DataFrame, last) -> DataFrame:
-    ends = changes.groupBy(*KEYS).agg(F.max_by(last, "block").alias("_last"))
-    moved = sum_values(changes.select(*KEYS, F.col("change").alias("values"), F.lit(1).alias("n_rows")), [])
-    return moved.select(*KEYS, F.col("values").alias("_change")).join(ends, KEYS)
+def _keys(key) -> dict[str, pa.Array]:
+    return {k: pa.array([v.as_py()], v.type) for k, v in zip([*KEYS, "block"], key)}
+
+
+def _table(columns: dict) -> pa.Table:
+    doubles = pa.list_(pa.float64())
+    return pa.table({k: pa.array(v, doubles) if isinstance(v, list) else v for k, v in columns.items()})
+
+
+def _rows(table: pa.Table, column: str) -> np.ndarray:
+    values = table.column(column).combine_chunks()
+    return matrix(values, len(values[0]) if len(values) else 0)
+
+
+def _ordered(table: pa.Table, order: str) -> np.ndarray:
+    return _rows(table.sort_by(order), "values")
+
+
+def _running(optimizer: Optimizer, start: list[np.ndarray], g: np.ndarray) -> list[np.ndarray]:
+    """The slots after each of the gradients in the rows of ``g``.
+
+    ``s_i = decay * s_(i-1) + fed_i`` is summed by doubling: after a pass each row holds what the
+    last 1, 2, 4, … gradients left behind.
+    """
+    out = []
+    fed = optimizer.advance([np.zeros_like(s) for s in start], g)
+    for s0, decay, s in zip(start, optimizer.decays, fed):
+        s[0] += decay * s0
+        reach = 1
+        while reach < len(s):
+            s[reach:] += decay**reach * s[:-reach]
+            reach *= 2
+        out.append(s)
+    return out
+
+
+def _change(optimizer: Optimizer, run: list[np.ndarray], g: np.ndarray, step: int) -> np.ndarray:
+    """Summed parameter changes of the gradients in ``g`` after ``step`` earlier ones."""
+    steps = step + np.arange(1.0, len(g) + 1)[:, None]
+    return optimizer.change(run, g, steps, np.sqrt).sum(axis=0)

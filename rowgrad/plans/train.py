@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.batching import BatchPlan, assign_batches, cell_offsets, cells_per_part, warmup_slices, with_cells
 from ..operators.evaluate import evaluate
 from ..operators.gradients import batch_weight, collect_gradient, gradient_sum, group_gradients
-from ..operators.message_log import apply_numbered
+from ..operators.message_log import apply_few
 from ..operators.network import ModelSpec
 from ..operators.params import Parameters, collect_params, load_params, save_params, to_table
 from ..operators.ranking import without_first_rows
@@ -65,9 +65,8 @@ def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch
     if dropout_seed is not None:
         sliced = sliced.withColumn("row_hash", F.xxhash64(*key))
     sample = materialize(sliced.repartition("slice_id"), "warmup", ("slice_id",))
-    slices = [r[0] for r in sample.select("slice_id").distinct().orderBy("slice_id").collect()]
     fit = Fit(params)
-    for step in slices:
+    for step in range(-(-sample.count() // batch_size)):
         batch = sample.filter(F.col("slice_id") == step)
         salt = None if dropout_seed is None else dropout_seed + step
         total = gradient_sum(batch, model, fit.params.values, weight=batch_weight(model, F.col("batch_rows")), dropout_salt=salt)
@@ -172,7 +171,7 @@ def fit_rounds(
             if mode == MEAN:
                 fit.params = _mean_update(batch, model, fit.params, pushes, salt)
             else:
-                fit.params = _sequential_update(batch, model, fit.params, pushes, salt)
+                fit.params = _sequential_update(batch, model, fit.params, salt)
             step += 1
             if eval_df is not None and step % eval_every == 0:
                 fit.record("train", step, measure(eval_df, model, fit.params))
@@ -187,13 +186,11 @@ def _mean_update(batch: DataFrame, model: ModelSpec, params: Parameters, pushes:
     return params.updated(collect_gradient(total, model), model.optimizer)
 
 
-def _sequential_update(batch: DataFrame, model: ModelSpec, params: Parameters, pushes: int, salt: int | None) -> Parameters:
+def _sequential_update(batch: DataFrame, model: ModelSpec, params: Parameters, salt: int | None) -> Parameters:
     spark = batch.sparkSession
     pushed = group_gradients(batch, model, params.values, salt)
-    # Parts without rows in this round push nothing; ranks among at most n_parts numbers.
-    order = F.row_number().over(Window.partitionBy("layer", "name", "chunk").orderBy("part_id"))
-    seq = pushed.select("layer", "name", "chunk", order.alias("seq"), "values")
-    return collect_params(apply_numbered(to_table(spark, model, params), seq, model.optimizer, pushes), model)
+    # one message per logical partition, applied in part_id order
+    return collect_params(apply_few(to_table(spark, model, params), pushed, model.optimizer, "part_id"), model)
 
 
 def _restore(spark: SparkSession, model: ModelSpec, path: str | None, fit: Fit) -> tuple[int, int]:

@@ -119,9 +119,10 @@ def run_updates(
         seen = before.select("received").first()[0]
         judged = with_acceptance(batch, max_age_s)
         lead = (F.col("layer") == 0) & (F.col("name") == "W") & (F.col("chunk") == 0)
-        received = seen + judged.filter(lead).count()
+        came, taken = judged.filter(lead).agg(F.count(F.lit(1)), F.count_if("accepted")).first()
+        received = seen + came
         accepted = judged.filter("accepted").drop("accepted", "age_us")
-        after = apply_log(before.drop("received"), accepted, optimizer, order)
+        after = apply_log(before.drop("received"), accepted, optimizer, order, taken)
         snapshots.write_batch(after.withColumn("received", F.lit(received).cast("long")), path, batch_id)
         if on_evaluate is not None and received // eval_every > seen // eval_every:
             on_evaluate(snapshots.read_batch(spark, path, batch_id), received)
