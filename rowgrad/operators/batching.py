@@ -15,7 +15,7 @@ from ..session import join_small
 from .ranking import first_keys
 
 _HASH_BITS = 60
-_CELL_ROWS = 200_000  # rows one ranking task is meant to see
+_CELL_ROWS = 50_000  # rows one ranking task is meant to see
 _MAX_CELLS = 500_000  # bound of the offsets table that is joined back
 
 
@@ -111,6 +111,9 @@ def assign_batches(df: DataFrame, plan: BatchPlan, epoch: int = 0, cells: int |
         place, size = F.lit(0), F.col("part_rows")
         batch = F.lit(0)
     else:
+        if cells > 1:
+            # as many tasks as there are ranges, whatever the session's number of shuffle partitions
+            joined = joined.repartition(cells * plan.n_parts, "cell", "part_id")
         order = Window.partitionBy("cell", "part_id").orderBy("row_hash", *plan.key)
         place, size = F.row_number().over(order) - 1 + F.col("cell_start"), F.lit(plan.batch_size)
         batch = F.floor(place / size)

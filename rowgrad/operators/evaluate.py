@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +23,13 @@ def error_of(model: ModelSpec) -> Column:
     return losses.mse(F.col("scores"), F.col("target"))
 
 
-def evaluate(df: DataFrame, model: ModelSpec, params: list[np.ndarray]) -> DataFrame:
+def evaluate(df: DataFrame, model: ModelSpec, params: list[np.ndarray] | Broadcast) -> DataFrame:
     """One row ``(n, error)`` over all rows of ``df``."""
     scored = score(df, model, params, keep=[model.answer])
     return scored.agg(F.count(F.lit(1)).alias("n"), error_of(model).alias("error"))
 
 
-def partition_errors(batched: DataFrame, model: ModelSpec, params: list[np.ndarray], first_batch_only: bool = False) -> DataFrame:
+def partition_errors(batched: DataFrame, model: ModelSpec, params: list[np.ndarray] | Broadcast, first_batch_only: bool = False) -> DataFrame:
     """``(part_id, n, error)`` per logical partition, over all its rows or its first batch."""
     rows = batched.filter(F.col("batch_id") == 0) if first_batch_only else batched
     scored = score(rows, model, params, keep=["part_id", model.answer])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,11 @@ from pyspark.sql import types as T
 
 from .network import MSE, ModelSpec, dropout_mask, row_factors, weighted_gradient
 from .params import KEYS, chunk_arrays, chunk_keys, from_chunks
-from .scoring import matrix, row_blocks
+from .scoring import matrix, row_blocks, share
 
 _HELD_BYTES = 256 * 1024 * 1024  # partial sums a task keeps before it hands them on
+_LARGE_MODEL_BYTES = 8 * 1024 * 1024
+_TASK_ROWS = 512  # below this, handing on a large model's sum takes longer than computing it
 
 
 def batch_weight(model: ModelSpec, batch_rows: Column | None = None) -> Column:
@@ -30,24 +33,41 @@ def batch_weight(model: ModelSpec, batch_rows: Column | None = None) -> Column:
     return F.lit(1.0)
 
 
+def task_limit(df: DataFrame, model: ModelSpec, rows: int | None = None) -> int | None:
+    """Most tasks a gradient job should have, or None where their number does not matter.
+
+    Every task hands on a sum as large as the model.  For large models that is only worth it for
+    enough rows, and never for more than two tasks per core at a time.
+    """
+    if model.size_bytes < _LARGE_MODEL_BYTES:
+        return None
+    limit = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return limit if rows is None else max(1, min(limit, -(-rows // _TASK_ROWS)))
+
+
 def gradient_partials(
     df: DataFrame,
     model: ModelSpec,
-    params: list[np.ndarray],
+    params: list[np.ndarray] | Broadcast,
     by: list[str],
     weight: Column,
     dropout_salt: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Partial sums ``(*by, layer, name, chunk, values, n_rows)``, several per group and task.
 
     ``by`` holds int columns.  With ``dropout_salt`` the last hidden layer drops units; the mask
-    depends on ``row_hash`` and the salt, so a repeated task draws the same one.
+    depends on ``row_hash`` and the salt, so a repeated task draws the same one.  ``rows``, if
+    known, keeps the number of tasks in proportion (see ``task_limit``).
     """
     answer = model.answer
     drop = dropout_salt is not None and model.keep_prob < 1.0
     extra = ["row_hash"] if drop else []
     source = df.select(*[F.col(b).cast("int").alias(b) for b in by], *extra, answer, "features", weight.cast("double").alias("_w"))
-    shared = df.sparkSession.sparkContext.broadcast(params)
+    limit = task_limit(df, model, rows)
+    if limit is not None:
+        source = source.coalesce(limit)
+    shared = share(df, params)
     keys = chunk_keys(model)
     most_groups = max(1, _HELD_BYTES // model.size_bytes)
     schema = T.StructType(
@@ -107,10 +127,10 @@ def sum_values(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by, *KEYS).agg(total.alias("values"), F.sum("n_rows").alias("n_rows"))
 
 
-def gradient_sum(df, model, params, by=(), weight: Column | None = None, dropout_salt: int | None = None) -> DataFrame:
+def gradient_sum(df, model, params, by=(), weight: Column | None = None, dropout_salt=None, rows: int | None = None) -> DataFrame:
     """Weighted gradient sum per group: ``(*by, layer, name, chunk, values, n_rows)``."""
     weight = F.lit(1.0) if weight is None else weight
-    return sum_values(gradient_partials(df, model, params, list(by), weight, dropout_salt), list(by))
+    return sum_values(gradient_partials(df, model, params, list(by), weight, dropout_salt, rows), list(by))
 
 
 def batch_gradients(batched: DataFrame, model, params, dropout_salt=None) -> DataFrame:
@@ -118,10 +138,10 @@ def batch_gradients(batched: DataFrame, model, params, dropout_salt=None) -> Dat
     return gradient_sum(batched, model, params, ["part_id", "batch_id"], batch_weight(model, F.col("batch_rows")), dropout_salt)
 
 
-def group_gradients(batched: DataFrame, model, params, dropout_salt=None) -> DataFrame:
+def group_gradients(batched: DataFrame, model, params, dropout_salt=None, rows: int | None = None) -> DataFrame:
     """What each push carries: the mean over the *batches* of a group, short ones counting in full."""
     weight = batch_weight(model, F.col("batch_rows")) / F.col("group_batches")
-    return gradient_sum(batched, model, params, ["part_id", "group_id"], weight, dropout_salt)
+    return gradient_sum(batched, model, params, ["part_id", "group_id"], weight, dropout_salt, rows)
 
 
 def mean_over_batches(gradients: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.optim import Optimizer
@@ -41,6 +41,14 @@ def apply_log(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order
     return apply_many(table, seq, optimizer, total)
 
 
+def apply_pushed(table: DataFrame, pushed: DataFrame, optimizer: Optimizer, order: str, total: int) -> DataFrame:
+    """As ``apply_log`` for one message per logical partition, ``total`` of them, ordered by one column."""
+    if total <= _MIN_BLOCK:
+        return apply_few(table, pushed, optimizer, order)
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(order))
+    return apply_many(table, pushed.select(*KEYS, place.alias("seq"), "values"), optimizer, total)
+
+
 def apply_few(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order: str) -> DataFrame:
     """As ``apply_log`` for so few messages that one task may hold a chunk of all of them."""
     slots = list(optimizer.slots)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,10 +33,15 @@ def row_blocks(batches, rows: int):
             yield batch.slice(start, rows)
 
 
-def score(df: DataFrame, model: ModelSpec, params: list[np.ndarray], keep: list[str]) -> DataFrame:
+def share(df: DataFrame, params: list[np.ndarray] | Broadcast) -> Broadcast:
+    """Parameters for the tasks; a caller that reuses or frees the broadcast makes it itself."""
+    return params if isinstance(params, Broadcast) else df.sparkSession.sparkContext.broadcast(params)
+
+
+def score(df: DataFrame, model: ModelSpec, params: list[np.ndarray] | Broadcast, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``scores``; dropout is off.  Everything else is pruned before Python."""
     source = df.select(*keep, "features")
-    shared = df.sparkSession.sparkContext.broadcast(params)
+    shared = share(df, params)
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
     def run(batches):

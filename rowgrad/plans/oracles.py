@@ -337,7 +337,8 @@ ONE_HOT = ", ".join(f"CASE WHEN label = {i} THEN 1 ELSE 0 END AS c{i}" for i in
 
 
 def _epoch(epoch: int) -> str:
-    part = f"CAST(({hashed('event_id', SEED + epoch)}) % 8 AS INTEGER)"
+    n_parts = "(SELECT greatest(8, (count(*) + 999999) // 1000000) FROM events)"
+    part = f"CAST(({hashed('event_id', SEED + epoch)}) % {n_parts} AS INTEGER)"
     return f"SELECT {epoch} AS epoch, event_id, {part} AS part_id, {part} AS task_id FROM events"
 
 

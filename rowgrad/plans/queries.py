@@ -190,8 +190,13 @@ def warmup_slices_count_skipped(spark, d):
 
 
 def epoch_repartition(spark, d):
+    events = _events(spark, d).select("event_id")
+    # a task gets about a million rows at most
+    n_parts = max(8, -(-events.count() // 1_000_000))
+    plan = BatchPlan(("event_id",), n_parts, batch_size=50, seed=SEED, hashing="md5")
+
     def one(epoch):
-        moved = batching.redistribute(_events(spark, d).select("event_id"), EVENT_PLAN, epoch)
+        moved = batching.redistribute(events, plan, epoch)
         return moved.select(F.lit(epoch).alias("epoch"), "event_id", "part_id", F.spark_partition_id().alias("task_id"))
 
     return one(0).unionByName(one(1))

@@ -13,17 +13,18 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.batching import BatchPlan, assign_batches, cell_offsets, cells_per_part, warmup_slices, with_cells
 from ..operators.evaluate import evaluate
 from ..operators.gradients import batch_weight, collect_gradient, gradient_sum, group_gradients
-from ..operators.message_log import apply_few
+from ..operators.message_log import apply_pushed
 from ..operators.network import ModelSpec
 from ..operators.params import Parameters, collect_params, load_params, save_params, to_table
 from ..operators.ranking import without_first_rows
-from ..session import materialize, scratch_path
+from ..session import discard, materialize, scratch_path
 from ..sources.sinks import CURVE_SCHEMA
 
 log = logging.getLogger("rowgrad")
@@ -51,8 +52,22 @@ def training_columns(df: DataFrame, model: ModelSpec, key: tuple[str, ...]) -> D
     return df.select(*key, model.answer, "features")
 
 
-def measure(df: DataFrame, model: ModelSpec, params: Parameters) -> float:
-    return evaluate(df, model, params.values).first()["error"]
+def measure(df: DataFrame, model: ModelSpec, params: Parameters | Broadcast) -> float:
+    values = params if isinstance(params, Broadcast) else params.values
+    return evaluate(df, model, values).first()["error"]
+
+
+class _Shared:
+    """The broadcast of the current parameters; the one before it is freed when they change."""
+
+    def __init__(self, spark: SparkSession, params: Parameters):
+        self.context = spark.sparkContext
+        self.values = self.context.broadcast(params.values)
+
+    def change(self, params: Parameters) -> None:
+        # every job that used the old one has delivered its result
+        self.values.destroy()
+        self.values = self.context.broadcast(params.values)
 
 
 def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch_size: int, params: Parameters, dropout_seed: int | None = None) -> Fit:
@@ -64,14 +79,21 @@ def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch
     sliced = sliced.withColumn("batch_rows", F.count(F.lit(1)).over(Window.partitionBy("slice_id")))
     if dropout_seed is not None:
         sliced = sliced.withColumn("row_hash", F.xxhash64(*key))
-    sample = materialize(sliced.repartition("slice_id"), "warmup", ("slice_id",))
+    spark = df.sparkSession
+    path = scratch_path(spark, "warmup")
+    sample = materialize(sliced.repartition("slice_id"), "warmup", ("slice_id",), path)
     fit = Fit(params)
+    shared = _Shared(spark, params)
     for step in range(-(-sample.count() // batch_size)):
         batch = sample.filter(F.col("slice_id") == step)
         salt = None if dropout_seed is None else dropout_seed + step
-        total = gradient_sum(batch, model, fit.params.values, weight=batch_weight(model, F.col("batch_rows")), dropout_salt=salt)
+        weight = batch_weight(model, F.col("batch_rows"))
+        total = gradient_sum(batch, model, shared.values, weight=weight, dropout_salt=salt, rows=batch_size)
         fit.params = fit.params.updated(collect_gradient(total, model), model.optimizer)
-        fit.record("warmup", step + 1, measure(batch, model, fit.params))
+        shared.change(fit.params)
+        fit.record("warmup", step + 1, measure(batch, model, shared.values))
+    shared.values.destroy()
+    discard(spark, path)
     return fit
 
 
@@ -94,6 +116,12 @@ class EpochTable:
         needed = (r + 1) * self.plan.push_every if drop_partial else r * self.plan.push_every + 1
         return int((self.part_batches() >= needed).sum())
 
+    def rows_in_round(self, r: int) -> int:
+        if self.plan.batch_size == 0:
+            return int(self.part_rows.sum())
+        size = self.plan.batch_size * self.plan.push_every
+        return int(np.clip(self.part_rows - r * size, 0, size).sum())
+
     def rounds(self, drop_partial: bool) -> int:
         most = int(self.part_batches().max(initial=0))
         return most // self.plan.push_every if drop_partial else -(-most // self.plan.push_every)
@@ -162,35 +190,38 @@ def fit_rounds(
     fit = Fit(params)
     epoch_path = scratch_path(spark, "epochs")
     first_epoch, step = _restore(spark, model, snapshot_path, fit)
+    shared = _Shared(spark, fit.params)
     for epoch in range(first_epoch, epochs):
         table = write_epoch(rows, plan, epoch, epoch_path, total_rows)
+        salt = None if dropout_seed is None else dropout_seed + epoch
         for r in range(table.rounds(drop_partial_groups)):
-            pushes = table.parts_in_round(r, drop_partial_groups)
-            batch = table.round_rows(r, drop_partial_groups)
-            salt = None if dropout_seed is None else dropout_seed + epoch
-            if mode == MEAN:
-                fit.params = _mean_update(batch, model, fit.params, pushes, salt)
-            else:
-                fit.params = _sequential_update(batch, model, fit.params, salt)
+            update = _mean_update if mode == MEAN else _sequential_update
+            fit.params = update(table, r, drop_partial_groups, model, fit.params, shared.values, salt)
+            shared.change(fit.params)
             step += 1
             if eval_df is not None and step % eval_every == 0:
-                fit.record("train", step, measure(eval_df, model, fit.params))
+                fit.record("train", step, measure(eval_df, model, shared.values))
         if snapshot_path is not None:
             save_params(to_table(spark, model, fit.params).withColumn("rounds", F.lit(step)), f"{snapshot_path}/epoch={epoch}")
+    shared.values.destroy()
+    discard(spark, epoch_path)
     return fit
 
 
-def _mean_update(batch: DataFrame, model: ModelSpec, params: Parameters, pushes: int, salt: int | None) -> Parameters:
-    weight = batch_weight(model, F.col("batch_rows")) / (F.col("group_batches") * pushes)
-    total = gradient_sum(batch, model, params.values, weight=weight, dropout_salt=salt)
+def _mean_update(table: EpochTable, r: int, drop_partial: bool, model: ModelSpec, params: Parameters, shared: Broadcast, salt: int | None) -> Parameters:
+    """One update by the mean of what the partitions push."""
+    weight = batch_weight(model, F.col("batch_rows")) / (F.col("group_batches") * table.parts_in_round(r, drop_partial))
+    rows = table.round_rows(r, drop_partial)
+    total = gradient_sum(rows, model, shared, weight=weight, dropout_salt=salt, rows=table.rows_in_round(r))
     return params.updated(collect_gradient(total, model), model.optimizer)
 
 
-def _sequential_update(batch: DataFrame, model: ModelSpec, params: Parameters, salt: int | None) -> Parameters:
-    spark = batch.sparkSession
-    pushed = group_gradients(batch, model, params.values, salt)
-    # one message per logical partition, applied in part_id order
-    return collect_params(apply_few(to_table(spark, model, params), pushed, model.optimizer, "part_id"), model)
+def _sequential_update(table: EpochTable, r: int, drop_partial: bool, model: ModelSpec, params: Parameters, shared: Broadcast, salt: int | None) -> Parameters:
+    """One update per partition, in ``part_id`` order."""
+    rows = table.round_rows(r, drop_partial)
+    pushed = group_gradients(rows, model, shared, salt, table.rows_in_round(r))
+    start, pushes = to_table(rows.sparkSession, model, params), table.parts_in_round(r, drop_partial)
+    return collect_params(apply_pushed(start, pushed, model.optimizer, "part_id", pushes), model)
 
 
 def _restore(spark: SparkSession, model: ModelSpec, path: str | None, fit: Fit) -> tuple[int, int]:

@@ -59,6 +59,14 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), pa
     return df.sparkSession.read.schema(", ".join(fields)).parquet(target).select(*df.columns)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more; other paths are left alone."""
+    if not path.startswith(f"{shared_dir(spark)}/rowgrad/"):
+        raise ValueError(f"{path} is no scratch path")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str] | str, rows: int, row_bytes: int = 64, how: str = "inner") -> DataFrame:
     """Join with a side of at most ``rows`` rows: broadcast under the limit, else Spark's own choice."""
     if rows * row_bytes <= BROADCAST_LIMIT_BYTES:

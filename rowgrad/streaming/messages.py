@@ -45,8 +45,8 @@ def count_by_acceptance(messages: DataFrame, max_age_s: float) -> DataFrame:
 
 
 def run_counts(counts: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the newest totals of a streaming aggregate as a snapshot per micro-batch."""
-    run_available(counts, checkpoint, lambda df, batch_id: snapshots.write_batch(df, path, batch_id), mode="complete")
+    """Keep the newest totals of a streaming aggregate as the latest snapshots."""
+    run_available(counts, checkpoint, lambda df, batch_id: snapshots.write_batch(df, path, batch_id, keep=2), mode="complete")
 
 
 CADENCE_SCHEMA = "worker long, iterations long, pulls long, pushes long"
@@ -99,6 +99,7 @@ def run_updates(
     checkpoint: str,
     eval_every: int = 10,
     on_evaluate: Callable[[DataFrame, int], None] | None = None,
+    keep: int | None = None,
 ) -> None:
     """Update the parameters by each micro-batch's accepted messages in ``order``.
 
@@ -106,13 +107,13 @@ def run_updates(
     micro-batch writes a full snapshot under its own id with the number of messages received so
     far; a batch that is already there is skipped, so a replay does not apply anything twice.
     ``on_evaluate`` gets the snapshot and the message count whenever a batch passes a multiple of
-    ``eval_every`` received messages.
+    ``eval_every`` received messages.  ``keep`` (2 or more) limits how many snapshots stay.
     """
     spark = messages.sparkSession
     first = snapshots_start(table)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in snapshots.finished_batches(spark, path):
+        if snapshots.is_finished(spark, path, batch_id):
             return
         before = snapshots.latest(spark, path, before=batch_id)
         before = first if before is None else before
@@ -123,7 +124,7 @@ def run_updates(
         received = seen + came
         accepted = judged.filter("accepted").drop("accepted", "age_us")
         after = apply_log(before.drop("received"), accepted, optimizer, order, taken)
-        snapshots.write_batch(after.withColumn("received", F.lit(received).cast("long")), path, batch_id)
+        snapshots.write_batch(after.withColumn("received", F.lit(received).cast("long")), path, batch_id, keep)
         if on_evaluate is not None and received // eval_every > seen // eval_every:
             on_evaluate(snapshots.read_batch(spark, path, batch_id), received)
 

@@ -25,17 +25,18 @@ def train_on_files(
     batch_size: int = 0,
     max_files: int | None = None,
     mode: str = FAILFAST,
+    keep: int | None = None,
 ) -> None:
     """One update per micro-batch, with the mean gradient of its mini-batches.
 
     ``batch_size=0`` takes the micro-batch as one mini-batch.  Otherwise it counts as
     ceil(rows / batch_size) equally large ones; all rows then weigh alike and none needs to be
-    placed in a particular batch.
+    placed in a particular batch.  ``keep`` (2 or more) limits how many snapshots stay.
     """
     lines = stream_lines(spark, source, max_files)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in snapshots.finished_batches(spark, path):
+        if snapshots.is_finished(spark, path, batch_id):
             return
         before = snapshots.latest(spark, path, before=batch_id)
         params = start if before is None else collect_params(before, model)
@@ -44,8 +45,8 @@ def train_on_files(
         if n:
             batches = 1 if batch_size == 0 else -(-n // batch_size)
             weight = batch_weight(model, F.lit(n)) if model.answer == "target" else F.lit(1.0 / batches)
-            total = gradient_sum(rows, model, params.values, weight=weight)
+            total = gradient_sum(rows, model, params.values, weight=weight, rows=n)
             params = params.updated(collect_gradient(total, model), model.optimizer)
-        snapshots.write_batch(to_table(spark, model, params), path, batch_id)
+        snapshots.write_batch(to_table(spark, model, params), path, batch_id, keep)
 
     run_available(lines, checkpoint, each_batch)
