@@ -60,51 +60,58 @@ def one_hot(label: Column, n_classes: int) -> Column:
 
 
 def _type_suffix(value: Column) -> Column:
-    # A cast reads '5f' and '5d' as numbers; they are none in a data file.
-    return value.rlike(r"[0-9.]\s*[fFdD]\s*(,|$)")
+    # A cast reads '5f' and '5d' as numbers; they are none in a data file.  The plain search for
+    # the letters spares most lines the pattern.
+    letters = [F.contains(value, F.lit(c)) for c in "fFdD"]
+    return (letters[0] | letters[1] | letters[2] | letters[3]) & value.rlike(r"[0-9.]\s*[fFdD]\s*(,|$)")
 
 
-def _typed(fields: Column, layout: Layout) -> Column:
-    """``struct(label|target, features, fits)``; ``fits`` tells whether the line has the right width."""
+def _has_null(values: Column) -> Column:
+    # A search that finds nothing answers NULL if the array holds one; that is much faster than
+    # looking at the elements through a lambda.
+    found = F.array_contains(values, F.lit(-1.0))
+    return F.when(found, F.exists(values, F.isnull)).otherwise(found.isNull())
+
+
+def _once(column: Column) -> Column:
+    """Keep a column from being worked out again for each use: plans are not merged across a generator."""
+    return F.explode(F.array(column))
+
+
+def _typed(fields: Column, layout: Layout) -> dict[str, Column]:
+    """Label or target, features, and ``_fits``: has the line the right width?"""
     nf, n_fields = layout.n_features, F.size(fields)
     if layout.kind == CLASS_FIRST:
+        answer, features = F.get(fields, F.lit(0)).try_cast("int"), F.slice(fields, 2, nf)
         fits = n_fields == nf + 1
-        answer, features = F.get(fields, F.lit(0)).try_cast("int").alias("label"), F.slice(fields, 2, nf)
     else:
         # Columns after the last target are ignored where there are several targets.
+        answer, features = features_to_float(F.slice(fields, nf + 1, layout.n_out)), F.slice(fields, 1, nf)
         fits = n_fields >= nf + layout.n_out if layout.kind == MULTI_TARGET else n_fields == nf + 1
-        answer, features = features_to_float(F.slice(fields, nf + 1, layout.n_out)).alias("target"), F.slice(fields, 1, nf)
-    return F.struct(answer, features_to_float(features).alias("features"), fits.alias("fits"))
+    return {layout.answer: answer, "features": features_to_float(features), "_fits": fits}
 
 
-def _judged(row: Column, value: Column, layout: Layout) -> Column:
-    """``struct(label|target, features, reason)`` from a typed row."""
-    answer = row[layout.answer]
-    missing = answer.isNull() if layout.answer == "label" else F.exists(answer, F.isnull)
-    missing = missing | F.exists(row["features"], F.isnull)
-    length = F.length(value)
+def _reason(value: Column, layout: Layout) -> Column:
+    answer, length = F.col(layout.answer), F.length(value)
+    missing = answer.isNull() if layout.answer == "label" else _has_null(answer)
     reason = (
         F.when(length.isNull() | (length == 0), "blank")
         .when(length < layout.min_len, "short")
-        .when(~row["fits"] | missing | _type_suffix(value), "malformed")
+        .when(~F.col("_fits") | missing | _has_null(F.col("features")) | _type_suffix(value), "malformed")
     )
     if layout.answer == "label":
         reason = reason.when(~answer.between(0, layout.n_out - 1), "label_range")
-    return F.struct(answer.alias(layout.answer), row["features"].alias("features"), reason.alias("reason"))
+    return reason
 
 
 def classify_lines(df: DataFrame, layout: Layout, value: str = "value") -> DataFrame:
     """Parse every line and say in ``reason`` why it cannot be used (NULL: it can).
 
     Reasons: ``blank``, ``short``, ``malformed``, ``label_range``.
-
-    Array functions over one-element arrays carry the split and the typed row from step to step,
-    and the generator on top keeps later filters and projections above it: a line is split once,
-    however many of its fields are asked for afterwards.
     """
-    line = F.col(value)
-    typed = F.transform(F.array(fields_of(line)), lambda fields: _typed(fields, layout))
-    return df.select("*", F.inline(F.transform(typed, lambda row: _judged(row, line, layout))))
+    split = df.select("*", _once(fields_of(F.coalesce(value, F.lit("")))).alias("_fields"))
+    typed = split.withColumns(_typed(F.col("_fields"), layout)).drop("_fields")
+    return typed.select("*", _once(_reason(F.col(value), layout)).alias("reason")).drop("_fits")
 
 
 def parse_lines(

@@ -258,23 +258,60 @@ def part_errors(select: str) -> str:
       firsts AS (SELECT part_id, avg(wrong) AS error FROM judged WHERE batch_id = 0 GROUP BY part_id) {select}"""
 
 
-def conv_sql() -> str:
-    """Convolution and pooling as joins on coordinates; 8 x 8 -> 4 x 4 x 2 -> 2 x 2 x 3 -> 8 -> 10."""
+def conv_tap(c_in: int) -> str:
+    return f"((dy + 2) * 5 + dx + 2) * {c_in} + ch"
+
 
-    def stage(layer: int, source: str, side: int, c_in: int, c_out: int) -> str:
-        tap = f"((dy + 2) * 5 + dx + 2) * {c_in} + ch"
+def conv_forward_ctes() -> str:
+    """Convolution and pooling as joins on coordinates; 8 x 8 -> 4 x 4 x 2 -> 2 x 2 x 3 -> 8 -> 10.
+
+    ``pos`` remembers where the largest value of each pooling window was.
+    """
+
+    def stage(layer: int, side: int, c_in: int, c_out: int) -> str:
         return f"""z{layer} AS (
-          SELECT vec_id, oy, ox, o, greatest(0e0, sum(v * {weight(layer, tap, 'o')}) + any_value({bias(layer, 'o')})) AS z
+          SELECT vec_id, oy, ox, o, greatest(0e0, sum(v * {weight(layer, conv_tap(c_in), 'o')}) + any_value({bias(layer, 'o')})) AS z
           FROM (SELECT p.vec_id, p.ch, p.v, dy, dx, o, p.y - dy AS oy, p.x - dx AS ox
-                FROM {source} p, range(-2, 3) AS ty(dy), range(-2, 3) AS tx(dx), range({c_out}) AS tc(o))
+                FROM px{layer} p, range(-2, 3) AS ty(dy), range(-2, 3) AS tx(dx), range({c_out}) AS tc(o))
           WHERE oy BETWEEN 0 AND {side - 1} AND ox BETWEEN 0 AND {side - 1} GROUP BY vec_id, oy, ox, o),
-        px{layer + 1} AS (SELECT vec_id, oy // 2 AS y, ox // 2 AS x, o AS ch, max(z) AS v FROM z{layer} GROUP BY ALL)"""
+        px{layer + 1} AS (SELECT vec_id, oy // 2 AS y, ox // 2 AS x, o AS ch, max(z) AS v, arg_max(oy * 8 + ox, z) AS pos FROM z{layer} GROUP BY vec_id, oy // 2, ox // 2, o)"""
 
     dense = f"""flat AS (SELECT vec_id, list(v ORDER BY (y * 2 + x) * 3 + ch) AS f FROM px2 GROUP BY vec_id),
-      hidden AS (SELECT vec_id, list_transform(range(8), lambda j: greatest(0e0, list_sum(list_transform(range(12), lambda i: f[i + 1] * {weight(2, 'i', 'j')})) + {bias(2, 'j')})) AS h FROM flat),
-      scored AS (SELECT vec_id, list_transform(range(10), lambda j: list_sum(list_transform(range(8), lambda i: h[i + 1] * {weight(3, 'i', 'j')})) + {bias(3, 'j')}) AS s FROM hidden)"""
+      hidden AS (SELECT vec_id, f, list_transform(range(8), lambda j: greatest(0e0, list_sum(list_transform(range(12), lambda i: f[i + 1] * {weight(2, 'i', 'j')})) + {bias(2, 'j')})) AS h FROM flat),
+      scored AS (SELECT vec_id, f, h, list_transform(range(10), lambda j: list_sum(list_transform(range(8), lambda i: h[i + 1] * {weight(3, 'i', 'j')})) + {bias(3, 'j')}) AS s FROM hidden)"""
     pixels = "px0 AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, 0 AS ch, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) AS t(i))"
-    return f"WITH {pixels}, {stage(0, 'px0', 8, 1, 2)}, {stage(1, 'px1', 4, 2, 3)}, {dense} SELECT vec_id, CAST(c AS INTEGER) AS c, {rounded('s[c + 1]')} AS score FROM scored, range(10) AS t(c)"
+    return f"{pixels}, {stage(0, 8, 1, 2)}, {stage(1, 4, 2, 3)}, {dense}"
+
+
+def conv_sql() -> str:
+    return f"WITH {conv_forward_ctes()} SELECT vec_id, CAST(c AS INTEGER) AS c, {rounded('s[c + 1]')} AS score FROM scored, range(10) AS t(c)"
+
+
+def conv_gradient_sql() -> str:
+    """The way back: deltas of a pooled value go to ``pos``, those of an input to every window it was in."""
+
+    def filters(layer: int, c_in: int, c_out: int) -> str:
+        return f"""SELECT {layer} AS layer, 'W' AS name, CAST(({conv_tap(c_in)}) * {c_out} + o AS INTEGER) AS idx, sum(e.d * p.v) AS g
+          FROM (SELECT *, oy + dy AS y, ox + dx AS x FROM dz{layer}, range(-2, 3) AS ty(dy), range(-2, 3) AS tx(dx)) e
+          JOIN px{layer} p USING (vec_id, y, x) GROUP BY dy, dx, ch, o
+        UNION ALL SELECT {layer}, 'b', CAST(o AS INTEGER), sum(d) FROM dz{layer} GROUP BY o"""
+
+    def dense(layer: int, x: str, d: str, n_in: int, n_out: int) -> str:
+        return f"""SELECT {layer}, 'W', CAST(i * {n_out} + j AS INTEGER), sum({x}[i + 1] * {d}[j + 1]) FROM back, range({n_in}) AS ti(i), range({n_out}) AS tj(j) GROUP BY i, j
+        UNION ALL SELECT {layer}, 'b', CAST(j AS INTEGER), sum({d}[j + 1]) FROM back, range({n_out}) AS tj(j) GROUP BY j"""
+
+    return f"""WITH {conv_forward_ctes()},
+      b3 AS (SELECT vec_id, f, h, {SOFTMAX_DELTA.format(s='s')} AS ds FROM scored JOIN embeddings USING (vec_id)),
+      b2 AS (SELECT *, list_transform(range(8), lambda j: CASE WHEN h[j + 1] > 0 THEN list_sum(list_transform(range(10), lambda c: {weight(3, 'j', 'c')} * ds[c + 1])) ELSE 0e0 END) AS dh FROM b3),
+      back AS (SELECT *, list_transform(range(12), lambda i: list_sum(list_transform(range(8), lambda j: {weight(2, 'i', 'j')} * dh[j + 1]))) AS df FROM b2),
+      dz1 AS (SELECT vec_id, pos // 8 AS oy, pos % 8 AS ox, ch AS o, df[(y * 2 + x) * 3 + ch + 1] AS d FROM px2 JOIN back USING (vec_id) WHERE v > 0),
+      dpx1 AS (SELECT vec_id, oy + dy AS y, ox + dx AS x, ch, sum(d * {weight(1, conv_tap(2), 'o')}) AS d
+        FROM dz1, range(-2, 3) AS ty(dy), range(-2, 3) AS tx(dx), range(2) AS tc(ch) GROUP BY vec_id, oy + dy, ox + dx, ch),
+      dz0 AS (SELECT vec_id, pos // 8 AS oy, pos % 8 AS ox, ch AS o, d FROM px1 JOIN dpx1 USING (vec_id, y, x, ch) WHERE v > 0),
+      sizes AS (SELECT * FROM (VALUES (0, 'W', 50), (0, 'b', 2), (1, 'W', 150), (1, 'b', 3), (2, 'W', 96), (2, 'b', 8), (3, 'W', 80), (3, 'b', 10)) t(layer, name, n)),
+      places AS (SELECT layer, name, CAST(unnest(range(n)) AS INTEGER) AS idx FROM sizes)
+      SELECT layer, name, idx, {rounded('coalesce(g, 0e0)')} AS g FROM places LEFT JOIN (
+        {filters(0, 1, 2)} UNION ALL {filters(1, 2, 3)} UNION ALL {dense(2, 'f', 'dh', 12, 8)} UNION ALL {dense(3, 'h', 'ds', 8, 10)}) USING (layer, name, idx)"""
 
 
 def batch_gradient_sql(loss: str) -> str:
@@ -380,6 +417,7 @@ ORACLES = {
     ),
     "batch_gradient_xent": batch_gradient_sql("xent"),
     "batch_gradient_mse": batch_gradient_sql("mse"),
+    "conv_gradient": conv_gradient_sql(),
     "gradient_sum": line_gradient_sql(),
     "gradient_mean": group_gradient_sql(),
     "adam_update": adam_sql(),

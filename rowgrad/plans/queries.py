@@ -302,6 +302,11 @@ def gradient_sum(spark, d):
     return _flat_gradient(got, places=2)
 
 
+def conv_gradient(spark, d):
+    """Summed gradient of the image network over all embeddings."""
+    return _flat_gradient(gradients.gradient_sum(_embeddings(spark, d), IMAGE_MODEL, formula_weights(IMAGE_MODEL)))
+
+
 GROUP_PLAN = BatchPlan(("vec_id",), n_parts=3, batch_size=25, push_every=3, seed=SEED, hashing="md5")
 
 
@@ -522,6 +527,7 @@ QUERIES = {
         partition_eval,
         batch_gradient_xent,
         batch_gradient_mse,
+        conv_gradient,
         gradient_sum,
         gradient_mean,
         adam_update,
