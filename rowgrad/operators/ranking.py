@@ -26,11 +26,13 @@ def row_positions(df: DataFrame, order: list[str], group: list[str] | None = Non
     spans = placed.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_range", *group, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    if not group:
-        # as many rows as there are partitions
-        joined = join_small(placed, spans, ["_range"], rows=100_000)
+    if group:
+        # kept as a table, so that its true size decides how it is joined
+        spans = materialize(spans, "spans")
+        rows = spans.count()
     else:
-        joined = placed.join(spans, ["_range", *group])
+        rows = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = join_small(placed, spans, ["_range", *group], rows=rows, row_bytes=256)
     return joined.withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_m", "_range", "_at", "_shift")
 
 

@@ -132,7 +132,3 @@ def main(argv: list[str] | None = None) -> None:
         snapshot_path=a.snapshots,
     )
     print(f"final error {run.final_error:f}")
-
-
-if __name__ == "__main__":
-    main()

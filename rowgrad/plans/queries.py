@@ -327,12 +327,12 @@ def _three_updates(spark, model: ModelSpec, start: list[np.ndarray], pushed: Dat
     return table
 
 
-def _flat_table(table: DataFrame, model: ModelSpec) -> DataFrame:
+def _flat_table(table: DataFrame, model: ModelSpec, keep: tuple[str, ...] = ("step",)) -> DataFrame:
     names = ["values", *model.optimizer.slots]
-    lanes = table.select("layer", "name", "chunk", "step", F.posexplode(F.arrays_zip(*names)).alias("_i", "_x"))
+    lanes = table.select("layer", "name", "chunk", *keep, F.posexplode(F.arrays_zip(*names)).alias("_i", "_x"))
     index = (F.col("chunk") * params.CHUNK + F.col("_i")).cast("int").alias("idx")
     values = [rounded(F.col("_x")[n]).alias("value" if n == "values" else n) for n in names]
-    return lanes.select("layer", "name", index, *values, "step")
+    return lanes.select("layer", "name", index, *values, *keep)
 
 
 def adam_update(spark, d):
@@ -485,8 +485,7 @@ def stream_apply(spark, d):
     start = params.to_table(spark, LOG_MODEL, Parameters.fresh(formula_weights(LOG_MODEL), LOG_MODEL.optimizer))
     log = _log_gradients(_message_stream(spark, d))
     message_stream.run_updates(log, start, LOG_MODEL.optimizer, ["arrived", "id"], MAX_AGE_S, path, mark)
-    done = snapshots.latest(spark, path)
-    return _flat_table(done, LOG_MODEL).join(F.broadcast(done.select("layer", "name", "received")), ["layer", "name"])
+    return _flat_table(snapshots.latest(spark, path), LOG_MODEL, keep=("step", "received"))
 
 
 def stream_train(spark, d):

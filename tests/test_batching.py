@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowgrad.operators import batching, ranking
 from rowgrad.operators.batching import BatchPlan
+from rowgrad.sources import tables
 
 
 def test_row_positions_follow_the_order_in_every_group(spark):
@@ -90,3 +91,12 @@ def test_skipped_lines_can_take_slots(spark):
     good = [k for k in range(20) if k % 4]
     assert {r.k: r.slice_id for r in packed} == {k: i // 5 for i, k in enumerate(good)}
     assert {r.k: r.slice_id for r in slotted} == {k: k // 5 for k in good}
+
+
+def test_tables_without_a_key_get_their_position(spark, folder):
+    item = tables.with_position_key(tables.read_table(spark, folder, "lineitem"))
+    key = ("file_path", "row_index")
+    assert item.select(*key).distinct().count() == item.count()
+    sizes = batching.assign_batches(item.select(*key), BatchPlan(key, 4, 100), cells=3).groupBy("part_id", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("batch_rows").alias("said"))
+    rows = sizes.collect()
+    assert all(r.n == r.said <= 100 for r in rows) and sum(r.n for r in rows) == item.count()
