@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .network import MSE, ModelSpec, dropout_mask, row_factors, weighted_gradient
-from .params import KEYS, chunk_arrays, chunk_keys, from_chunks
+from .params import KEYS, chunk_column, chunk_keys, tensors_of
 from .scoring import matrix, row_blocks, share
 
 _HELD_BYTES = 256 * 1024 * 1024  # partial sums a task keeps before it hands them on
@@ -77,11 +77,10 @@ def gradient_partials(
     )
 
     def emit(group, total, rows):
-        chunks = chunk_arrays(total)
         n = len(keys)
         columns = [pa.array(np.full(n, g, dtype=np.int32)) for g in group]
         columns += [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys], pa.int32())]
-        columns += [pa.array(chunks, pa.list_(pa.float64())), pa.array(np.full(n, rows, dtype=np.int64))]
+        columns += [chunk_column(total), pa.array(np.full(n, rows, dtype=np.int64))]
         return pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     def run(batches):
@@ -101,12 +100,12 @@ def gradient_partials(
                 cuts = np.searchsorted(member.reshape(-1)[order], np.arange(len(groups) + 1))
                 pieces = [(tuple(map(int, g)), order[cuts[i] : cuts[i + 1]]) for i, g in enumerate(groups)]
             else:
-                pieces = [((), np.arange(n))]
+                pieces = [((), slice(0, n))]
             for group, rows in pieces:
-                part = weighted_gradient(factors, rows, w)
+                part, n_rows = weighted_gradient(factors, rows, w), len(w[rows])
                 if group in held:
                     total = held[group]
-                    total[1] += len(rows)
+                    total[1] += n_rows
                     for t, p in zip(total[0], part):
                         t += p
                 else:
@@ -114,7 +113,7 @@ def gradient_partials(
                         for g, (t, r) in held.items():
                             yield emit(g, t, r)
                         held.clear()
-                    held[group] = [part, len(rows)]
+                    held[group] = [part, n_rows]
         for g, (t, r) in held.items():
             yield emit(g, t, r)
 
@@ -153,8 +152,4 @@ def mean_over_batches(gradients: DataFrame, by: list[str]) -> DataFrame:
 def collect_gradient(gradient: DataFrame, model: ModelSpec) -> list[np.ndarray] | None:
     """One gradient as tensors on the driver (as large as the model), or None without rows."""
     got = gradient.select(*KEYS, "values").toArrow()
-    if not got.num_rows:
-        return None
-    keys = zip(*[got.column(k).to_pylist() for k in KEYS])
-    values = [c.values.to_numpy(zero_copy_only=False) for c in got.column("values")]
-    return from_chunks(model, dict(zip(keys, values)))
+    return tensors_of(got, model, "values") if got.num_rows else None

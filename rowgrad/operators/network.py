@@ -227,7 +227,7 @@ def row_factors(model: ModelSpec, params: list[np.ndarray], x, answer, mask=None
     return scores, factors
 
 
-def weighted_gradient(factors, rows: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+def weighted_gradient(factors, rows: np.ndarray | slice, weight: np.ndarray) -> list[np.ndarray]:
     """Weighted sum of row gradients over the chosen rows, in parameter order."""
     out = []
     for inputs, deltas in factors:

@@ -41,17 +41,18 @@ class Parameters:
         return Parameters(values, slots, step)
 
 
-def _chunks(flat: np.ndarray) -> list[np.ndarray]:
-    return [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
-
-
 def chunk_keys(model: ModelSpec) -> list[tuple[int, str, int]]:
     return [(layer, name, c) for layer, name, shape in model.tensors() for c in range(-(-int(np.prod(shape)) // CHUNK))]
 
 
-def chunk_arrays(tensors: list[np.ndarray]) -> list[np.ndarray]:
-    """Tensors cut into the value arrays of a parameter table, in ``chunk_keys`` order."""
-    return [c for t in tensors for c in _chunks(t.reshape(-1))]
+def chunk_column(tensors: list[np.ndarray]) -> pa.ListArray:
+    """Tensors cut into the value lists of a parameter table, in ``chunk_keys`` order."""
+    ends, at = [0], 0
+    for t in tensors:
+        ends += [at + min(i + CHUNK, t.size) for i in range(0, t.size, CHUNK)]
+        at += t.size
+    flat = np.concatenate([t.reshape(-1) for t in tensors])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def from_chunks(model: ModelSpec, rows: dict[tuple[int, str, int], np.ndarray]) -> list[np.ndarray]:
@@ -68,10 +69,9 @@ def to_table(spark: SparkSession, model: ModelSpec, params: Parameters) -> DataF
     keys = chunk_keys(model)
     columns = {k: [key[i] for key in keys] for i, k in enumerate(KEYS)}
     columns = {"layer": pa.array(columns["layer"], pa.int32()), "name": columns["name"], "chunk": pa.array(columns["chunk"], pa.int32())}
-    doubles = pa.list_(pa.float64())
-    columns["values"] = pa.array(chunk_arrays(params.values), doubles)
+    columns["values"] = chunk_column(params.values)
     for name, slot in zip(model.optimizer.slots, params.slots):
-        columns[name] = pa.array(chunk_arrays(slot), doubles)
+        columns[name] = chunk_column(slot)
     columns["step"] = pa.array([params.step] * len(keys), pa.int64())
     return spark.createDataFrame(pa.table(columns))
 
@@ -79,10 +79,16 @@ def to_table(spark: SparkSession, model: ModelSpec, params: Parameters) -> DataF
 def collect_params(table: DataFrame, model: ModelSpec) -> Parameters:
     """Read all parameters; their size was checked when the ``ModelSpec`` was made."""
     slots = list(model.optimizer.slots)
-    got = table.select(*KEYS, "values", *slots, "step").toArrow().to_pydict()
-    keys = list(zip(got["layer"], got["name"], got["chunk"]))
-    tensors = {c: from_chunks(model, dict(zip(keys, got[c]))) for c in ["values", *slots]}
-    return Parameters(tensors["values"], [tensors[s] for s in slots], got["step"][0])
+    got = table.select(*KEYS, "values", *slots, "step").toArrow()
+    tensors = {c: tensors_of(got, model, c) for c in ["values", *slots]}
+    return Parameters(tensors["values"], [tensors[s] for s in slots], got.column("step")[0].as_py())
+
+
+def tensors_of(table: pa.Table, model: ModelSpec, column: str) -> list[np.ndarray]:
+    """The tensors in one column of a collected parameter or gradient table."""
+    keys = zip(*[table.column(k).to_pylist() for k in KEYS])
+    values = [v.values.to_numpy(zero_copy_only=False) for v in table.column(column)]
+    return from_chunks(model, dict(zip(keys, values)))
 
 
 def save_params(table: DataFrame, path: str) -> None:
@@ -115,33 +121,43 @@ def flat_values(table: DataFrame, column: str = "values") -> DataFrame:
     )
 
 
-def _chunked(values: DataFrame) -> DataFrame:
-    packed = values.groupBy((F.col("id") / CHUNK).cast("int").alias("chunk"))
-    ordered = packed.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("_s"))
-    return ordered.select("chunk", F.col("_s")["v"].alias("values"))
+def _drawn(spark: SparkSession, n: int, seed: int, draw) -> DataFrame:
+    """``(chunk, values)`` of ``n`` values; ``draw(generator, size)`` fills one chunk.
+
+    Every chunk has a generator of its own, seeded by its number, so the values do not depend on
+    how the chunks are spread over tasks.
+    """
 
+    def run(batches):
+        for batch in batches:
+            for chunk in batch.column("chunk").to_pylist():
+                values = draw(np.random.default_rng([seed, chunk]), min(CHUNK, n - chunk * CHUNK))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), chunk_column([values])], ["chunk", "values"])
 
-def truncated_normal(spark: SparkSession, n: int, std: float, seed: int, tasks: int = 8) -> DataFrame:
-    """``(chunk, values)`` of n normal draws, each redrawn while it lies beyond two deviations.
+    chunks = spark.range(-(-n // CHUNK)).select(F.col("id").cast("int").alias("chunk"))
+    return chunks.mapInArrow(run, "chunk int, values array<double>")
 
-    The number of tasks is part of the recipe, because seeded draws depend on it.
-    """
-    draws = [F.randn(seed + i) for i in range(8)]
-    named = spark.range(0, n, 1, numPartitions=tasks).select("id", *[d.alias(f"z{i}") for i, d in enumerate(draws)])
-    kept = F.coalesce(*[F.when(F.abs(f"z{i}") <= 2, F.col(f"z{i}")) for i in range(8)])
-    # eight misses in a row happen about twice in 10^11 draws
-    last = F.greatest(F.least(F.col("z7"), F.lit(2.0)), F.lit(-2.0))
-    return _chunked(named.select("id", (F.coalesce(kept, last) * std).alias("v")))
+
+def truncated_normal(spark: SparkSession, n: int, std: float, seed: int) -> DataFrame:
+    """Normal draws, each redrawn while it lies beyond two deviations."""
+
+    def draw(generator, size):
+        z = generator.standard_normal(size)
+        while (far := np.abs(z) > 2).any():
+            z[far] = generator.standard_normal(far.sum())
+        return z * std
+
+    return _drawn(spark, n, seed, draw)
 
 
 def constant(spark: SparkSession, n: int, value: float) -> DataFrame:
-    return _chunked(spark.range(n).select("id", F.lit(float(value)).alias("v")))
+    return _drawn(spark, n, 0, lambda generator, size: np.full(size, float(value)))
 
 
-def xavier_uniform(spark: SparkSession, n_in: int, n_out: int, seed: int, tasks: int = 8) -> DataFrame:
+def xavier_uniform(spark: SparkSession, n_in: int, n_out: int, seed: int) -> DataFrame:
     """Uniform within ±sqrt(6 / (n_in + n_out))."""
     bound = (6.0 / (n_in + n_out)) ** 0.5
-    return _chunked(spark.range(0, n_in * n_out, 1, numPartitions=tasks).select("id", (F.rand(seed) * 2 * bound - bound).alias("v")))
+    return _drawn(spark, n_in * n_out, seed, lambda generator, size: generator.uniform(-bound, bound, size))
 
 
 def initial_table(spark: SparkSession, model: ModelSpec, seed: int = 0) -> DataFrame:
@@ -149,7 +165,7 @@ def initial_table(spark: SparkSession, model: ModelSpec, seed: int = 0) -> DataF
     table = None
     for i, (layer, name, shape) in enumerate(model.tensors()):
         n = int(np.prod(shape))
-        drawn = truncated_normal(spark, n, model.weight_std, seed + 8 * i) if name == "W" else constant(spark, n, model.bias)
+        drawn = truncated_normal(spark, n, model.weight_std, seed + i) if name == "W" else constant(spark, n, model.bias)
         drawn = drawn.select(F.lit(layer).alias("layer"), F.lit(name).alias("name"), "chunk", "values")
         table = drawn if table is None else table.unionByName(drawn)
     starts = {s: F.transform("values", lambda _, v=v: F.lit(v)) for s, v in zip(model.optimizer.slots, model.optimizer.slot_start)}

@@ -106,6 +106,18 @@ def test_initial_parameters(spark):
     assert abs(one.values[0].mean()) < 0.005
 
 
+def test_draws_do_not_depend_on_the_tasks(spark):
+    def drawn():
+        return {r.chunk: r["values"] for r in params.truncated_normal(spark, 10_000, 0.1, 5).collect()}
+
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    wide = drawn()
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    assert drawn() == wide and sum(map(len, wide.values())) == 10_000
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert before is None
+
+
 def test_xavier_bounds(spark):
     values = np.concatenate([np.array(r["values"]) for r in params.xavier_uniform(spark, 30, 20, 1).collect()])
     bound = np.sqrt(6 / 50)
