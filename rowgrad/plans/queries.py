@@ -158,13 +158,20 @@ def warmup_holdout(spark, d):
     return ranking.without_first_rows(_events(spark, d).select("event_id", "user_id", "value"), ["event_id"], 2000)
 
 
+def _batched(df: DataFrame, plan: BatchPlan) -> DataFrame:
+    """Batches with as many hash ranges per logical partition as the table needs.
+
+    At least four, so that small tables take the same path as large ones.
+    """
+    return batching.assign_batches(df, plan, cells=max(4, batching.cells_per_part(df, plan)))
+
+
 EVENT_PLAN = BatchPlan(("event_id",), n_parts=8, batch_size=50, seed=SEED, hashing="md5")
 EVENT_PLAN_ALL = BatchPlan(("event_id",), n_parts=8, batch_size=0, seed=SEED, hashing="md5")
 
 
 def assign_minibatch(spark, d):
-    # four hash ranges per logical partition, to run the same path as a large table
-    batched = batching.assign_batches(_events(spark, d).select("event_id"), EVENT_PLAN, cells=4)
+    batched = _batched(_events(spark, d).select("event_id"), EVENT_PLAN)
     return batched.select("event_id", "part_id", "batch_id", "batch_rows", "group_id", "group_batches")
 
 
@@ -174,7 +181,7 @@ def assign_minibatch_all(spark, d):
 
 
 def push_groups(spark, d):
-    batched = batching.assign_batches(_events(spark, d).select("event_id"), EVENT_PLAN, cells=4)
+    batched = _batched(_events(spark, d).select("event_id"), EVENT_PLAN)
     return batching.push_groups(batched, EVENT_PLAN.push_every)
 
 
@@ -251,7 +258,7 @@ VECTOR_PLAN = BatchPlan(("vec_id",), n_parts=4, batch_size=50, seed=SEED, hashin
 
 
 def partition_eval(spark, d):
-    batched = batching.assign_batches(_embeddings(spark, d), VECTOR_PLAN, cells=2)
+    batched = _batched(_embeddings(spark, d), VECTOR_PLAN)
     weights = formula_weights(CLASSIFIER)
     per_part = materialize(evaluate.partition_errors(batched, CLASSIFIER, weights), "part-errors")
     first = evaluate.partition_errors(batched, CLASSIFIER, weights, first_batch_only=True)
@@ -276,14 +283,14 @@ def _flat_gradient(gradient: DataFrame, by: list[str] | tuple[str, ...] = (), pl
 
 
 def batch_gradient_xent(spark, d):
-    batched = batching.assign_batches(_embeddings(spark, d), VECTOR_PLAN, cells=1)
+    batched = _batched(_embeddings(spark, d), VECTOR_PLAN)
     got = gradients.batch_gradients(batched, CLASSIFIER, formula_weights(CLASSIFIER))
     return _flat_gradient(got, ["part_id", "batch_id"])
 
 
 def batch_gradient_mse(spark, d):
     rows = tables.multi_target_rows(tables.read_table(spark, d, "embeddings"))
-    batched = batching.assign_batches(rows, VECTOR_PLAN, cells=1)
+    batched = _batched(rows, VECTOR_PLAN)
     got = gradients.batch_gradients(batched, REGRESSOR, formula_weights(REGRESSOR))
     return _flat_gradient(got, ["part_id", "batch_id"])
 
@@ -311,7 +318,7 @@ GROUP_PLAN = BatchPlan(("vec_id",), n_parts=3, batch_size=25, push_every=3, seed
 
 
 def gradient_mean(spark, d):
-    batched = batching.assign_batches(_embeddings(spark, d), GROUP_PLAN, cells=1)
+    batched = _batched(_embeddings(spark, d), GROUP_PLAN)
     got = gradients.group_gradients(batched, CLASSIFIER, formula_weights(CLASSIFIER))
     return _flat_gradient(got, ["part_id", "group_id"])
 
@@ -423,7 +430,7 @@ def train_rounds_sequential(spark, d):
 
 def training_log_roundtrip(spark, d):
     path = scratch_path(spark, "curves")
-    batched = batching.assign_batches(_embeddings(spark, d), VECTOR_PLAN, cells=1)
+    batched = _batched(_embeddings(spark, d), VECTOR_PLAN)
     for run_id, first_only in (("all_rows", False), ("first_batch", True)):
         errors = evaluate.partition_errors(batched, CLASSIFIER, formula_weights(CLASSIFIER), first_only)
         at = F.lit(datetime(2024, 1, 1)).cast("timestamp").alias("ts")
