@@ -257,8 +257,13 @@ def mse_loss(spark, d):
 VECTOR_PLAN = BatchPlan(("vec_id",), n_parts=4, batch_size=50, seed=SEED, hashing="md5")
 
 
-def partition_eval(spark, d):
+def _written_batches(spark, d):
     batched = _batched(_embeddings(spark, d), VECTOR_PLAN)
+    return materialize(batched.select("part_id", "batch_id", "label", "features"), "batches")
+
+
+def partition_eval(spark, d):
+    batched = _written_batches(spark, d)
     weights = formula_weights(CLASSIFIER)
     per_part = materialize(evaluate.partition_errors(batched, CLASSIFIER, weights), "part-errors")
     first = evaluate.partition_errors(batched, CLASSIFIER, weights, first_batch_only=True)
@@ -430,7 +435,7 @@ def train_rounds_sequential(spark, d):
 
 def training_log_roundtrip(spark, d):
     path = scratch_path(spark, "curves")
-    batched = _batched(_embeddings(spark, d), VECTOR_PLAN)
+    batched = _written_batches(spark, d)
     for run_id, first_only in (("all_rows", False), ("first_batch", True)):
         errors = evaluate.partition_errors(batched, CLASSIFIER, formula_weights(CLASSIFIER), first_only)
         at = F.lit(datetime(2024, 1, 1)).cast("timestamp").alias("ts")
