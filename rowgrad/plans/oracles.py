@@ -363,7 +363,7 @@ def log_sql() -> str:
       folded AS (SELECT s.layer, s.name, s.idx, list_reduce(list_prepend({{'g': 0e0, 'm': 0e0, 'v': 0e0, 't': 0e0, 'p': s.value}}, l.msgs), lambda a, x: {step}) AS e
         FROM lists l JOIN start s ON s.name = l.name AND s.idx = l.idx)
       SELECT layer, name, idx, {rounded('e.p')} AS value, {rounded('e.m')} AS m, {rounded('e.v')} AS v, CAST(e.t AS BIGINT) AS step,
-        (SELECT count(*) FROM events) AS received FROM folded"""
+        (SELECT count(*) FROM events) AS received, (SELECT count(*) FROM events WHERE {AGE} >= 100000000) AS rejected FROM folded"""
 
 
 EVENT_BATCHES = batches("events", "event_id", 8, 50)

@@ -497,7 +497,7 @@ def stream_apply(spark, d):
     start = params.to_table(spark, LOG_MODEL, Parameters.fresh(formula_weights(LOG_MODEL), LOG_MODEL.optimizer))
     log = _log_gradients(_message_stream(spark, d))
     message_stream.run_updates(log, start, LOG_MODEL.optimizer, ["arrived", "id"], MAX_AGE_S, path, mark)
-    return _flat_table(snapshots.latest(spark, path), LOG_MODEL, keep=("step", "received"))
+    return _flat_table(snapshots.latest(spark, path), LOG_MODEL, keep=("step", "received", "rejected"))
 
 
 def stream_train(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,6 +17,8 @@ from ..operators.message_log import apply_log
 from ..operators.messages import with_acceptance
 from . import snapshots
 
+log = logging.getLogger("rowgrad")
+
 
 def stream_table(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
     """Parquet files as they arrive below ``path`` (a folder or a pattern)."""
@@ -104,32 +107,33 @@ def run_updates(
     """Update the parameters by each micro-batch's accepted messages in ``order``.
 
     ``messages`` holds ``(*order, time_sent, arrived, layer, name, chunk, values)``.  Every
-    micro-batch writes a full snapshot under its own id with the number of messages received so
-    far; a batch that is already there is skipped, so a replay does not apply anything twice.
+    micro-batch writes a full snapshot under its own id with the numbers of messages received and
+    rejected so far; a batch that is already there is skipped, so a replay does not apply anything twice.
     ``on_evaluate`` gets the snapshot and the message count whenever a batch passes a multiple of
     ``eval_every`` received messages.  ``keep`` (2 or more) limits how many snapshots stay.
     """
     spark = messages.sparkSession
-    first = snapshots_start(table)
+    first = _with_counters(table, 0, 0)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         if snapshots.is_finished(spark, path, batch_id):
             return
         before = snapshots.latest(spark, path, before=batch_id)
         before = first if before is None else before
-        seen = before.select("received").first()[0]
+        seen, refused = before.select("received", "rejected").first()
         judged = with_acceptance(batch, max_age_s)
         lead = (F.col("layer") == 0) & (F.col("name") == "W") & (F.col("chunk") == 0)
         came, taken = judged.filter(lead).agg(F.count(F.lit(1)), F.count_if("accepted")).first()
-        received = seen + came
+        received, rejected = seen + came, refused + came - taken
+        log.info("batch %d: received %d, rejected %d", batch_id, received, rejected)
         accepted = judged.filter("accepted").drop("accepted", "age_us")
-        after = apply_log(before.drop("received"), accepted, optimizer, order, taken)
-        snapshots.write_batch(after.withColumn("received", F.lit(received).cast("long")), path, batch_id, keep)
+        after = apply_log(before.drop("received", "rejected"), accepted, optimizer, order, taken)
+        snapshots.write_batch(_with_counters(after, received, rejected), path, batch_id, keep)
         if on_evaluate is not None and received // eval_every > seen // eval_every:
             on_evaluate(snapshots.read_batch(spark, path, batch_id), received)
 
     run_available(messages, checkpoint, each_batch)
 
 
-def snapshots_start(table: DataFrame) -> DataFrame:
-    return table.withColumn("received", F.lit(0).cast("long"))
+def _with_counters(table: DataFrame, received: int, rejected: int) -> DataFrame:
+    return table.withColumns({"received": F.lit(received).cast("long"), "rejected": F.lit(rejected).cast("long")})
