@@ -1,9 +1,10 @@
 """Links inside candidate nodes, confirmed on full sets, and the components they form.
 
 Both near-duplicate operators hand over the same thing: members of nodes (bands or tree leaves), each with a set size
-and a 256-bit sketch. What a node costs is bounded as follows: every member is first tried against the node's
-smallest member only; when those links are confirmed and joined to components, a member is tried again only against members of
-other components. A group of n copies so costs n comparisons and no pair of it is ever emitted.
+and a 256-bit sketch. Every member is first tried against one hub, the nearest centre of its nodes; when those links
+are confirmed and joined to components, it is tried again only against members of other components. Members of one hub are compared by what each has
+beyond the hub, which tells without their sets which pairs can't be similar. A family of n copies so costs n comparisons for those near
+its original, and what is emitted follows the links and not the pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from rowgrad.llm.texts import free, put
 SKETCH = ["s0", "s1", "s2", "s3"]
 # Of 256 one-bit hashes, sets of similarity 0.8 differ in 25.6 on average (standard deviation 4.8); 50 is five deviations more.
 MAX_DIFFERENT = 50
+PIVOTS, PROBES, TRIES = 4, 16, 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,29 +63,93 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * common >= 80 * (na + nb - common)").select("id", "other")
 
 
+def _different(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in SKETCH)
+
+
+def _hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, s0..s3, c): for each id the nearest node centre that may be similar; c has far, id, n and the sketch. And (id, label): families, all that hangs together by such centres.
+
+    A node's centre is the member nearest to a few of its members together: in a family of copies the text that they were made from.
+    """
+    pivots = members.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), *SKETCH)).alias(f"p{k}") for k in range(PIVOTS)])
+    far = F.expr(" + ".join(_different("", f"p{k}.") for k in range(PIVOTS)))
+    centres = members.join(pivots, "node").withColumn("far", far).groupBy("node").agg(F.min(F.struct("far", "id", "n", *SKETCH)).alias("c"))
+    star = members.join(centres, "node").where("id <> c.id").where(alike("m", "c").replace("m.", ""))
+    near = F.struct(F.expr(_different("", "c.")).alias("far"), "c.id", "c.n", *[f"c.{x}" for x in SKETCH])
+    all_near = put(star.withColumn("__c", F.col("c.id")).groupBy("id", "__c").agg(F.first("n").alias("n"), *[F.first(x).alias(x) for x in SKETCH], F.min(near).alias("c")).select("id", "n", *SKETCH, "c"), "near")
+    star = put(all_near.groupBy("id").agg(F.first("n").alias("n"), *[F.first(x).alias(x) for x in SKETCH], F.min("c").alias("c")), "star")
+    kin = put(components(all_near.select("id", F.col("c.id").alias("other"))), "kin")
+    free(all_near)
+    return star, kin
+
+
+LINKED = "100 * common >= 80 * (n + n_hub - common)"
+
+
+def _tested(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each id with its hub c: what they have in common, and what the id has beyond it."""
+    a, b = sets.select("id", F.col("set").alias("__a")), sets.select(F.col("id").alias("hub"), F.col("set").alias("__b"))
+    both = star.select("id", "n", *SKETCH, F.col("c.id").alias("hub"), F.col("c.n").alias("n_hub")).join(a, "id").join(b, "hub")
+    return both.select("id", "n", *SKETCH, "hub", "n_hub", F.size(F.array_intersect("__a", "__b")).alias("common"), F.array_except("__a", "__b").alias("extra"))
+
+
 def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, label) of every id with a confirmed link, among the members (node, id, n, s0..s3) of each node.
 
     ``sets_of`` gives (id, set) for a table of ids. ``members`` must be cheap to read again.
     """
-    first = members.groupBy("node").agg(F.min(F.struct("id", "n", *SKETCH)).alias("c"))
-    star = members.alias("m").join(first.alias("f"), "node").selectExpr("m.id as id", "m.n as n", *[f"m.{s} as {s}" for s in SKETCH], "f.c as c")
-    star = star.where("id <> c.id").where(alike("star", "c").replace("star.", "")).groupBy("id").agg(F.min("c.id").alias("other"))
-    star = put(star, "star")
-    sets = put(sets_of(star.select("id").union(star.select("other")).distinct()), "sets")
-    sure = put(confirmed(star, sets), "sure")
-    labels = put(components(sure), "labels")
-    told = members.join(labels, "id", "left").select("node", "id", "n", *SKETCH, F.coalesce("label", "id").alias("label"))
+    star, kin = _hubs(members)
+    sets = put(sets_of(star.select("id").union(star.select("c.id")).distinct()), "sets")
+    first = put(_tested(star, sets), "tested")
+    sure = put(first.where(LINKED).select("id", F.col("hub").alias("other")), "sure")
+    # all of a family, confirmed or not, is tried against the hub of most members
+    chosen = first.groupBy("hub").agg(F.count("*").alias("size")).join(kin, kin.id == F.col("hub")).groupBy("label").agg(F.max(F.struct("size", "hub"))["hub"].alias("main"))
+    marks = star.select("c.id", "c.n", *[f"c.{x}" for x in SKETCH]).dropDuplicates(["id"])
+    marks = chosen.join(marks, marks.id == F.col("main")).select("label", F.struct("id", "n", *SKETCH).alias("c"))
+    sketches = star.select("id", "n", *SKETCH).unionByName(star.select("c.id", "c.n", *[f"c.{x}" for x in SKETCH])).dropDuplicates(["id"])
+    tested = put(_tested(sketches.join(kin, "id").join(marks, "label").select("id", "n", *SKETCH, "c"), sets), "tested")
+    both = put(sure.unionByName(tested.where(LINKED).where("id <> hub").select("id", F.col("hub").alias("other"))).distinct(), "sure")
+    free(star, first, sure, kin)
+    sure = both
+
+    def labelled(sure: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, label, size) of linked ids, and all families with their members' labels and the one of most members, main."""
+        labels = put(components(sure), "labels")
+        sizes = put(labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label"), "sizes")
+        free(labels)
+        family = tested.join(sizes.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        main = family.groupBy("hub", "label").agg(F.count("*").alias("size")).groupBy("hub").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
+        return sizes, put(family.join(main, "hub"), "family")
+
+    sizes, family = labelled(sure)
+    # who isn't linked to the most is tried against the nearest of some that are; one link is enough to join
+    probes = family.where("label = main").groupBy("hub").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.struct("id", "n", *SKETCH).alias("q")))["q"].alias(f"q{k}") for k in range(PROBES)])
+    near = F.array(*[F.struct(F.expr(_different("", f"q{k}.")).alias("far"), F.col(f"q{k}.id").alias("other"), F.col(f"q{k}.n").alias("n_other")) for k in range(PROBES)])
+    tries = family.where("label <> main").join(probes, "hub").select("id", "n", F.explode(F.slice(F.array_sort(F.array_distinct(near)), 1, TRIES)).alias("t")).select("id", "n", "t.*")
+    tries = tries.where(f"far <= {MAX_DIFFERENT} and 100 * least(n, n_other) >= 80 * greatest(n, n_other)").select("id", "other").distinct()
+    both = put(sure.unionByName(confirmed(tries, sets)).distinct(), "sure")
+    free(sure, sizes, family)
+    sure = both
+    sizes, family = labelled(sure)
+    # members of one hub: what both share is in the hub, or among what each has beyond it, which bounds their similarity exactly
+    x, y = family.where("label <> main").alias("x"), family.alias("y")
+    shared = "(least(x.common, y.common) + size(array_intersect(x.extra, y.extra)))"
+    same_hub = x.join(y, F.expr(f"x.hub = y.hub and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')} and 100 * least(x.common, y.common) + 100 * least(size(x.extra), size(y.extra)) >= 80 * (x.n + y.n - least(x.common, y.common) - least(size(x.extra), size(y.extra))) and 100 * {shared} >= 80 * (x.n + y.n - {shared})"))
+
+    # members of a node that have different hubs or none
+    told = members.join(tested.select("id", "hub"), "id", "left").join(sizes, "id", "left").select("node", "id", "n", *SKETCH, "hub", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     told = put(told, "told")
-    mixed = told.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "label")).alias("c")).where("lo <> hi").select("node", F.col("c.label").alias("main"))
+    mixed = told.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("c")).where("lo <> hi").select("node", F.col("c.label").alias("main"))
     both = told.join(mixed, "node")
-    minor, other = both.where("label <> main").alias("x"), both.alias("y")
-    rest = minor.join(other, F.expr(f"x.node = y.node and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')}")).selectExpr("least(x.id, y.id) as id", "greatest(x.id, y.id) as other").distinct()
-    rest = put(rest, "rest")
+    x, y = both.where("label <> main").alias("x"), both.alias("y")
+    apart = x.join(y, F.expr(f"x.node = y.node and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')} and not coalesce(x.hub = y.hub, false) and not coalesce(x.hub = y.id, false) and not coalesce(y.hub = x.id, false)"))
+    pairs = [j.selectExpr("least(x.id, y.id) as id", "greatest(x.id, y.id) as other") for j in (same_hub, apart)]
+    rest = put(pairs[0].union(pairs[1]).distinct(), "rest")
     wanted = rest.select("id").union(rest.select("other")).distinct().join(sets.select("id"), "id", "left_anti")
     more = put(sets_of(wanted), "sets")
     also = put(confirmed(rest, sets.unionByName(more)), "also")
-    free(star, sets, labels, told, rest, more)
-    out = components(sure.unionByName(also))
+    free(sets, tested, sizes, family, told, rest, more)
+    out = put(components(sure.unionByName(also)), "components")
     free(sure, also)
     return out

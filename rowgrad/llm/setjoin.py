@@ -20,7 +20,7 @@ from rowgrad.llm.linking import SKETCH, link
 from rowgrad.llm.texts import Remembered, free, hash_word, hinted, mix, over_texts, put
 
 PATH_VALUES, HASHES = 64, 256
-SMALL_NODE, DEPTH, RECALL = 24, 5, 0.9999
+SMALL_NODE, DEPTH, RECALL = 12, 5, 0.9999
 
 
 def shingle_set(words: list[bytes], size: int, hashed: Remembered) -> np.ndarray:
@@ -126,8 +126,9 @@ def leaves(reps: DataFrame, n_trees: int, depth: int, small: int) -> DataFrame:
         counts = put(level.groupBy("node").count().where("count > 1"), "nodes")
         large = counts.where(F.col("count") > small) if d < depth else counts.where("false")
         done = counts.where(F.col("count") <= small) if d < depth else counts
-        n_large, n_done = large.count(), done.count()
-        ended.append(level.join(hinted(done.select("node"), n_done, 16), "node", "left_semi").select("node", "id", "n", *SKETCH))
+        n_large = large.count()
+        stop = level.select("node", "id", "n", *SKETCH).join(hinted(large.select("node"), n_large, 16), "node", "left_anti")
+        ended.append(stop.join(done.select("node"), "node", "left_semi"))
         if not n_large:
             break
         level = level.join(hinted(large.select("node"), n_large, 16), "node", "left_semi")

@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: row-wise Arrow passes over whole texts, word hashes, small measured joins."""
+"""Shared pieces of the text operators: row-wise Arrow passes over whole texts, word hashes, tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from pyspark.sql.types import StructType
 
 from rowgrad.session import discard, materialize, scratch_path
 
-# A task works on so many bytes of text at a time; a single longer text is still taken whole.
-SLICE_BYTES = 4 << 20
 # A side is broadcast only if its counted rows stay under so many bytes.
 BROADCAST_BYTES = 32 << 20
+# A task works on so many bytes of text at a time; a single longer text is still taken whole.
+SLICE_BYTES = 4 << 20
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -98,7 +98,7 @@ def over_texts(
 
 
 def hinted(small: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``small`` with a broadcast hint if its counted rows are few enough; else Spark shuffles both sides."""
+    """``small`` with a broadcast hint if its counted rows are few enough; else Spark shuffles both sides. For joins whose other side is wide."""
     return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
 
 
