@@ -64,12 +64,12 @@ def disclosing(held: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
     values = held.select(F.explode("vals").alias("value")).groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= SUPPORT)
     values = put(values, "values")
     terms = F.array_distinct(F.split("masked", r"[^\p{L}\p{N}]+"))
-    known = held.select(F.explode("vals").alias("value"), "masked").join(hinted(values, values.count(), 96), "value")
+    known = held.select(F.explode("vals").alias("value"), "masked").join(values, "value")
     pairs = known.select("value", "n_value", F.explode(terms).alias("term")).where("term <> ''").groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_value").alias("n_value")).where(F.col("n_both") >= SUPPORT)
     pairs = put(pairs, "pairs")
     wanted = put(pairs.select("term").distinct(), "terms")
     all_terms = docs.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_term = all_terms.join(hinted(wanted, wanted.count(), 96), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = all_terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     # the masked text has a document's terms without those inside values, so a term's documents are at least those of the pair
     found = pairs.join(n_term, "term").withColumn("share", F.col("n_both") / F.greatest("n_term", "n_both")).withColumn("bits", F.log2(F.col("share") / (F.col("n_value") / F.lit(float(max(1, n_docs))))))
     found = put(found.where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS)).select("value", "term", "share", "bits"), "disclosing")
@@ -95,7 +95,7 @@ def sanitised(docs: DataFrame, keep: list[str]) -> DataFrame:
     held = put(held, "held")
     found = disclosing(held, docs, docs.count())
     # terms of a document: those that reveal a value it holds
-    mine = held.select("d", "h", F.explode("vals").alias("value")).join(hinted(found, found.count(), 160), "value").groupBy("d", "h", "term").agg(F.max("share").alias("share"))
+    mine = held.select("d", "h", F.explode("vals").alias("value")).join(found, "value").groupBy("d", "h", "term").agg(F.max("share").alias("share"))
     mine = put(mine, "mine")
     some = held.join(mine.select("d", "h").distinct(), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
     words = some.select("d", "h", F.posexplode(F.expr(f"filter(zip_with(split(text, r'{WORD}', -1), regexp_extract_all(text, r'{WORD}', 0), (g, m) -> named_struct('g', length(g), 'm', m)), x -> x.m is not null)")))

@@ -152,7 +152,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     anchors = put(_anchors(docs), "anchors")
     often = put(anchors.groupBy("r").count().where("count > 1").select("r"), "often")
-    some = put(anchors.join(hinted(often, often.count(), 16), "r", "left_semi"), "some")
+    some = put(anchors.join(often, "r", "left_semi"), "some")
     free(anchors, often)
     groups = some.groupBy("r", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "s", "l")).alias("x"))
     groups = put(groups, "groups")
@@ -181,8 +181,7 @@ def without_repeats(docs: DataFrame, keep: list[str], kept_bytes: bool = True) -
     """
     texts = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     found = repeated(texts.where(F.octet_length("text") >= LENGTH).select("key", "text"))
-    n, spread = found.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
-    both = texts.join(hinted(found, n * 64 + spread * 24, 1), "key", "left")
+    both = texts.join(found, "key", "left")
     names = [f"__k{i}" for i in range(len(keep))]
     schema = "nb bigint, nr bigint, ns bigint, sha string" + ", left binary" * kept_bytes
 
