@@ -28,46 +28,23 @@ _MIN_BLOCK = 1024
 def apply_log(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order: list[str], total: int | None = None) -> DataFrame:
     """The parameter table after all ``messages`` ``(*order, layer, name, chunk, values)``.
 
-    ``order`` must be a total order of the messages; every message carries all chunks.  ``total``
-    is their number, counted here if not given.
+    ``order`` must be a total order of the messages.  A message acts on the chunks it carries; a chunk that none
+    carries keeps values, slots and step.  ``total`` is the largest number of messages of a chunk, counted here if not given.
     """
     if total is None:
         total = messages.groupBy(*KEYS).count().agg(F.max("count")).first()[0]
     if not total:
         return table
     seq = row_positions(messages.select(*order, *KEYS, "values"), order, group=KEYS, name="seq").select(*KEYS, "seq", "values")
-    if total <= _MIN_BLOCK:
-        return apply_few(table, seq, optimizer, "seq")
     return apply_many(table, seq, optimizer, total)
 
 
 def apply_pushed(table: DataFrame, pushed: DataFrame, optimizer: Optimizer, order: str, total: int) -> DataFrame:
     """As ``apply_log`` for one message per logical partition, ``total`` of them, ordered by one column."""
-    if total <= _MIN_BLOCK:
-        return apply_few(table, pushed, optimizer, order)
     place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(order))
     return apply_many(table, pushed.select(*KEYS, place.alias("seq"), "values"), optimizer, total)
 
 
-def apply_few(table: DataFrame, messages: DataFrame, optimizer: Optimizer, order: str) -> DataFrame:
-    """As ``apply_log`` for so few messages that one task may hold a chunk of all of them."""
-    slots = list(optimizer.slots)
-
-    def fold(key, left, right):
-        values, *run = [_rows(left, c)[0] for c in ["values", *slots]]
-        step = left.column("step")[0].as_py()
-        if right.num_rows:
-            g = _ordered(right, order)
-            after = _running(optimizer, run, g)
-            values = values + _change(optimizer, after, g, step)
-            run, step = [s[-1] for s in after], step + len(g)
-        return _table({**_keys(key), "values": [values], **{n: [s] for n, s in zip(slots, run)}, "step": pa.array([step], pa.int64())})
-
-    schema = f"layer int, name string, chunk int, values array<double>, {_arrays(slots)}, step long"
-    few = messages.select(*KEYS, order, "values")
-    return table.groupBy(*KEYS).cogroup(few.groupBy(*KEYS)).applyInArrow(fold, schema)
-
-
 def apply_many(table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: int, block: int | None = None) -> DataFrame:
     """As ``apply_log`` for messages already numbered 1 … ``total`` in ``seq``."""
     block = block or max(_MIN_BLOCK, math.isqrt(total) + 1)
@@ -84,6 +61,8 @@ def apply_many(table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: in
     def carry(key, left, right):
         # the slots that each block starts from; one row per block
         right = right.sort_by("block")
+        if not left.num_rows:
+            raise ValueError(f"messages carry the chunk {[k.as_py() for k in key]}, which the parameter table lacks")
         run = [_rows(left, s)[0] for s in slots]
         starts = [[] for _ in slots]
         left_behind = [_rows(right, s) for s in slots]
@@ -100,27 +79,24 @@ def apply_many(table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: in
         g = _ordered(right, "seq")
         run = _running(optimizer, [_rows(left, s)[0] for s in slots], g)
         step = left.column("step")[0].as_py() + key[3].as_py() * block
-        return _table({**_keys(key), "change": [_change(optimizer, run, g, step)], **{n: [s[-1]] for n, s in zip(slots, run)}})
+        return _table({**_keys(key), "change": [_change(optimizer, run, g, step)], **{n: [s[-1]] for n, s in zip(slots, run)}, "n": pa.array([len(g)], pa.int64())})
 
     state = table.select(*KEYS, *slots, "step")
     summaries = blocked.groupBy(*by_block).applyInArrow(summarize, block_schema)
     starts = state.groupBy(*KEYS).cogroup(summaries.groupBy(*KEYS)).applyInArrow(carry, f"{block_schema}, step long")
-    change_schema = f"layer int, name string, chunk int, block int, change array<double>, {_arrays(slots)}"
+    change_schema = f"layer int, name string, chunk int, block int, change array<double>, {_arrays(slots)}, n long"
     changes = starts.groupBy(*by_block).cogroup(blocked.groupBy(*by_block)).applyInArrow(run_block, change_schema)
 
-    ends = changes.groupBy(*KEYS).agg(F.max_by(F.struct(*slots), "block").alias("_last"))
+    ends = changes.groupBy(*KEYS).agg(F.max_by(F.struct(*slots), "block").alias("_last"), F.sum("n").alias("_n"))
     moved = sum_values(changes.select(*KEYS, F.col("change").alias("values"), F.lit(1).alias("n_rows")), [])
     moved = moved.select(*KEYS, F.col("values").alias("_change"))
-    return (
-        table.drop(*slots)
-        .join(moved, KEYS)
-        .join(ends, KEYS)
-        .select(
-            *KEYS,
-            F.zip_with("values", "_change", lambda p, c: p + c).alias("values"),
-            *[F.col("_last")[s].alias(s) for s in slots],
-            (F.col("step") + total).alias("step"),
-        )
+    moved_to = F.zip_with("values", "_change", lambda p, c: p + c)
+    joined = table.join(moved, KEYS, "left").join(ends, KEYS, "left")
+    return joined.select(
+        *KEYS,
+        F.coalesce(moved_to, F.col("values")).alias("values"),
+        *[F.coalesce(F.col("_last")[s], F.col(s)).alias(s) for s in slots],
+        (F.col("step") + F.coalesce("_n", F.lit(0))).alias("step"),
     )
 
 

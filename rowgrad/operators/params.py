@@ -100,9 +100,15 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_gradient(table: DataFrame, gradient: DataFrame, optimizer: Optimizer) -> DataFrame:
-    """One update of a parameter table by a gradient table ``(layer, name, chunk, values)``."""
+    """One update of a parameter table by a gradient table ``(layer, name, chunk, values)``.
+
+    A chunk without gradient keeps its values, slots and step; one of another length is an error.
+    """
     g = gradient.select(*KEYS, F.col("values").alias("_g"))
-    joined = table.join(g, KEYS).withColumn("step", F.col("step") + 1)
+    given = F.col("_g").isNotNull()
+    wrong = given & (F.size("_g") != F.size("values"))
+    g_checked = F.when(wrong, F.raise_error(F.lit("a gradient chunk differs in length from its parameters"))).otherwise(F.col("_g"))
+    joined = table.join(g, KEYS, "left").withColumn("_g", g_checked).withColumn("step", F.col("step") + given.cast("int"))
     lanes = F.arrays_zip("values", *optimizer.slots, "_g")
 
     def lane(x: Column) -> Column:
@@ -111,7 +117,7 @@ def apply_gradient(table: DataFrame, gradient: DataFrame, optimizer: Optimizer)
         return F.struct(moved.alias("values"), *[s.alias(n) for s, n in zip(new, optimizer.slots)])
 
     done = joined.withColumn("_lanes", F.transform(lanes, lane))
-    return done.select(*KEYS, *[F.col("_lanes")[n].alias(n) for n in ["values", *optimizer.slots]], "step")
+    return done.select(*KEYS, *[F.when(given, F.col("_lanes")[n]).otherwise(F.col(n)).alias(n) for n in ["values", *optimizer.slots]], "step")
 
 
 def flat_values(table: DataFrame, column: str = "values") -> DataFrame:

@@ -131,3 +131,31 @@ def test_data_sets():
     assert dataset("higgs").paths("/data/") == ("/data/higgs_train_all.csv", "/data/higgs_test_all.csv")
     with pytest.raises(ValueError, match="unknown data set"):
         dataset("other")
+
+
+@pytest.mark.parametrize("n", [1000, 1100])
+def test_messages_without_a_chunk_leave_it_as_it_was(spark, n):
+    model = dense_model([3, 2])
+    start = Parameters.fresh([np.ones((3, 2)), np.full(2, 5.0)], model.optimizer)
+    table = params.to_table(spark, model, start)
+    rows = [(i, 0, "W", 0, [0.01 * (i % 7)] * 6) for i in range(n)]
+    log = spark.createDataFrame(rows, "id long, layer int, name string, chunk int, values array<double>")
+    got = {r["name"]: r for r in message_log.apply_log(table, log, model.optimizer, ["id"]).collect()}
+    before = {r["name"]: r for r in table.collect()}
+    assert got["b"] == before["b"] and got["W"]["step"] == n and got["W"]["values"] != before["W"]["values"]
+
+
+def test_an_empty_gradient_changes_nothing(spark):
+    model = dense_model([3, 2])
+    table = params.to_table(spark, model, Parameters.fresh([np.ones((3, 2)), np.zeros(2)], model.optimizer))
+    none = table.select("layer", "name", "chunk", "values").limit(0)
+    after = params.apply_gradient(table, none, model.optimizer).select(*table.columns)
+    assert sorted(map(str, after.collect())) == sorted(map(str, table.collect()))
+
+
+def test_a_gradient_of_another_length_is_refused(spark):
+    model = dense_model([3, 2])
+    table = params.to_table(spark, model, Parameters.fresh([np.ones((3, 2)), np.zeros(2)], model.optimizer))
+    wrong = spark.createDataFrame([(0, "W", 0, [1.0])], "layer int, name string, chunk int, values array<double>")
+    with pytest.raises(Exception, match="differs in length"):
+        params.apply_gradient(table, wrong, model.optimizer).collect()
