@@ -130,10 +130,10 @@ def update_step(kind: str, lr: str, before: str, grads: str, t: str) -> str:
 
 
 def three_updates(kind: str, lr: str, ctes: str, grads: str, widths: list[int], starts: dict[str, str], steps: int = 3) -> str:
-    out = [ctes, f"grads AS ({grads})", f"p0 AS ({start_values(widths, starts)})"]
+    out = [ctes, f"grads AS MATERIALIZED ({grads})", f"p0 AS MATERIALIZED ({start_values(widths, starts)})"]
     for t in range(steps):
         pushed = f"SELECT layer, name, idx, g FROM grads WHERE part_id = {t}"
-        out.append(f"p{t + 1} AS ({update_step(kind, lr, f'p{t}', pushed, str(t + 1))})")
+        out.append(f"p{t + 1} AS MATERIALIZED ({update_step(kind, lr, f'p{t}', pushed, str(t + 1))})")
     slots = "".join(f", {rounded(s)} AS {s}" for s in SLOTS[kind])
     return f"WITH {', '.join(out)} SELECT layer, name, idx, {rounded('value')} AS value{slots}, CAST({steps} AS BIGINT) AS step FROM p{steps}"
 
