@@ -10,15 +10,34 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from itertools import chain
+from string import digits, punctuation
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rowgrad.llm.texts import Remembered, opened, over_texts, share
+from rowgrad.llm.texts import Remembered, opened, over_texts, share, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CUT = re.compile(r" *[^ \n]+|\n| +")
+
+
+def cuts(pieces: list[str]) -> re.Pattern:
+    """Pattern of words: runs of letters or of marks with the spaces before them, line ends, spaces.
+
+    Marks are the vocabulary's characters that are no letters and that no piece joins to anything but marks, so that no merge reaches from one
+    word into the next.
+    """
+    pairs = {(x, y) for p in pieces for x, y in zip(p, p[1:]) if x != " "}
+    marks = set(punctuation + digits)
+    # other marks that a piece joins to these belong to them; a mark that a piece joins to a letter is cut off from nothing
+    while more := {c for x, y in pairs if (x in marks) != (y in marks) for c in (x, y) if c not in marks and not c.isalpha()}:
+        marks |= more
+    while joined := {c for x, y in pairs if (x in marks) != (y in marks) for c in (x, y) if c in marks}:
+        marks -= joined
+    some = "".join(map(re.escape, sorted(marks)))
+    return re.compile(rf" *(?:[{some}]+|[^ \n{some}]+)|\n| +" if some else r" *[^ \n]+|\n| +")
 
 
 class Vocabulary:
@@ -33,7 +52,7 @@ class Vocabulary:
         self.ids = {model.id_to_piece(i).replace("▁", " "): i for i in plain}
         self.cost = {model.id_to_piece(i).replace("▁", " "): -model.get_score(i) for i in plain}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.ids))
+        self.cut = cuts(list(self.ids)).pattern
         self.n = n
 
     def table(self) -> list[bytes]:
@@ -53,6 +72,9 @@ class Encoder:
         self.v = vocabulary
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.apart: dict[tuple[str, str], bool] = {}
+        self.sides: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
+        self.cut = re.compile(vocabulary.cut)
+        self.tails = {p[i:] for p in vocabulary.cost for i in range(len(p))}
         self.path, self.last = "", [""]
 
     def merged(self, text: str) -> list[str]:
@@ -89,33 +111,32 @@ class Encoder:
             self.parts[piece] = found
         return self.parts[piece]
 
+    def side(self, piece: str, right: int) -> list[tuple[str, float, float]]:
+        """The parts at one end of a piece, largest first, with the costs of the merge that makes each and of the one that swallows it."""
+        if (piece, right) not in self.sides:
+            cost, found, part, ends = self.v.cost, [], piece, float("inf")
+            while (two := self.halves(part)) is not None:
+                found.append((part, cost[part], ends))
+                part, ends = two[right], cost[part]
+            self.sides[piece, right] = [*found, (part, -1.0, ends)]
+        return self.sides[piece, right]
+
     def may_follow(self, a: str, b: str) -> bool:
         """Do both pieces stay as they are when merged side by side?
 
         They don't if some right part of a and some left part of b, which stand next to each other at some time, join before
         either becomes part of a larger piece.
         """
-        key = (a, b)
-        if key in self.apart:
-            return self.apart[key]
-        cost = self.v.cost
-        rights, lefts = [(a, float("inf"))], [(b, float("inf"))]  # a part, and the cost of the merge that swallows it
-        for chain_, side in ((rights, 1), (lefts, 0)):
-            while (two := self.halves(chain_[-1][0])) is not None:
-                chain_.append((two[side], cost[chain_[-1][0]]))
-        answer = True
-        for x, x_ends in rights:
-            x_made = cost[x] if self.halves(x) else -1.0
-            for y, y_ends in lefts:
+        cost, lefts = self.v.cost, self.side(b, 0)
+        for x, x_made, x_ends in self.side(a, 1):
+            for y, y_made, y_ends in lefts:
                 joined = cost.get(x + y)
                 if joined is None:
                     continue
-                y_made = cost[y] if self.halves(y) else -1.0
                 # both exist from the later making on; the join wins over a later swallowing, at equal cost the left one comes first
                 if max(x_made, y_made, joined) < min(x_ends, y_ends) or (x_made < min(x_ends, y_ends) and y_made < min(x_ends, y_ends) and joined < x_ends and joined <= y_ends):
-                    answer = False
-        self.apart[key] = answer
-        return answer
+                    return False
+        return True
 
     def encode(self, word: str) -> tuple[int, ...]:
         """Ids of one word; words should come sorted."""
@@ -126,17 +147,27 @@ class Encoder:
             same, most = 0, min(len(word), len(self.path))
             while same < most and word[same] == self.path[same]:
                 same += 1
-            last = self.last
+            last, cost, tails, apart = self.last, v.cost, self.tails, self.apart
             del last[same + 1 :]
             for end in range(same + 1, len(word) + 1):
+                begin = end - 1
+                while begin and word[begin - 1 : end] in tails:
+                    begin -= 1
                 best = ""
-                for begin in range(max(0, end - v.longest), end):
+                for begin in range(begin, end):
                     piece = word[begin:end]
-                    if (piece in v.cost and (end - begin == 1 or self.halves(piece))) or end - begin == 1:
-                        before = last[begin]
-                        if not begin or (before and (before not in v.cost or piece not in v.cost or self.may_follow(before, piece))):
-                            best = piece
-                            break
+                    if end - begin > 1 and (piece not in cost or not self.halves(piece)):
+                        continue
+                    before = last[begin]
+                    if begin and before in cost and piece in cost:
+                        fits = apart.get((before, piece))
+                        if fits is None:
+                            fits = apart[before, piece] = self.may_follow(before, piece)
+                    else:
+                        fits = not begin or before != ""
+                    if fits:
+                        best = piece
+                        break
                 last.append(best)
             self.path = word
             pieces, end = [], len(word)
@@ -147,18 +178,25 @@ class Encoder:
         return tuple(chain.from_iterable((v.ids[p],) if p in v.ids else (v.bytes[b] for b in p.encode()) for p in pieces))
 
 
-def encode_texts(texts: list[str], known: dict, encoder: Encoder) -> list[list[int]]:
-    """Ids of texts; ``known`` gathers the words' ids."""
-    words = [CUT.findall(" " + t) if t else [] for t in texts]
+def encode_texts(texts: list[str], known: dict[str, bytes], encoder: Encoder) -> list[bytes]:
+    """Ids of texts, as 32-bit numbers one after another; ``known`` gathers those of words."""
+    words = [encoder.cut.findall(" " + t) if t else [] for t in texts]
     for word in sorted(set(chain.from_iterable(words)) - known.keys()):
-        known[word] = encoder.encode(word)
-    return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
+        known[word] = array("i", encoder.encode(word)).tobytes()
+    return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
-def decode_ids(ids: list[int], table: list[bytes]) -> str:
-    """The text of ids; bytes that are no UTF-8 become replacement characters, ids out of range nothing."""
-    data = b"".join([table[i] for i in ids if i is not None and 0 <= i < len(table)])
-    return data.removeprefix(b" ").decode("utf-8", "replace")
+def decode_ids(ids: pa.ListArray, table: pa.BinaryArray) -> list[str]:
+    """The texts of lists of ids; bytes that are no UTF-8 become replacement characters, nulls and ids out of range nothing."""
+    n = len(table)
+    flat = ids.flatten().fill_null(n).to_numpy(zero_copy_only=False)
+    flat = np.where((flat >= 0) & (flat < n), flat, n)
+    pieces = pa.concat_arrays([table, pa.array([b""], table.type)]).take(pa.array(flat))
+    ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1)
+    data = pieces.buffers()[2].to_pybytes() if len(pieces) else b""
+    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist() if len(pieces) else [0] * (len(ids) + 1)
+    return [data[lo:hi].removeprefix(b" ").decode("utf-8", "replace") for lo, hi in zip(at, at[1:])]
 
 
 def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
@@ -175,7 +213,9 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text:
         def work(texts, part):
             known.trim()
             ids = encode_texts([(t or b"").decode("utf-8", "replace") for t in texts], known, encoder)
-            return [pa.array(ids, pa.list_(pa.int32())), [len(x) for x in ids]]
+            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            return [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32))), pa.array(sizes)]
 
         return work
 
@@ -191,11 +231,11 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) ->
     n_keep = len(keep)
 
     def run(batches):
-        table = shared.value
+        table = pa.array(shared.value, pa.binary())
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [decode_ids(x or [], table) for x in part.column(n_keep).to_pylist()]
+            for lo, hi in slices(b.column(n_keep).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 1 << 20):
+                part = b.slice(lo, hi - lo)
+                texts = decode_ids(part.column(n_keep), table)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(texts, pa.string())], names=out.names)
 
     return encoded.select(*keep, encoded.ids.alias("__ids")).mapInArrow(run, out)
