@@ -71,7 +71,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart = Remembered(None, 200_000)
         self.sides: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
         self.cut = re.compile(vocabulary.cut)
         self.tails = {p[i:] for p in vocabulary.cost for i in range(len(p))}
@@ -208,10 +208,11 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text:
     shared = share(docs.sparkSession, Vocabulary(vocabulary))
 
     def start():
-        encoder, known = Encoder(opened(shared)), Remembered(None, 300_000)
+        encoder, known = Encoder(opened(shared)), Remembered(None, 150_000)
 
         def work(texts, part):
             known.trim()
+            encoder.apart.trim()
             ids = encode_texts([(t or b"").decode("utf-8", "replace") for t in texts], known, encoder)
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -228,14 +229,14 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) ->
 
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary).table())
     out = StructType([*encoded.select(*keep).schema.fields]).add("decoded", StringType())
-    n_keep = len(keep)
+    n_keep, at = len(keep), keep.index("ids") if "ids" in keep else len(keep)
 
     def run(batches):
         table = pa.array(shared.value, pa.binary())
         for b in batches:
-            for lo, hi in slices(b.column(n_keep).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 1 << 20):
+            for lo, hi in slices(b.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 1 << 20):
                 part = b.slice(lo, hi - lo)
-                texts = decode_ids(part.column(n_keep), table)
+                texts = decode_ids(part.column(at), table)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(texts, pa.string())], names=out.names)
 
-    return encoded.select(*keep, encoded.ids.alias("__ids")).mapInArrow(run, out)
+    return (encoded.select(*keep) if at < n_keep else encoded.select(*keep, "ids")).mapInArrow(run, out)
