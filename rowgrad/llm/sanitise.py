@@ -60,12 +60,11 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(held: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
-    """(value, term, share, bits) over the thresholds, from all documents; ``held`` has d, h, text, vals of those with values."""
+    """(value, term, share, bits) over the thresholds, from all documents; ``held`` has d, h, vals, terms of those with values."""
     values = held.select(F.explode("vals").alias("value")).groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= SUPPORT)
     values = put(values, "values")
-    terms = F.array_distinct(F.split("masked", r"[^\p{L}\p{N}]+"))
-    known = held.select(F.explode("vals").alias("value"), "masked").join(values, "value")
-    pairs = known.select("value", "n_value", F.explode(terms).alias("term")).where("term <> ''").groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_value").alias("n_value")).where(F.col("n_both") >= SUPPORT)
+    known = held.select(F.explode("vals").alias("value"), "terms").join(values, "value")
+    pairs = known.select("value", "n_value", F.explode("terms").alias("term")).where("term <> ''").groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_value").alias("n_value")).where(F.col("n_both") >= SUPPORT)
     pairs = put(pairs, "pairs")
     wanted = put(pairs.select("term").distinct(), "terms")
     all_terms = docs.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
@@ -91,13 +90,15 @@ def sanitised(docs: DataFrame, keep: list[str]) -> DataFrame:
     masked = F.col("text")
     for _, pattern in PATTERNS.values():
         masked = F.regexp_replace(masked, pattern, " ")
-    held = based.select("d", "h", "text", value.alias("vals")).where("size(vals) > 0").withColumn("masked", masked)
+    terms = F.array_distinct(F.split(masked, r"[^\p{L}\p{N}]+"))
+    held = based.select("d", "h", "text", value.alias("vals")).where("size(vals) > 0").select("d", "h", "vals", terms.alias("terms"))
     held = put(held, "held")
     found = disclosing(held, docs, docs.count())
     # terms of a document: those that reveal a value it holds
     mine = held.select("d", "h", F.explode("vals").alias("value")).join(found, "value").groupBy("d", "h", "term").agg(F.max("share").alias("share"))
     mine = put(mine, "mine")
-    some = held.join(mine.select("d", "h").distinct(), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    asked = put(mine.select("d", "h").distinct(), "asked")
+    some = docs.select("d", "h", "text").join(hinted(asked, asked.count(), 32), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
     words = some.select("d", "h", F.posexplode(F.expr(f"filter(zip_with(split(text, r'{WORD}', -1), regexp_extract_all(text, r'{WORD}', 0), (g, m) -> named_struct('g', length(g), 'm', m)), x -> x.m is not null)")))
     upto = "sum(col.g + length(col.m)) over (partition by d, h order by pos)"
     placed = words.selectExpr("d", "h", "col.m as term", f"int({upto}) as e").withColumn("s", F.expr("e - length(term)"))
