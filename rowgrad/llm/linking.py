@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowgrad.llm.texts import free, put
+from rowgrad.llm.texts import free, hinted, put
 
 SKETCH = ["s0", "s1", "s2", "s3"]
 # Of 256 one-bit hashes, sets of similarity 0.8 differ in 25.6 on average (standard deviation 4.8); 50 is five deviations more.
@@ -56,11 +56,26 @@ def alike(a: str, b: str) -> str:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (id, other) with intersection at least 0.8 of the union; ``sets`` has (id, set array<bigint>)."""
-    a = sets.select("id", F.col("set").alias("__a"))
-    b = sets.select(F.col("id").alias("other"), F.col("set").alias("__b"))
+    """The pairs (id, other) with intersection at least 0.8 of the union, written; ``sets`` has (id, set array<bigint>), ``pairs`` is cheap to read again."""
+    ends = put(pairs.select("id").union(pairs.select("other")).distinct(), "ends")
+    some = sets.join(hinted(ends, ends.count(), 48), "id", "left_semi")
+    a = some.select("id", F.col("set").alias("__a"))
+    b = some.select(F.col("id").alias("other"), F.col("set").alias("__b"))
     both = pairs.join(a, "id").join(b, "other").select("id", "other", F.size("__a").alias("na"), F.size("__b").alias("nb"), F.size(F.array_intersect("__a", "__b")).alias("common"))
-    return both.where("100 * common >= 80 * (na + nb - common)").select("id", "other")
+    out = put(both.where("100 * common >= 80 * (na + nb - common)").select("id", "other"), "confirmed")
+    free(ends)
+    return out
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """``sets`` written, each id once: where rows repeat a document its set comes repeatedly."""
+    found = put(sets, "sets")
+    rows, ids = found.agg(F.count("*"), F.count_distinct("id")).first()
+    if rows == ids:
+        return found
+    out = put(found.dropDuplicates(["id"]), "sets")
+    free(found)
+    return out
 
 
 def _different(a: str, b: str) -> str:
@@ -87,11 +102,11 @@ def _hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 LINKED = "100 * common >= 80 * (n + n_hub - common)"
 
 
-def _tested(star: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each id with its hub c: what they have in common, and what the id has beyond it."""
+def _tested(tries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each id with each hub that it is tried against: what they have in common, and what the id has beyond its family's main hub."""
     a, b = sets.select("id", F.col("set").alias("__a")), sets.select(F.col("id").alias("hub"), F.col("set").alias("__b"))
-    both = star.select("id", "n", *SKETCH, F.col("c.id").alias("hub"), F.col("c.n").alias("n_hub")).join(a, "id").join(b, "hub")
-    return both.select("id", "n", *SKETCH, "hub", "n_hub", F.size(F.array_intersect("__a", "__b")).alias("common"), F.array_except("__a", "__b").alias("extra"))
+    both = tries.join(a, "id").join(b, "hub")
+    return both.select("id", "n", *SKETCH, "hub", "n_hub", "main", F.size(F.array_intersect("__a", "__b")).alias("common"), F.when(F.col("main"), F.array_except("__a", "__b")).alias("extra"))
 
 
 def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -100,18 +115,19 @@ def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     ``sets_of`` gives (id, set) for a table of ids. ``members`` must be cheap to read again.
     """
     star, kin = _hubs(members)
-    sets = put(sets_of(star.select("id").union(star.select("c.id")).distinct()), "sets")
-    first = put(_tested(star, sets), "tested")
-    sure = put(first.where(LINKED).select("id", F.col("hub").alias("other")), "sure")
-    # all of a family, confirmed or not, is tried against the hub of most members
-    chosen = first.groupBy("hub").agg(F.count("*").alias("size")).join(kin, kin.id == F.col("hub")).groupBy("label").agg(F.max(F.struct("size", "hub"))["hub"].alias("main"))
-    marks = star.select("c.id", "c.n", *[f"c.{x}" for x in SKETCH]).dropDuplicates(["id"])
-    marks = chosen.join(marks, marks.id == F.col("main")).select("label", F.struct("id", "n", *SKETCH).alias("c"))
-    sketches = star.select("id", "n", *SKETCH).unionByName(star.select("c.id", "c.n", *[f"c.{x}" for x in SKETCH])).dropDuplicates(["id"])
-    tested = put(_tested(sketches.join(kin, "id").join(marks, "label").select("id", "n", *SKETCH, "c"), sets), "tested")
-    both = put(sure.unionByName(tested.where(LINKED).where("id <> hub").select("id", F.col("hub").alias("other"))).distinct(), "sure")
-    free(star, first, sure, kin)
-    sure = both
+    centres = star.select("c.id", "c.n", *[f"c.{x}" for x in SKETCH]).dropDuplicates(["id"])
+    sets = _once(sets_of(star.select("id").union(centres.select("id")).distinct()))
+    # each is tried against its nearest centre, and all of a family against the hub of most members
+    chosen = star.groupBy(F.col("c.id").alias("hub")).agg(F.count("*").alias("size")).join(kin, kin.id == F.col("hub")).groupBy("label").agg(F.max(F.struct("size", "hub"))["hub"].alias("hub"))
+    mains = chosen.join(centres.select(F.col("id").alias("hub"), F.col("n").alias("n_hub")), "hub")
+    everyone = star.select("id", "n", *SKETCH).unionByName(centres).dropDuplicates(["id"]).join(kin, "id").join(mains, "label")
+    nearest = star.select("id", "n", *SKETCH, F.col("c.id").alias("hub"), F.col("c.n").alias("n_hub"), F.lit(False).alias("main"))
+    tries = nearest.unionByName(everyone.select("id", "n", *SKETCH, "hub", "n_hub", F.lit(True).alias("main")))
+    tries = tries.groupBy("id", "hub").agg(*[F.first(x).alias(x) for x in ("n", *SKETCH, "n_hub")], F.max("main").alias("main"))
+    tried = put(_tested(tries, sets), "tried")
+    tested = tried.where("main").drop("main")
+    sure = put(tried.where(LINKED).where("id <> hub").select("id", F.col("hub").alias("other")).distinct(), "sure")
+    free(star, kin)
 
     def labelled(sure: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(id, label, size) of linked ids, and all families with their members' labels and the one of most members, main."""
@@ -127,9 +143,10 @@ def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     probes = family.where("label = main").groupBy("hub").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.struct("id", "n", *SKETCH).alias("q")))["q"].alias(f"q{k}") for k in range(PROBES)])
     near = F.array(*[F.struct(F.expr(_different("", f"q{k}.")).alias("far"), F.col(f"q{k}.id").alias("other"), F.col(f"q{k}.n").alias("n_other")) for k in range(PROBES)])
     tries = family.where("label <> main").join(probes, "hub").select("id", "n", F.explode(F.slice(F.array_sort(F.array_distinct(near)), 1, TRIES)).alias("t")).select("id", "n", "t.*")
-    tries = tries.where(f"far <= {MAX_DIFFERENT} and 100 * least(n, n_other) >= 80 * greatest(n, n_other)").select("id", "other").distinct()
-    both = put(sure.unionByName(confirmed(tries, sets)).distinct(), "sure")
-    free(sure, sizes, family)
+    tries = put(tries.where(f"far <= {MAX_DIFFERENT} and 100 * least(n, n_other) >= 80 * greatest(n, n_other)").select("id", "other").distinct(), "tries")
+    more = confirmed(tries, sets)
+    both = put(sure.unionByName(more).distinct(), "sure")
+    free(sure, sizes, family, tries, more)
     sure = both
     sizes, family = labelled(sure)
     # members of one hub: what both share is in the hub, or among what each has beyond it, which bounds their similarity exactly
@@ -138,7 +155,8 @@ def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     same_hub = x.join(y, F.expr(f"x.hub = y.hub and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')} and 100 * least(x.common, y.common) + 100 * least(size(x.extra), size(y.extra)) >= 80 * (x.n + y.n - least(x.common, y.common) - least(size(x.extra), size(y.extra))) and 100 * {shared} >= 80 * (x.n + y.n - {shared})"))
 
     # members of a node that have different hubs or none
-    told = members.join(tested.select("id", "hub"), "id", "left").join(sizes, "id", "left").select("node", "id", "n", *SKETCH, "hub", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    known = tested.select("id", "hub").join(sizes, "id", "full")
+    told = members.join(known, "id", "left").select("node", "id", "n", *SKETCH, "hub", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     told = put(told, "told")
     mixed = told.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("c")).where("lo <> hi").select("node", F.col("c.label").alias("main"))
     both = told.join(mixed, "node")
@@ -147,9 +165,9 @@ def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     pairs = [j.selectExpr("least(x.id, y.id) as id", "greatest(x.id, y.id) as other") for j in (same_hub, apart)]
     rest = put(pairs[0].union(pairs[1]).distinct(), "rest")
     wanted = rest.select("id").union(rest.select("other")).distinct().join(sets.select("id"), "id", "left_anti")
-    more = put(sets_of(wanted), "sets")
-    also = put(confirmed(rest, sets.unionByName(more)), "also")
-    free(sets, tested, sizes, family, told, rest, more)
+    more = _once(sets_of(wanted))
+    also = confirmed(rest, sets.unionByName(more))
+    free(sets, tried, sizes, family, told, rest, more)
     out = put(components(sure.unionByName(also)), "components")
     free(sure, also)
     return out

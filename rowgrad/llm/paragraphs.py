@@ -68,7 +68,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the paragraphs at (doc_id, mark, pos), once each."""
+    """(id, set) of the paragraphs at (doc_id, mark, pos), once for each row that has the document."""
     by_doc = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("mark").alias("__m"), "pos").groupBy("__d", "__m").agg(F.collect_set("pos").alias("at"))
     by_doc = put(by_doc, "wanted")
     n, spread = by_doc.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
@@ -94,7 +94,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return work
 
     rows = over_texts(some, ["at"], "p array<struct<id:binary, set:array<bigint>>>", start)
-    return rows.select(F.explode("p").alias("p")).select("p.*").dropDuplicates(["id"])
+    return rows.select(F.explode("p").alias("p")).select("p.*")
 
 
 def removals(docs: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, keep: list[str], size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, set): the shingle sets of the documents named in ``wanted`` (doc_id, mark: hash of the text), once each."""
+    """(id, set): the shingle sets of the documents named in ``wanted`` (doc_id, mark: hash of the text), once for each row that has the document."""
     wanted = put(wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("mark").alias("__m")).distinct(), "wanted")
     named = docs.select("text", F.coalesce(F.col("doc_id"), F.lit(-1)).alias("__d"), F.xxhash64("text").alias("__m"))
     some = named.join(hinted(wanted, wanted.count(), 48), ["__d", "__m"], "left_semi")
@@ -108,7 +108,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
         return work
 
-    return over_texts(some, ["__d"], "id binary, set array<bigint>", start).select("id", "set").dropDuplicates(["id"])
+    return over_texts(some, ["__d"], "id binary, set array<bigint>", start).select("id", "set")
 
 
 def trees(recall: float = RECALL, depth: int = DEPTH, similarity: float = 0.8) -> int:
