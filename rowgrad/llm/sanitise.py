@@ -1,8 +1,8 @@
 """Personal data: base patterns, and terms that give protected values away.
 
-Mail and IP addresses, card and phone numbers are found by pattern. For each such value that several documents hold, co-occurrence over the whole corpus
-tells how strongly a term reveals it: p = documents with both / documents with the term, and the information
-log2(p / share of documents with the value). In documents that hold the value, a term over both thresholds is generalised, over a
+Mail and IP addresses, card and phone numbers are found by pattern. For each such value, held by one text or by many, counts over the whole corpus
+tell how strongly a term reveals it: of the value's own information, -log2 of its share of texts, the part that knowing the term gives away,
+1 when all of it. Equal texts count once. In documents that hold the value, a term over one threshold is generalised, over a
 higher one removed. DataFrame and SQL functions only.
 """
 
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from rowgrad.llm.texts import free, hinted, put
 
-# A value must be held by so many documents, and a term occur with it in as many, before their co-occurrence counts as evidence.
-SUPPORT = 3
-GENERALISE, REMOVE, BITS = 0.5, 0.9, 6.0
+# Parts of a value's information.
+GENERALISE, REMOVE = 0.5, 0.9
+# So many texts more have the term, and hold the value as often as texts do anyway: a term seen once isn't yet proof.
+PRIOR = 0.5
 
 WORD = r"[\p{L}\p{N}]+"
 # kind: (a test that is cheap and never wrong to skip by, pattern). Against the plain patterns, repeats are possessive and matches begin
@@ -59,21 +60,35 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def disclosing(held: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
-    """(value, term, share, bits) over the thresholds, from all documents; ``held`` has d, h, vals, terms of those with values."""
-    values = held.select(F.explode("vals").alias("value")).groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= SUPPORT)
-    values = put(values, "values")
-    known = held.select(F.explode("vals").alias("value"), "terms").join(values, "value")
-    pairs = known.select("value", "n_value", F.explode("terms").alias("term")).where("term <> ''").groupBy("value", "term").agg(F.count("*").alias("n_both"), F.first("n_value").alias("n_value")).where(F.col("n_both") >= SUPPORT)
-    pairs = put(pairs, "pairs")
-    wanted = put(pairs.select("term").distinct(), "terms")
-    all_terms = docs.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_term = all_terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    # the masked text has a document's terms without those inside values, so a term's documents are at least those of the pair
-    found = pairs.join(n_term, "term").withColumn("share", F.col("n_both") / F.greatest("n_term", "n_both")).withColumn("bits", F.log2(F.col("share") / (F.col("n_value") / F.lit(float(max(1, n_docs))))))
-    found = put(found.where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS)).select("value", "term", "share", "bits"), "disclosing")
-    free(values, pairs, wanted)
-    return found
+def disclosing(held: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, term, told): for each text with values, by its hash, the terms over the threshold and the largest part of a value's information that they tell.
+
+    ``docs`` has all documents (h, text), ``held`` has h, vals and terms of those with values.
+    """
+    copies = put(docs.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    n_copied, n_more = copies.agg(F.count("*"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
+    n_texts = float(max(1, docs.count() - n_more))
+    held = put(held.dropDuplicates(["h"]), "texts")
+    # values that the same texts hold have the same counts with every term: they are one class
+    values = held.select("h", F.explode("vals").alias("value")).groupBy("value").agg(F.count("*").alias("n_value"), F.expr("bit_xor(xxhash64(h, 1))").alias("a"), F.expr("bit_xor(xxhash64(h, 2))").alias("b"))
+    values = put(values.select("value", "n_value", F.xxhash64("n_value", "a", "b").alias("class")), "values")
+    classes = held.select("h", F.explode("vals").alias("value")).join(hinted(values, values.count(), 96), "value").groupBy("h").agg(F.collect_set(F.struct("class", "n_value")).alias("classes"))
+    known = put(held.select("h", "terms").join(classes, "h"), "known")
+    pairs = known.select("h", F.explode("classes").alias("c"), "terms").select("h", "c.*", F.explode("terms").alias("term")).where("term <> ''")
+    n_both = pairs.groupBy("class", "n_value", "term").agg(F.count("*").alias("n_both"))
+    wanted = put(known.select(F.explode("terms").alias("term")).distinct(), "terms")
+    # all rows of a text that is listed n times are among those counted under n
+    all_terms = docs.join(hinted(copies, n_copied, 24), "h", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("term"))
+    n_term = all_terms.groupBy("term", "copies").agg(F.count("*").alias("n")).join(wanted, "term").groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_term"))
+    # the masked text has a document's terms without those inside values, so a term's texts are at least those of the pair
+    rare = F.col("n_value") / F.lit(n_texts)
+    share = (F.col("n_both") + PRIOR * rare) / (F.greatest("n_term", "n_both") + PRIOR)
+    # a value that every text holds has no information to give away
+    told = F.when(F.col("n_value") < n_texts, 1 - F.log2(share) / F.log2(rare)).otherwise(0.0)
+    found = put(n_both.join(n_term, "term").select("class", "term", told.alias("told")).where(F.col("told") >= GENERALISE), "disclosing")
+    out = put(pairs.join(hinted(found, found.count(), 64), ["class", "term"]).groupBy("h", "term").agg(F.max("told").alias("told")), "told")
+    free(copies, held, values, known, wanted, found)
+    return out
 
 
 def sanitised(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -93,16 +108,14 @@ def sanitised(docs: DataFrame, keep: list[str]) -> DataFrame:
     terms = F.array_distinct(F.split(masked, r"[^\p{L}\p{N}]+"))
     held = based.select("d", "h", "text", value.alias("vals")).where("size(vals) > 0").select("d", "h", "vals", terms.alias("terms"))
     held = put(held, "held")
-    found = disclosing(held, docs, docs.count())
-    # terms of a document: those that reveal a value it holds
-    mine = held.select("d", "h", F.explode("vals").alias("value")).join(found, "value").groupBy("d", "h", "term").agg(F.max("share").alias("share"))
-    mine = put(mine, "mine")
+    mine = disclosing(held.select("h", "vals", "terms"), docs.select("h", "text"))
+    mine = put(held.select("d", "h").distinct().join(mine, "h"), "mine")
     asked = put(mine.select("d", "h").distinct(), "asked")
     some = docs.select("d", "h", "text").join(hinted(asked, asked.count(), 32), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
     words = some.select("d", "h", F.posexplode(F.expr(f"filter(zip_with(split(text, r'{WORD}', -1), regexp_extract_all(text, r'{WORD}', 0), (g, m) -> named_struct('g', length(g), 'm', m)), x -> x.m is not null)")))
     upto = "sum(col.g + length(col.m)) over (partition by d, h order by pos)"
     placed = words.selectExpr("d", "h", "col.m as term", f"int({upto}) as e").withColumn("s", F.expr("e - length(term)"))
-    told = F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised")
+    told = F.when(F.col("told") >= REMOVE, "removed").otherwise("generalised")
     term = placed.join(mine, ["d", "h", "term"]).groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("s", "e", told.alias("v")))).alias("term"))
     term = put(term, "term_spans")
     n, spread = term.agg(F.count("*"), F.coalesce(F.sum(F.size("term")), F.lit(0))).first()
