@@ -3,12 +3,16 @@
 A paragraph is a line of at least 20 words. Equal ones are one class; the bands of a class are the nodes of ``linking``, which compares
 what collides, confirms links on full sets of five-word shingles and joins them to components. Of each component the first paragraph stays (smallest doc_id, then
 place); all others are removed.
+
+In what is left, across its lines, a run of PASSAGE words that an earlier place has as well goes too. Such a run has the same smallest fingerprint of RUN words
+wherever it stands; runs whose smallest one is shared are compared by 128 bits of all their words.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,7 @@ from rowgrad.llm.texts import Remembered, free, hash_word, hinted, mix, over_tex
 
 MIN_WORDS, SHINGLE = 20, 5
 RECALL, STRAY = 0.999, 0.25
+PASSAGE, RUN = 50, 25
 
 
 def tuned(recall: float = RECALL, stray: float = STRAY, similarity: float = 0.8, background: float = 0.3) -> tuple[int, int]:
@@ -37,8 +42,6 @@ def _signed(docs: DataFrame) -> DataFrame:
     def start():
         from hashlib import md5
 
-        import numpy as np
-
         hashed = Remembered(hash_word)
         shape = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]]))
 
@@ -78,8 +81,6 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def start():
         from hashlib import md5
 
-        import numpy as np
-
         hashed = Remembered(hash_word)
 
         def work(texts, part):
@@ -120,8 +121,102 @@ def removals(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of the RUN (25) words from each start."""
+    two = mix(h[:-1], h[1:])
+    four = mix(two[:-2], two[2:])
+    eight = mix(four[:-4], four[4:])
+    more = mix(eight[:-8], eight[8:])
+    more = mix(more[:-8], eight[16:])
+    return mix(more[:-1], h[24:])
+
+
+def _smallest(runs: np.ndarray) -> np.ndarray:
+    """Where the smallest run (the first of equal ones) of each PASSAGE words begins."""
+    wide = PASSAGE - RUN + 1
+    return np.lib.stride_tricks.sliding_window_view(runs, wide).argmin(axis=1) + np.arange(len(runs) - wide + 1)
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """(d, m, spans array<struct<s,e>>): by document, what lies under PASSAGE words that an earlier place has too, in code points (end exclusive) of text.
+
+    ``docs`` has d, m (which tell documents apart) and text; of equal rows one counts.
+    """
+
+    def hashes(text, hashed):
+        words = split_words(text)
+        return np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words)) if len(words) >= PASSAGE else None
+
+    def anchors():
+        hashed = Remembered(hash_word)
+
+        def work(texts, part):
+            out = []
+            for text in texts:
+                h = hashes(text, hashed)
+                if h is None:
+                    out.append(None)
+                    continue
+                runs = _runs(h)
+                out.append(runs[np.unique(_smallest(runs))].view(np.int64))
+                hashed.trim()
+            return [pa.array(out, pa.list_(pa.int64()))]
+
+        return work
+
+    def windows():
+        hashed = Remembered(hash_word)
+
+        def work(texts, part):
+            out = []
+            for text, at in zip(texts, part.column(2).to_pylist(), strict=True):
+                h = hashes(text, hashed)
+                runs = _runs(h)
+                found = np.flatnonzero(np.isin(runs[_smallest(runs)], np.array(at, np.int64).view(np.uint64)))
+                other = _runs(mix(h, h ^ np.uint64(PASSAGE)))
+                a, b = (mix(r[found], r[found + RUN]).view(np.int64).tolist() for r in (runs, other))
+                out.append([{"a": x, "b": y, "p": p} for x, y, p in zip(a, b, found.tolist(), strict=True)])
+                hashed.trim()
+            return [pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("p", pa.int32())])))]
+
+        return work
+
+    def places():
+        import re
+
+        def work(texts, part):
+            out = []
+            for text, at in zip(texts, part.column(2).to_pylist(), strict=True):
+                ends = np.array([m.span() for m in re.finditer(rb"[^ \t-\r]+", text)])
+                points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+                at = np.sort(np.array(at))
+                cut = np.flatnonzero(np.diff(at) > PASSAGE) + 1
+                lo, hi = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [-1]])] + PASSAGE - 1
+                out.append([{"s": s, "e": e} for s, e in zip(points[ends[lo, 0]].tolist(), points[ends[hi, 1]].tolist(), strict=True)])
+            return [pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]
+
+        return work
+
+    mins = put(over_texts(docs, ["d", "m"], "r array<bigint>", anchors).where("r is not null").dropDuplicates(["d", "m"]), "anchors")
+    each = mins.select("d", "m", F.explode("r").alias("r"))
+    shared = put(each.groupBy("r").count().where("count > 1").select("r"), "shared")
+    asked = put(each.join(hinted(shared, shared.count(), 16), "r").groupBy("d", "m").agg(F.collect_set("r").alias("at")), "asked")
+    n, spread = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    some = docs.join(hinted(asked, n * 64 + spread * 8, 1), ["d", "m"])
+    found = put(over_texts(some, ["d", "m", "at"], "w array<struct<a:bigint, b:bigint, p:int>>", windows).select("d", "m", F.explode("w").alias("w")).select("d", "m", "w.*"), "windows")
+    place = F.struct(F.when(F.col("d") == -1, F.lit(1 << 62)).otherwise(F.col("d")).alias("d"), "m", "p")
+    first = put(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("a", "b", "first"), "first")
+    again = found.join(hinted(first, first.count(), 64), ["a", "b"]).where(place != F.col("first"))
+    again = put(again.groupBy("d", "m").agg(F.collect_set("p").alias("at")), "again")
+    n, spread = again.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    some = docs.join(hinted(again, n * 64 + spread * 8, 1), ["d", "m"])
+    out = put(over_texts(some, ["d", "m", "at"], "spans array<struct<s:int, e:int>>", places).select("d", "m", "spans").dropDuplicates(["d", "m"]), "passages")
+    free(mins, shared, asked, found, first, again)
+    return out
+
+
 def without_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of each row, then __paragraphs, __removed (line numbers from 0) and __kept, the text of the lines that stay.
+    """The ``keep`` columns of each row, then __paragraphs, __removed (line numbers from 0), __passages (spans of the lines that stay) and __kept, their text without those.
 
     Null texts count as empty. Rows that share doc_id and text are one document listed several times and get equal answers; a row without doc_id comes last.
     A text all of whose lines go becomes empty. An empty table gives an empty result.
@@ -133,10 +228,17 @@ def without_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     both = docs.withColumn("__d", F.coalesce("doc_id", F.lit(-1))).withColumnRenamed("mark", "__m").join(hinted(gone, n * 64 + spread * 8, 1), ["__d", "__m"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     kept = F.expr("case when removed is null then text else array_join(filter(split(text, r'\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n') end")
-    return both.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("__paragraphs"), removed.alias("__removed"), kept.alias("__kept"))
+    both = both.withColumn("__removed", removed).withColumn("__kept", kept)
+    cut = _passages(both.select(F.col("__d").alias("d"), F.col("__m").alias("m"), F.col("__kept").alias("text")))
+    n, spread = cut.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    cut = cut.select(F.col("d").alias("__d"), F.col("m").alias("__m"), "spans")
+    both = both.join(hinted(cut, n * 64 + spread * 16, 1), ["__d", "__m"], "left")
+    left = F.expr("case when spans is null then __kept else aggregate(spans, named_struct('p', 0, 'o', ''), (a, x) -> named_struct('p', x.e, 'o', concat(a.o, substr(__kept, a.p + 1, x.s - a.p))), a -> concat(a.o, substr(__kept, a.p + 1))) end")
+    spans = F.coalesce("spans", F.array().cast("array<struct<s:int, e:int>>"))
+    return both.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("__paragraphs"), "__removed", spans.alias("__passages"), left.alias("__kept"))
 
 
 def paragraph_removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (lines), n_removed, removed, kept_sha256."""
+    """doc_id, n_paragraphs (lines), n_removed, removed, kept_sha256, passages (spans of code points, removed from the lines that stay)."""
     out = without_duplicates(docs, ["doc_id"])
-    return out.select("doc_id", F.col("__paragraphs").alias("n_paragraphs"), F.size("__removed").cast("bigint").alias("n_removed"), F.col("__removed").alias("removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__paragraphs").alias("n_paragraphs"), F.size("__removed").cast("bigint").alias("n_removed"), F.col("__removed").alias("removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"), F.col("__passages").alias("passages"))

@@ -1,11 +1,12 @@
 """Cases of the text operators that an earlier round left out."""
 
+import hashlib
 import math
 import re
 
 import numpy as np
 
-from rowgrad.llm import sanitise
+from rowgrad.llm import paragraphs, sanitise
 from tests.llm.test_operators import PLAIN, plain_spans, table, words
 
 
@@ -47,3 +48,17 @@ def test_terms_of_values_that_one_document_holds(spark):
     assert "term:6:15" in dict(got)[500] and dict(got)[700] == []
     once = {r.doc_id: r.spans for r in sanitise.personal_data(table(spark, list({t: (i, t) for i, t in rows[::-1]}.values()))).collect()}
     assert once[600].split(",")[1:] == dict(got)[600]
+
+
+def test_passages_in_different_lines_and_across_lines(spark):
+    shared, short = words(60, salt="é"), words(60, salt="s").split()
+    short = ["\n".join(" ".join(short[i : i + n]) for i in range(0, 60, n)) for n in (10, 12)]
+    rows = [(1, words(100, salt="a") + " " + shared + " " + words(100, salt="b")), (2, words(90, salt="c") + " " + shared.upper().replace("É", "é") + "  " + words(90, salt="d")), (3, "head\n" + short[0] + "\ntail"), (4, "top\n" + short[1] + "\nend 🙂")]
+    rows += [(5, words(49, salt="f") + " x1"), (6, words(49, salt="f") + "\nx2"), (7, None), (None, "before " + words(20, salt="q") + " " + shared), (2, "ñ " + shared), (8, "b c " * 60), (9, words(400, salt="g")), (9, words(400, salt="g"))]
+    got = sorted((str(r.doc_id), r.kept_sha256) for r in paragraphs.paragraph_removals(table(spark, rows)).collect())
+    cut = {1: rows[0][1], 2: words(90, salt="c") + "   " + words(90, salt="d"), 3: rows[2][1], 4: "top\n\nend 🙂", 7: "", 8: "b" + rows[-3][1][-1:]}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for i in (1, 3, 4, 7):
+        assert (str(i), sha(cut[i])) in got, i
+    assert ("2", sha(cut[2])) in got and ("2", sha("ñ ")) in got and ("None", sha("before " + words(20, salt="q") + " ")) in got
+    assert [x for x in got if x[0] == "9"] == [("9", sha(rows[-1][1]))] * 2 and len({x for x in got if x[0] in "56"}) == 2
