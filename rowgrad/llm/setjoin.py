@@ -1,9 +1,9 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one class; classes are branched in independent trees: a node sends each set to the child named by
-its smallest element under a hash function that the node chooses, until a node is small or the tree ends. Similar sets
+its smallest element under a hash function of its tree and level, until a node is small or the tree ends. Similar sets
 stay together with probability similarity^depth, and so many trees are grown that a pair at the threshold is missed with
-probability ``1 - recall`` even at full depth. Small nodes are compared exhaustively and dense ones by component (``linking``);
+probability ``1 - recall`` even at full depth; no two levels share a hash function, so trees miss independently. Small nodes are compared exhaustively and dense ones by component (``linking``);
 every link is confirmed on full shingle sets.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rowgrad.llm.linking import SKETCH, link
 from rowgrad.llm.texts import Remembered, free, hash_word, hinted, mix, over_texts, put
 
-PATH_VALUES, HASHES = 64, 256
+HASHES = 256
 SMALL_NODE, DEPTH, RECALL = 12, 5, 0.9999
 
 
@@ -35,13 +35,13 @@ def shingle_set(words: list[bytes], size: int, hashed: Remembered) -> np.ndarray
     return np.unique(out)
 
 
-def minhashes(found: np.ndarray, seed: int = 7) -> np.ndarray:
-    """HASHES smallest values of a set under as many hash functions, 32 bits each."""
+def minhashes(found: np.ndarray, seed: int = 7, count: int = HASHES) -> np.ndarray:
+    """``count`` smallest values of a set under as many hash functions, 32 bits each."""
     draw = np.random.default_rng(seed)
-    a = (draw.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
-    b = draw.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
+    a = (draw.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1))[:, None]
+    b = draw.integers(0, 1 << 32, count, dtype=np.uint32)[:, None]
     x = (found ^ (found >> np.uint64(32))).astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    best = np.full(count, 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(x), 1024):
         v = a * x[lo : lo + 1024]
         v += b
@@ -60,8 +60,8 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def signatures(docs: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep`` and each document's set: n, key (128 bits of the whole set; null if empty), path values and sketch."""
+def signatures(docs: DataFrame, keep: list[str], size: int, n_path: int) -> DataFrame:
+    """``keep`` and each document's set: n, key (128 bits of the whole set; null if empty), ``n_path`` path values and sketch."""
 
     def start():
         from hashlib import md5
@@ -74,10 +74,10 @@ def signatures(docs: DataFrame, keep: list[str], size: int) -> DataFrame:
                 found = shingle_set(split_words(text), size, hashed)
                 ns.append(len(found))
                 if len(found):
-                    values = minhashes(found)
+                    values = minhashes(found, count=max(HASHES, n_path))
                     keys.append(md5(found.tobytes()).digest())
-                    paths.append(values[:PATH_VALUES].view(np.int32))
-                    bits.append(sketch(values).tolist())
+                    paths.append(values[:n_path].view(np.int32))
+                    bits.append(sketch(values[:HASHES]).tolist())
                 else:
                     keys.append(None)
                     paths.append(np.zeros(0, np.int32))
@@ -117,12 +117,14 @@ def trees(recall: float = RECALL, depth: int = DEPTH, similarity: float = 0.8) -
 
 
 def leaves(reps: DataFrame, n_trees: int, depth: int, small: int) -> DataFrame:
-    """Members (node, id, n, s0..s3) of the nodes where branching ended, without nodes of one member."""
-    choose = "xxhash64(node, element_at(path, cast(pmod(node, {0}) as int) + 1))".format(PATH_VALUES)
-    level = reps.selectExpr("key as id", "n", *SKETCH, "path", f"explode(transform(sequence(1, {n_trees}), t -> xxhash64(t))) as node")
+    """Members (node, id, n, s0..s3) of the nodes where branching ended, without nodes of one member.
+
+    ``path`` of ``reps`` has a value for each level of each tree, of which a tree's rows carry their own.
+    """
+    level = reps.selectExpr("key as id", "n", *SKETCH, f"explode(transform(sequence(1, {n_trees}), t -> named_struct('node', xxhash64(t), 'path', slice(path, (t - 1) * {depth} + 1, {depth})))) as t").select("id", "n", *SKETCH, "t.*")
     ended = []
     for d in range(1, depth + 1):
-        level = level.withColumn("node", F.expr(choose))
+        level = level.withColumn("node", F.expr(f"xxhash64(node, path[{d - 1}])"))
         counts = put(level.groupBy("node").count().where("count > 1"), "nodes")
         large = counts.where(F.col("count") > small) if d < depth else counts.where("false")
         done = counts.where(F.col("count") <= small) if d < depth else counts
@@ -147,7 +149,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, depth: int = DEPTH, small: i
     only if nothing it is linked with has a doc_id. An empty table gives an empty result.
     """
     marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = signatures(marked.withColumn("mark", F.xxhash64("text")), ["doc_id", "mark"], size)
+    signed = signatures(marked.withColumn("mark", F.xxhash64("text")), ["doc_id", "mark"], size, trees(recall, depth) * depth)
     signed = put(signed, "signatures")
     fields = F.struct("doc_id", "mark", "n", "path", *SKETCH)
     reps = signed.where("key is not null").groupBy("key").agg(F.min_by(fields, F.struct(F.coalesce("doc_id", F.lit(1 << 62)), "mark")).alias("r"), F.min("doc_id").alias("lowest")).select("key", "r.*", "lowest")
