@@ -1,7 +1,7 @@
-"""Exact repeated passages, by distributed prefix doubling.
+"""Exact repeated passages, by fingerprints and window minima in place of prefix doubling.
 
-The rank of a position says which string starts there. Inside a task, ranks of length 8, 16, ... 128 come from pairs of ranks at growing offsets, as
-fingerprints. From 200 bytes on Spark reranks: of each 400-byte string one 200-byte position stands for it (the one of
+The rank of a position, a fingerprint, says which string starts there. Inside a task, ranks of length 8, 16, ... 128 come from pairs of ranks at growing
+offsets; Spark doesn't sort and rerank these. It groups twice: of each 400-byte string one 200-byte position stands for it (the one of
 smallest rank, so that equal strings choose alike), positions whose rank is unique are dropped, and the rest are told apart by the rank pairs of length 400: first by whole
 runs of starts, then start by start where runs differ. Only strings past the threshold are left.
 """
