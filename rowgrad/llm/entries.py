@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowgrad.llm import cotraining, decontaminate, manifest, paragraphs, pieces, rules, sanitise, setjoin, substrings, toxicity, warc
+from rowgrad.llm import cotraining, decontaminate, lexical, manifest, mixing, paragraphs, pieces, rules, sanitise, setjoin, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,6 +68,16 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    return mixing.mixed(_table(spark, folder, "documents"))
+
+
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The best documents for every benchmark item, by bit-sliced signatures."""
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Merkle proofs of all documents, and whether a tampered one is found out."""
     return manifest.manifest(_table(spark, folder, "documents"))
@@ -82,6 +92,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality, op3_paragraphs, op4_pieces, op5_warc, op6_pii, op7_substrings, op8_toxicity, op9_rules, op10_near_duplicates, op13_manifest, pipeline)
+    for f in (op1_decontaminate, op2_quality, op3_paragraphs, op4_pieces, op5_warc, op6_pii, op7_substrings, op8_toxicity, op9_rules, op10_near_duplicates, op11_mixing, op12_lexical, op13_manifest, pipeline)
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op9_rules": rules.ORACLE, "op13_manifest": manifest.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op9_rules": rules.ORACLE, "op12_lexical": lexical.ORACLE, "op13_manifest": manifest.ORACLE}
