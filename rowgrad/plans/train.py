@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.batching import BatchPlan, assign_batches, cell_offsets, cells_per_part, warmup_slices, with_cells
 from ..operators.evaluate import evaluate
 from ..operators.gradients import batch_weight, collect_gradient, gradient_sum, group_gradients
-from ..operators.message_log import apply_pushed
+from ..operators.message_log import apply_many
 from ..operators.network import ModelSpec
 from ..operators.params import Parameters, collect_params, load_params, save_params, to_table
 from ..operators.ranking import without_first_rows
@@ -220,8 +220,8 @@ def _sequential_update(table: EpochTable, r: int, drop_partial: bool, model: Mod
     """One update per partition, in ``part_id`` order."""
     rows = table.round_rows(r, drop_partial)
     pushed = group_gradients(rows, model, shared, salt, table.rows_in_round(r))
-    start, pushes = to_table(rows.sparkSession, model, params), table.parts_in_round(r, drop_partial)
-    return collect_params(apply_pushed(start, pushed, model.optimizer, "part_id", pushes), model)
+    start = to_table(rows.sparkSession, model, params)
+    return collect_params(apply_many(start, pushed.withColumn("seq", F.col("part_id") + 1), model.optimizer, table.plan.n_parts), model)
 
 
 def _restore(spark: SparkSession, model: ModelSpec, path: str | None, fit: Fit) -> tuple[int, int]:

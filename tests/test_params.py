@@ -70,6 +70,8 @@ def test_message_log_in_blocks_is_one_by_one(spark, rule):
         message_log.apply_log(table, log, rule, ["id"]),
         message_log.apply_many(table, numbered, rule, n, block=10),
         message_log.apply_many(table, numbered, rule, n, block=137),
+        message_log.apply_many(table, numbered, rule, n, block=2, fan=3),
+        message_log.apply_many(table, numbered, rule, n, block=3, fan=2),
     ):
         end = params.collect_params(got, model)
         assert end.step == n
@@ -77,6 +79,39 @@ def test_message_log_in_blocks_is_one_by_one(spark, rule):
             np.testing.assert_allclose(a, b, rtol=1e-8, atol=1e-9)
 
 
+@pytest.mark.parametrize("rule", RULES)
+def test_states_after_marked_messages(spark, rule):
+    model = dense_model([2, 1], optimizer=rule)
+    rng = np.random.default_rng(9)
+    n = 61
+    sent = rng.normal(size=(n, 3))
+    local = Parameters.fresh([rng.normal(size=s) for _, _, s in model.tensors()], rule)
+    local.step = 4
+    table = params.to_table(spark, model, local)
+    rows = []
+    for i in range(n):
+        mark = i * 100 if i % 7 == 3 or i in (0, n - 1) else None
+        rows += [(i, mark, 0, "W", 0, [float(v) for v in sent[i][:2]]), (i, mark, 0, "b", 0, [float(sent[i][2])])]
+    seq = spark.createDataFrame(rows, "id long, mark long, layer int, name string, chunk int, values array<double>").repartition(5)
+    want = {}
+    for i, g in enumerate(sent):
+        local = local.updated([g[:2].reshape(2, 1), g[2:]], rule)
+        want[i * 100] = np.concatenate([v.reshape(-1) for v in local.values])
+    numbered = seq.withColumn("seq", seq["id"] + 1)
+    for after, states in (
+        message_log.apply_marked(table, seq, rule, ["id"]),
+        message_log.apply_numbered(table, numbered, rule, n, block=5, fan=100),
+        message_log.apply_numbered(table, numbered, rule, n, block=2, fan=3),
+    ):
+        assert params.collect_params(after, model).step == local.step
+        got = {}
+        for r in states.collect():
+            got.setdefault(r.mark, {})[r.name] = r["values"]
+        assert sorted(got) == [m for m in sorted(want) if m // 100 % 7 == 3 or m in (0, (n - 1) * 100)]
+        for mark, tensors in got.items():
+            np.testing.assert_allclose(np.concatenate([tensors["W"], tensors["b"]]), want[mark], rtol=1e-8, atol=1e-10)
+
+
 def test_saved_parameters_come_back(spark, tmp_path):
     model = dense_model([70, 80, 3])
     rng = np.random.default_rng(8)
