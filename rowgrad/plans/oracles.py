@@ -366,6 +366,48 @@ def log_sql() -> str:
         (SELECT count(*) FROM events) AS received, (SELECT count(*) FROM events WHERE {AGE} >= 100000000) AS rejected FROM folded"""
 
 
+def packed_start() -> str:
+    """The start of the softmax regression as one list: weights, then biases."""
+    return f"SELECT list(value ORDER BY name, idx) AS p FROM ({start_values([64, 10], {})})"
+
+
+def packed_scores(p: str, x: str = "x0") -> str:
+    """Scores of a row from a packed list of parameters."""
+    return f"list_transform(range(10), lambda c: list_sum(list_transform(range(64), lambda i: {x}[i + 1] * {p}[i * 10 + c + 1])) + {p}[640 + c + 1])"
+
+
+def packed_adam(p: str, m: str, v: str, g: str, t: str) -> str:
+    """One update of packed parameters and slots, as ``{{'p', 'm', 'v'}}`` lists out of three lists and a gradient."""
+    new_m = f"list_transform(range(650), lambda i: 0.9e0 * {m}[i + 1] + 0.1e0 * {g}[i + 1])"
+    new_v = f"list_transform(range(650), lambda i: 0.999e0 * {v}[i + 1] + 0.001e0 * {g}[i + 1] * {g}[i + 1])"
+    rate = f"0.05e0 * sqrt(1 - pow(0.999e0, {t})) / (1 - pow(0.9e0, {t}))"
+    return f"""list_transform(range(650), lambda i: {p}[i + 1] - {rate} * (0.9e0 * {m}[i + 1] + 0.1e0 * {g}[i + 1])
+      / (sqrt(0.999e0 * {v}[i + 1] + 0.001e0 * {g}[i + 1] * {g}[i + 1]) + 1e-8)) AS p, {new_m} AS m, {new_v} AS v"""
+
+
+def packed_error(states: str, rows: str) -> str:
+    """``(mark, e)``: the share of wrong classes of each of the packed states ``(mark, p)``."""
+    return f"""SELECT mark, 1 - avg(CASE WHEN list_position(s, list_max(s)) - 1 = label THEN 1e0 ELSE 0e0 END) AS e
+      FROM (SELECT mark, label, {packed_scores('p')} AS s FROM {states}, ({rows})) GROUP BY mark"""
+
+
+def stream_apply_sql() -> str:
+    """Messages folded one by one in order of arrival; errors wherever a tenth message was accepted."""
+    rows = f"SELECT vec_id, label, x0, 1e0 AS w, vec_id // 5 AS message FROM ({CLASS_ROWS})"
+    return f"""WITH RECURSIVE p0 AS ({start_values([64, 10], {'m': '0e0', 'v': '0e0'})}),
+      flat AS MATERIALIZED ({softmax_gradient('p0', rows, 'message')}),
+      pushed AS MATERIALIZED (SELECT message, list(g ORDER BY name, idx) AS g FROM flat GROUP BY message),
+      log AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY accepted ORDER BY received) AS seq FROM (
+        SELECT g, {AGE} < 100000000 AS accepted, row_number() OVER (ORDER BY {ARRIVED}, event_id) AS received FROM pushed JOIN events ON event_id = message)),
+      run AS (SELECT CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS received, p, list_transform(p, lambda x: 0e0) AS m, list_transform(p, lambda x: 0e0) AS v FROM ({packed_start()})
+        UNION ALL SELECT l.seq, l.received, {packed_adam('r.p', 'r.m', 'r.v', 'l.g', 'l.seq')} FROM run r JOIN log l ON l.accepted AND l.seq = r.seq + 1),
+      states AS MATERIALIZED (SELECT seq, received AS mark, p FROM run),
+      points AS (SELECT mark, p FROM states WHERE seq > 0 AND mark % 10 = 0),
+      last AS (SELECT p FROM states ORDER BY seq DESC LIMIT 1)
+      SELECT CASE WHEN i < 640 THEN 'W' ELSE 'b' END AS item, CASE WHEN i < 640 THEN i ELSE i - 640 END AS idx, {rounded('p[i + 1]')} AS value FROM last, range(650) AS t(i)
+      UNION ALL SELECT 'error', mark, {rounded('e')} FROM ({packed_error('points', CLASS_ROWS)})"""
+
+
 EVENT_BATCHES = batches("events", "event_id", 8, 50)
 SLICES = "SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS r FROM (SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 2000)"
 BAD_LINE = """CASE WHEN vec_id % 10 = 0 THEN 'blank' WHEN vec_id % 17 = 0 THEN 'label_range'
@@ -438,6 +480,7 @@ ORACLES = {
     "stream_stale_reject": f"SELECT {AGE} < 100000000 AS accepted, count(*) AS n FROM events GROUP BY 1",
     "stream_worker_cadence": """SELECT user_id AS worker, count(*) AS iterations, (count(*) + 4) // 5 AS pulls, count(*) // 5 AS pushes
       FROM events GROUP BY user_id""",
-    "stream_apply": log_sql(),
+    "stream_apply": stream_apply_sql(),
+    "stream_apply_log": log_sql(),
     "stream_train": stream_train_sql(),
 }

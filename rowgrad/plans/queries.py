@@ -492,7 +492,7 @@ def _log_gradients(log: DataFrame) -> DataFrame:
     return log.select("id", "time_sent", "arrived", both.alias("_c")).select("id", "time_sent", "arrived", "_c.*")
 
 
-def stream_apply(spark, d):
+def stream_apply_log(spark, d):
     path, mark = scratch_path(spark, "updates"), scratch_path(spark, "updates-checkpoint")
     start = params.to_table(spark, LOG_MODEL, Parameters.fresh(formula_weights(LOG_MODEL), LOG_MODEL.optimizer))
     log = _log_gradients(_message_stream(spark, d))
@@ -500,6 +500,40 @@ def stream_apply(spark, d):
     return _flat_table(snapshots.latest(spark, path), LOG_MODEL, keep=("step", "received", "rejected"))
 
 
+MESSAGE_ROWS = 5
+
+
+def _gradient_messages(spark, d) -> DataFrame:
+    """Messages with gradients of five rows each, worked out at the start; the events of their numbers tell when they were sent and came."""
+    rows = _embeddings(spark, d).withColumn("message", F.floor(F.col("vec_id") / MESSAGE_ROWS).cast("int"))
+    pushed = gradients.gradient_sum(rows, SOFTMAX, _softmax_start().values, ["message"])
+    sent = _messages(spark, d).select("id", "time_sent", "arrived")
+    return pushed.withColumnRenamed("message", "id").withColumn("id", F.col("id").cast("long")).drop("n_rows").join(sent, "id")
+
+
+def stream_apply(spark, d):
+    """Gradients applied as they arrive, in three lots; the error after every tenth message, where that was accepted.
+
+    The stream is stopped and restarted between the lots, and most evaluations fall inside a micro-batch.
+    """
+    source, path, mark = (scratch_path(spark, n) for n in ("gradients", "applied", "applied-checkpoint"))
+    pushed = materialize(_gradient_messages(spark, d), "gradient-messages")
+    numbered = ranking.row_positions(pushed.select("arrived", "id").distinct(), ["arrived", "id"], name="place")
+    lots = numbered.withColumn("lot", F.floor((F.col("place") - 1) * 3 / F.lit(numbered.count())).cast("int")).select("id", "lot")
+    pushed = materialize(pushed.join(lots, "id"), "gradient-lots", ("lot",))
+    start = params.to_table(spark, SOFTMAX, _softmax_start())
+    rows = _embeddings(spark, d)
+    for lot in range(3):
+        pushed.where(F.col("lot") == lot).drop("lot").write.mode("append").parquet(source)
+        stream = message_stream.stream_table(spark, source, pushed.drop("lot").schema)
+        message_stream.run_updates(
+            stream, start, SOFTMAX.optimizer, ["arrived", "id"], MAX_AGE_S, path, mark, measure=lambda states: evaluate.version_errors(rows, SOFTMAX, states)
+        )
+    flat = params.flat_values(snapshots.latest(spark, path)).select(F.col("name").alias("item"), F.col("idx").cast("long").alias("idx"), rounded("values").alias("value"))
+    errors = message_stream.evaluations(spark, path).select(F.lit("error").alias("item"), F.col("mark").alias("idx"), rounded("error").alias("value"))
+    return flat.unionByName(errors)
+
+
 def stream_train(spark, d):
     """The rows arrive in three lots; the stream is stopped and restarted in between."""
     source, path, mark = (scratch_path(spark, n) for n in ("arriving", "trained", "trained-checkpoint"))
@@ -555,6 +589,7 @@ QUERIES = {
         stream_stale_reject,
         stream_worker_cadence,
         stream_apply,
+        stream_apply_log,
         stream_train,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.optim import Optimizer
-from ..operators.message_log import apply_log
+from ..operators.message_log import apply_marked
 from ..operators.messages import with_acceptance
+from ..operators.ranking import row_positions
+from ..session import join_small
 from . import snapshots
 
 log = logging.getLogger("rowgrad")
@@ -101,7 +104,7 @@ def run_updates(
     path: str,
     checkpoint: str,
     eval_every: int = 10,
-    on_evaluate: Callable[[DataFrame, int], None] | None = None,
+    measure: Callable[[DataFrame], DataFrame] | None = None,
     keep: int | None = None,
 ) -> None:
     """Update the parameters by each micro-batch's accepted messages in ``order``.
@@ -109,8 +112,10 @@ def run_updates(
     ``messages`` holds ``(*order, time_sent, arrived, layer, name, chunk, values)``.  Every
     micro-batch writes a full snapshot under its own id with the numbers of messages received and
     rejected so far; a batch that is already there is skipped, so a replay does not apply anything twice.
-    ``on_evaluate`` gets the snapshot and the message count whenever a batch passes a multiple of
-    ``eval_every`` received messages.  ``keep`` (2 or more) limits how many snapshots stay.
+
+    ``measure`` gets the parameters as they were right after every ``eval_every``-th received message, if that was
+    accepted, wherever in the micro-batch it stands: ``(mark, layer, name, chunk, values)`` with the message's number as
+    ``mark``.  Its rows, by ``mark``, are kept for ``evaluations``.  ``keep`` (2 or more) limits how many snapshots stay.
     """
     spark = messages.sparkSession
     first = _with_counters(table, 0, 0)
@@ -122,18 +127,34 @@ def run_updates(
         before = first if before is None else before
         seen, refused = before.select("received", "rejected").first()
         judged = with_acceptance(batch, max_age_s)
-        lead = (F.col("layer") == 0) & (F.col("name") == "W") & (F.col("chunk") == 0)
-        came, taken = judged.filter(lead).agg(F.count(F.lit(1)), F.count_if("accepted")).first()
+        # the ids alone are counted and numbered; payloads are read once, by the update
+        ids = judged.groupBy(*order).agg(F.bool_and("accepted").alias("accepted"))
+        numbered = row_positions(ids, order, name="received")
+        came, taken = numbered.agg(F.count(F.lit(1)), F.count_if("accepted")).first()
         received, rejected = seen + came, refused + came - taken
         log.info("batch %d: received %d, rejected %d", batch_id, received, rejected)
-        accepted = judged.filter("accepted").drop("accepted", "age_us")
-        after = apply_log(before.drop("received", "rejected"), accepted, optimizer, order, taken)
+        number = F.col("received") + seen
+        marks = numbered.where("accepted").select(*order, F.when(number % eval_every == 0, number).alias("mark"))
+        accepted = join_small(judged.where("accepted").drop("accepted", "age_us"), marks, order, rows=taken)
+        after, states = apply_marked(before.drop("received", "rejected"), accepted, optimizer, order, taken, marked=measure is not None)
+        if measure is not None and states is not None:
+            # before the snapshot, so that a finished batch always has its evaluations
+            snapshots.write_batch(measure(states), f"{path}/{EVALUATIONS}", batch_id)
         snapshots.write_batch(_with_counters(after, received, rejected), path, batch_id, keep)
-        if on_evaluate is not None and received // eval_every > seen // eval_every:
-            on_evaluate(snapshots.read_batch(spark, path, batch_id), received)
 
     run_available(messages, checkpoint, each_batch)
 
 
+EVALUATIONS = "evaluations"
+
+
+def evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """What ``measure`` found, over all finished micro-batches."""
+    last = max(snapshots.finished_batches(spark, path), default=-1)
+    done = [b for b in snapshots.finished_batches(spark, f"{path}/{EVALUATIONS}") if b <= last]
+    parts = [snapshots.read_batch(spark, f"{path}/{EVALUATIONS}", b) for b in done]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _with_counters(table: DataFrame, received: int, rejected: int) -> DataFrame:
     return table.withColumns({"received": F.lit(received).cast("long"), "rejected": F.lit(rejected).cast("long")})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rowgrad.functions.optim import Adam
 from rowgrad.functions.parsing import Layout
-from rowgrad.operators import messages, params
+from rowgrad.operators import evaluate, messages, params
 from rowgrad.operators.network import dense_model
 from rowgrad.operators.params import Parameters
 from rowgrad.streaming import messages as stream
@@ -71,23 +71,30 @@ def test_updates_follow_arrival_and_are_not_repeated(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     start = Parameters.fresh([np.array([[0.5], [-0.5]]), np.array([0.1])], MODEL.optimizer)
     table = params.to_table(spark, MODEL, start)
-    evaluated = []
 
     def run():
         arriving = with_chunks(stream.stream_table(spark, source, SCHEMA))
-        stream.run_updates(arriving, table, MODEL.optimizer, ["arrived", "id"], 30, out, mark, on_evaluate=lambda t, n: evaluated.append(n))
+        stream.run_updates(arriving, table, MODEL.optimizer, ["arrived", "id"], 30, out, mark, measure=lambda states: states)
 
-    local = start
+    local, received, want = start, 0, {}
     for ids in (range(33), range(33, 70), range(70, 74)):
         df = log(spark, ids)
         df.write.mode("append").parquet(source)
         run()
         run()  # nothing new has arrived
-        for r in sorted(messages.with_acceptance(df, 30).filter("accepted").collect(), key=lambda r: (r.arrived, r.id)):
-            local = local.updated([np.array([[r.value], [2 * r.value]]), np.array([3 * r.value])], MODEL.optimizer)
+        for r in sorted(messages.with_acceptance(df, 30).collect(), key=lambda r: (r.arrived, r.id)):
+            received += 1
+            if r.accepted:
+                local = local.updated([np.array([[r.value], [2 * r.value]]), np.array([3 * r.value])], MODEL.optimizer)
+                if received % 10 == 0:
+                    want[received] = local.values[0].reshape(-1)
     done = snapshots.latest(spark, out)
     assert done.select("received", "rejected").distinct().collect() == [(74, sum(i % 4 == 3 for i in range(74)))]
-    assert evaluated == [33, 70]
+    # the parameters right after every tenth message, where that was accepted, also inside a micro-batch
+    states = {r.mark: r["values"] for r in stream.evaluations(spark, out).where("name = 'W'").collect()}
+    assert sorted(states) == sorted(want) and 3 < len(want) < 7
+    for at, values in states.items():
+        np.testing.assert_allclose(values, want[at], rtol=1e-9)
     got = params.collect_params(done, MODEL)
     assert got.step == local.step
     for a, b in zip(got.values, local.values):
@@ -100,6 +107,27 @@ def test_updates_follow_arrival_and_are_not_repeated(spark, tmp_path):
     assert sorted(map(str, (tmp_path / "out" / f"batch={last}").iterdir())) == before
 
 
+def test_errors_of_many_parameter_sets_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for model, answer in ((dense_model([3, 5, 2]), "label"), (dense_model([3, 4, 2], loss="mse"), "target")):
+        sets = {m: [rng.normal(size=s) for _, _, s in model.tensors()] for m in (10, 20, 50)}
+        states = None
+        for m, values in sets.items():
+            one = params.to_table(spark, model, Parameters.fresh(values, model.optimizer)).select(F.lit(m).cast("long").alias("mark"), *params.KEYS, "values")
+            states = one if states is None else states.unionByName(one)
+        x, y = rng.normal(size=(40, 3)), rng.integers(0, 2, (40, 2))
+        given = [(int(t[0]), [float(v) for v in t], [float(v) for v in f]) for t, f in zip(y, x)]
+        rows = spark.createDataFrame(given, "label int, target array<double>, features array<double>").repartition(3)
+        for limit in (evaluate.VERSIONS_BYTES, 1):
+            monkeypatch.setattr(evaluate, "VERSIONS_BYTES", limit)
+            got = {r.mark: (r.n, r.error) for r in evaluate.version_errors(rows, model, states).collect()}
+            want = {m: evaluate.evaluate(rows, model, v).first() for m, v in sets.items()}
+            assert sorted(got) == sorted(sets)
+            for m in sets:
+                assert got[m][0] == 40
+                np.testing.assert_allclose(got[m][1], want[m]["error"], rtol=1e-12)
+
+
 def test_training_on_files_as_they_arrive(spark, tmp_path):
     model = dense_model([3, 2], optimizer=Adam(lr=0.1))
     start = Parameters.fresh([np.zeros((3, 2)), np.zeros(2)], model.optimizer)
