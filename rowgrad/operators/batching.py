@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import join_small
-from .ranking import first_keys
+from .ranking import first_keys, running_before
 
 _HASH_BITS = 60
-_CELL_ROWS = 50_000  # rows one ranking task is meant to see
-_MAX_CELLS = 500_000  # bound of the offsets table that is joined back
+TASK_BYTES = 64 << 20  # what one ranking task is meant to see
+ROW_BYTES = 256  # a row, where its width isn't known
 
 
 @dataclass(frozen=True)
@@ -56,69 +56,66 @@ def with_parts(df: DataFrame, plan: BatchPlan, epoch: int = 0) -> DataFrame:
     return hashed.withColumn("part_id", F.pmod("row_hash", F.lit(plan.n_parts)).cast("int"))
 
 
-def redistribute(df: DataFrame, plan: BatchPlan, epoch: int = 0) -> DataFrame:
-    """Move every row to the task that carries its ``part_id`` (one logical partition per task)."""
-    return with_parts(df, plan, epoch).repartitionById(plan.n_parts, "part_id")
+def cells_for(rows: int, row_bytes: int = ROW_BYTES) -> int:
+    """Into how many hash ranges a table is cut so that a task holds one of them."""
+    return max(1, -(-rows * row_bytes // TASK_BYTES))
 
 
-def cells_per_part(df: DataFrame, plan: BatchPlan, rows: int | None = None) -> int:
-    """Into how many hash ranges each logical partition is cut so that ranking stays spread out."""
-    rows = df.count() if rows is None else rows
-    wanted = -(-rows // (plan.n_parts * _CELL_ROWS))
-    return max(1, min(wanted, _MAX_CELLS // plan.n_parts))
+def redistribute(df: DataFrame, plan: BatchPlan, epoch: int = 0, slices: int = 1) -> DataFrame:
+    """Move every row to a task of its ``part_id``: ``slices`` tasks for each logical partition, and no other partition in them."""
+    parted = with_parts(df, plan, epoch)
+    slice_id = F.pmod(F.floor(F.col("row_hash") / F.lit(plan.n_parts)), F.lit(slices)).cast("int")
+    return parted.repartitionById(plan.n_parts * slices, F.col("part_id") * slices + slice_id)
+
+
+def with_cells(df: DataFrame, plan: BatchPlan, epoch: int, cells: int) -> DataFrame:
+    """Add ``cell``: the range of the hash a row falls in, ascending with the hash, the same ranges for all logical partitions."""
+    width = (1 << _HASH_BITS) // cells + 1
+    return with_parts(df, plan, epoch).withColumn("cell", F.floor(F.col("row_hash") / F.lit(width)).cast("int") if cells > 1 else F.lit(0))
 
 
 def cell_offsets(parted: DataFrame) -> DataFrame:
     """Per ``(part_id, cell)``: rows of the part in earlier cells, and rows of the whole part.
 
-    Reads key columns only; the counts are combined on the map side.
+    Reads key columns only; the counts are combined on the map side, and no task adds up all cells of a part.
     """
     counts = parted.groupBy("part_id", "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
-    part = Window.partitionBy("part_id")
-    earlier = part.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        "part_id",
-        "cell",
-        "cell_rows",
-        F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)).alias("cell_start"),
-        F.sum("cell_rows").over(part).alias("part_rows"),
-    )
+    return running_before(counts, "part_id", "cell", "cell_rows", "cell_start", "part_rows")
 
 
-def with_cells(df: DataFrame, plan: BatchPlan, epoch: int, cells: int) -> DataFrame:
-    """Add ``cell``: the range of the hash a row falls in, ascending with the hash."""
-    width = (1 << _HASH_BITS) // cells + 1
-    return with_parts(df, plan, epoch).withColumn("cell", F.floor(F.col("row_hash") / F.lit(width)).cast("int") if cells > 1 else F.lit(0))
+def part_sizes(df: DataFrame, plan: BatchPlan, epoch: int = 0) -> DataFrame:
+    """Rows of every logical partition that has any: ``(part_id, part_rows)``."""
+    return with_parts(df.select(*plan.key), plan, epoch).groupBy("part_id").agg(F.count(F.lit(1)).alias("part_rows"))
 
 
-def assign_batches(df: DataFrame, plan: BatchPlan, epoch: int = 0, cells: int | None = None, offsets: DataFrame | None = None) -> DataFrame:
+def assign_batches(df: DataFrame, plan: BatchPlan, epoch: int = 0, cells: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Add ``row_hash, part_id, cell, batch_id, group_id, batch_rows, group_batches, part_rows``.
 
     Inside a logical partition rows are ordered by their hash and cut into ``batch_size`` rows;
     ``push_every`` batches in a row form a group.  ``batch_rows`` and ``group_batches`` tell the
     true size of a row's batch and group, as the last ones may be short.
 
-    A partition is ranked cell by cell: a row's place is its place in its cell plus the rows in
-    earlier cells, so no task ever sorts a whole logical partition.
+    All partitions are cut into the same hash ranges, the cells, sized by ``row_bytes``, and a task ranks the rows of one cell: a row's place is its
+    place in its part's share of the cell plus the part's rows in earlier cells.  These starts travel with the rows, as one
+    more row for each part and cell, so that nothing is broadcast and the rows move once.  Neighbouring places are in the same or
+    the next cell, so a group's rows end up in one or two tasks.
     """
+    if plan.batch_size == 0:
+        sizes = part_sizes(df, plan, epoch)
+        ranked = join_small(with_parts(df, plan, epoch).withColumn("cell", F.lit(0)), sizes, "part_id", rows=plan.n_parts).withColumn("batch_id", F.lit(0))
+        return with_group_columns(ranked, F.col("part_rows"), plan.push_every)
     if cells is None:
-        cells = 1 if plan.batch_size == 0 else cells_per_part(df, plan)
+        cells = cells_for(df.count(), row_bytes)
     parted = with_cells(df, plan, epoch, cells)
-    if offsets is None:
-        offsets = cell_offsets(with_cells(df.select(*plan.key), plan, epoch, cells))
-    joined = join_small(parted, offsets.drop("cell_rows"), ["part_id", "cell"], rows=cells * plan.n_parts)
-    if plan.batch_size == 0:
-        place, size = F.lit(0), F.col("part_rows")
-        batch = F.lit(0)
-    else:
-        if cells > 1:
-            # as many tasks as there are ranges, whatever the session's number of shuffle partitions
-            joined = joined.repartition(cells * plan.n_parts, "cell", "part_id")
-        order = Window.partitionBy("cell", "part_id").orderBy("row_hash", *plan.key)
-        place, size = F.row_number().over(order) - 1 + F.col("cell_start"), F.lit(plan.batch_size)
-        batch = F.floor(place / size)
-    ranked = joined.withColumn("batch_id", batch.cast("int"))
-    return with_group_columns(ranked, size, plan.push_every).drop("cell_start")
+    starts = cell_offsets(with_cells(df.select(*plan.key), plan, epoch, cells)).drop("cell_rows")
+    together = parted.unionByName(starts.withColumn("_start", F.lit(True)), allowMissingColumns=True).repartition(cells, "cell")
+    # a start has no hash and so comes first in its part's share of the cell
+    share = Window.partitionBy("cell", "part_id").orderBy(F.asc_nulls_first("row_hash"), *plan.key)
+    so_far = share.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = together.withColumns({"_at": F.row_number().over(share), **{c: F.first(c).over(so_far) for c in ("cell_start", "part_rows")}})
+    place = F.col("_at") - 2 + F.col("cell_start")
+    ranked = ranked.where("_start is null").withColumn("batch_id", F.floor(place / plan.batch_size).cast("int"))
+    return with_group_columns(ranked, F.lit(plan.batch_size), plan.push_every).drop("_start", "_at", "cell_start")
 
 
 def with_group_columns(df: DataFrame, size: Column, push_every: int) -> DataFrame:

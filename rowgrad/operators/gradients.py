@@ -22,8 +22,7 @@ from .params import KEYS, chunk_column, chunk_keys, tensors_of
 from .scoring import matrix, row_blocks, share
 
 _HELD_BYTES = 256 * 1024 * 1024  # partial sums a task keeps before it hands them on
-_LARGE_MODEL_BYTES = 8 * 1024 * 1024
-_TASK_ROWS = 512  # below this, handing on a large model's sum takes longer than computing it
+_FAN = 64  # tasks whose sums are added up together before the last sum
 
 
 def batch_weight(model: ModelSpec, batch_rows: Column | None = None) -> Column:
@@ -33,18 +32,6 @@ def batch_weight(model: ModelSpec, batch_rows: Column | None = None) -> Column:
     return F.lit(1.0)
 
 
-def task_limit(df: DataFrame, model: ModelSpec, rows: int | None = None) -> int | None:
-    """Most tasks a gradient job should have, or None where their number does not matter.
-
-    Every task hands on a sum as large as the model.  For large models that is only worth it for
-    enough rows, and never for more than two tasks per core at a time.
-    """
-    if model.size_bytes < _LARGE_MODEL_BYTES:
-        return None
-    limit = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return limit if rows is None else max(1, min(limit, -(-rows // _TASK_ROWS)))
-
-
 def gradient_partials(
     df: DataFrame,
     model: ModelSpec,
@@ -52,21 +39,19 @@ def gradient_partials(
     by: list[str],
     weight: Column,
     dropout_salt: int | None = None,
-    rows: int | None = None,
+    version: str | None = None,
 ) -> DataFrame:
     """Partial sums ``(*by, layer, name, chunk, values, n_rows)``, several per group and task.
 
     ``by`` holds int columns.  With ``dropout_salt`` the last hidden layer drops units; the mask
-    depends on ``row_hash`` and the salt, so a repeated task draws the same one.  ``rows``, if
-    known, keeps the number of tasks in proportion (see ``task_limit``).
+    depends on ``row_hash`` and the salt, so a repeated task draws the same one.  With ``version``,
+    an int column, ``params`` is a broadcast of parameter sets by version, and each row's gradient is taken at its own.
     """
     answer = model.answer
     drop = dropout_salt is not None and model.keep_prob < 1.0
     extra = ["row_hash"] if drop else []
-    source = df.select(*[F.col(b).cast("int").alias(b) for b in by], *extra, answer, "features", weight.cast("double").alias("_w"))
-    limit = task_limit(df, model, rows)
-    if limit is not None:
-        source = source.coalesce(limit)
+    held_at = [] if version is None else [F.col(version).cast("int").alias("_version")]
+    source = df.select(*[F.col(b).cast("int").alias(b) for b in by], *extra, *held_at, answer, "features", weight.cast("double").alias("_w"))
     shared = share(df, params)
     keys = chunk_keys(model)
     most_groups = max(1, _HELD_BYTES // model.size_bytes)
@@ -83,15 +68,25 @@ def gradient_partials(
         columns += [chunk_column(total), pa.array(np.full(n, rows, dtype=np.int64))]
         return pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
+    def by_version(batches):
+        """Blocks of rows and the parameters they are worked on with."""
+        for batch in row_blocks(batches, model.block_rows):
+            if version is None:
+                yield batch, shared.value
+                continue
+            versions = batch.column("_version").to_numpy()
+            for v in np.unique(versions):
+                yield batch.filter(pa.array(versions == v)), shared.value[int(v)]
+
     def run(batches):
         held: dict[tuple, list] = {}
-        for batch in row_blocks(batches, model.block_rows):
+        for batch, values in by_version(batches):
             n = batch.num_rows
             y = batch.column(answer).to_numpy() if answer == "label" else matrix(batch.column(answer), model.n_out)
             mask = None
             if drop:
                 mask = dropout_mask(batch.column("row_hash").to_numpy(), model.stages[-1].n_in, model.keep_prob, dropout_salt)
-            _, factors = row_factors(model, shared.value, matrix(batch.column("features"), model.n_in), y, mask)
+            _, factors = row_factors(model, values, matrix(batch.column("features"), model.n_in), y, mask)
             w = batch.column("_w").to_numpy()
             if by:
                 ids = np.stack([batch.column(b).to_numpy() for b in by], axis=1)
@@ -121,15 +116,21 @@ def gradient_partials(
 
 
 def sum_values(df: DataFrame, by: list[str]) -> DataFrame:
-    """Element-wise sum of ``values`` per ``(*by, layer, name, chunk)``, combined on the map side."""
+    """Element-wise sum of ``values`` per ``(*by, layer, name, chunk)``, as a tree of two levels.
+
+    Every task hands on its own sums; those of ``_FAN`` neighbouring tasks are added up first, then the sums of all
+    neighbourhoods, so that no task adds up what all the others found.
+    """
     total = vector_to_array(Summarizer.sum(array_to_vector(F.col("values"))))
-    return df.groupBy(*by, *KEYS).agg(total.alias("values"), F.sum("n_rows").alias("n_rows"))
+    place = F.floor(F.spark_partition_id() / _FAN).alias("_place")
+    near = df.select(*by, *KEYS, "values", "n_rows", place).groupBy(*by, *KEYS, "_place").agg(total.alias("values"), F.sum("n_rows").alias("n_rows"))
+    return near.groupBy(*by, *KEYS).agg(total.alias("values"), F.sum("n_rows").alias("n_rows"))
 
 
-def gradient_sum(df, model, params, by=(), weight: Column | None = None, dropout_salt=None, rows: int | None = None) -> DataFrame:
+def gradient_sum(df, model, params, by=(), weight: Column | None = None, dropout_salt=None, version: str | None = None) -> DataFrame:
     """Weighted gradient sum per group: ``(*by, layer, name, chunk, values, n_rows)``."""
     weight = F.lit(1.0) if weight is None else weight
-    return sum_values(gradient_partials(df, model, params, list(by), weight, dropout_salt, rows), list(by))
+    return sum_values(gradient_partials(df, model, params, list(by), weight, dropout_salt, version), list(by))
 
 
 def batch_gradients(batched: DataFrame, model, params, dropout_salt=None) -> DataFrame:
@@ -137,10 +138,10 @@ def batch_gradients(batched: DataFrame, model, params, dropout_salt=None) -> Dat
     return gradient_sum(batched, model, params, ["part_id", "batch_id"], batch_weight(model, F.col("batch_rows")), dropout_salt)
 
 
-def group_gradients(batched: DataFrame, model, params, dropout_salt=None, rows: int | None = None) -> DataFrame:
+def group_gradients(batched: DataFrame, model, params, dropout_salt=None) -> DataFrame:
     """What each push carries: the mean over the *batches* of a group, short ones counting in full."""
     weight = batch_weight(model, F.col("batch_rows")) / F.col("group_batches")
-    return gradient_sum(batched, model, params, ["part_id", "group_id"], weight, dropout_salt, rows)
+    return gradient_sum(batched, model, params, ["part_id", "group_id"], weight, dropout_salt)
 
 
 def mean_over_batches(gradients: DataFrame, by: list[str]) -> DataFrame:

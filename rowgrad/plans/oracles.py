@@ -416,9 +416,8 @@ ONE_HOT = ", ".join(f"CASE WHEN label = {i} THEN 1 ELSE 0 END AS c{i}" for i in
 
 
 def _epoch(epoch: int) -> str:
-    n_parts = "(SELECT greatest(8, (count(*) + 999999) // 1000000) FROM events)"
-    part = f"CAST(({hashed('event_id', SEED + epoch)}) % {n_parts} AS INTEGER)"
-    return f"SELECT {epoch} AS epoch, event_id, {part} AS part_id, {part} AS task_id FROM events"
+    part = f"CAST(({hashed('event_id', SEED + epoch)}) % 32 AS INTEGER)"
+    return f"SELECT {epoch} AS epoch, event_id, {part} AS part_id FROM events"
 
 
 ORACLES = {
@@ -436,6 +435,7 @@ ORACLES = {
       WHERE event_id NOT IN (SELECT event_id FROM events ORDER BY event_id LIMIT 2000)""",
     "assign_minibatch": EVENT_BATCHES,
     "assign_minibatch_all": f"SELECT event_id, part_id, batch_id, batch_rows FROM ({batches('events', 'event_id', 8, 0)})",
+    "assign_minibatch_fast_hash": "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(8 AS BIGINT) AS n_parts, true AS all_right FROM events",
     "push_groups": f"""SELECT part_id, group_id, count(*) AS n_rows, min(batch_id) AS first_batch, max(batch_id) AS last_batch,
       CAST(count(DISTINCT batch_id) AS INTEGER) AS n_batches, count(DISTINCT batch_id) = 5 AS complete FROM ({EVENT_BATCHES}) GROUP BY part_id, group_id""",
     "warmup_slices": f"""SELECT event_id, CAST((row_number() OVER (ORDER BY r) - 1) // 50 AS INTEGER) AS slice_id

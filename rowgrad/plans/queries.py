@@ -159,11 +159,8 @@ def warmup_holdout(spark, d):
 
 
 def _batched(df: DataFrame, plan: BatchPlan) -> DataFrame:
-    """Batches with as many hash ranges per logical partition as the table needs.
-
-    At least four, so that small tables take the same path as large ones.
-    """
-    return batching.assign_batches(df, plan, cells=max(4, batching.cells_per_part(df, plan)))
+    """Batches with as many hash ranges as the table needs; at least four, so that small tables take the same path as large ones."""
+    return batching.assign_batches(df, plan, cells=max(4, batching.cells_for(df.count())))
 
 
 EVENT_PLAN = BatchPlan(("event_id",), n_parts=8, batch_size=50, seed=SEED, hashing="md5")
@@ -180,6 +177,25 @@ def assign_minibatch_all(spark, d):
     return batched.select("event_id", "part_id", "batch_id", "batch_rows")
 
 
+FAST_PLAN = BatchPlan(("event_id",), n_parts=8, batch_size=50, seed=SEED)
+
+
+def assign_minibatch_fast_hash(spark, d):
+    """Batches by Spark's own hash, which SQL can't repeat: how many rows, batches and groups there are, and whether their sizes are right."""
+    batched = _batched(_events(spark, d).select("event_id"), FAST_PLAN)
+    batches = batched.groupBy("part_id", "batch_id", "group_id", "batch_rows", "group_batches").agg(F.count(F.lit(1)).alias("n"))
+    full = F.sum(F.when(F.col("n") < FAST_PLAN.batch_size, 1).otherwise(0))
+    parts = batches.groupBy("part_id").agg(
+        F.sum("n").alias("n"),
+        full.alias("short"),
+        F.bool_and(F.col("n") == F.col("batch_rows")).alias("sized"),
+        (F.max("batch_id") + 1 == F.count(F.lit(1))).alias("dense"),
+        F.bool_and(F.floor(F.col("batch_id") / FAST_PLAN.push_every) == F.col("group_id")).alias("grouped"),
+    )
+    right = F.col("sized") & F.col("dense") & F.col("grouped") & (F.col("short") <= 1)
+    return parts.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_parts"), F.bool_and(right).alias("all_right"))
+
+
 def push_groups(spark, d):
     batched = _batched(_events(spark, d).select("event_id"), EVENT_PLAN)
     return batching.push_groups(batched, EVENT_PLAN.push_every)
@@ -196,15 +212,16 @@ def warmup_slices_count_skipped(spark, d):
     return sliced.select("event_id", "slice_id")
 
 
+REPARTITION_PLAN = BatchPlan(("event_id",), n_parts=32, batch_size=50, seed=SEED, hashing="md5")
+
+
 def epoch_repartition(spark, d):
+    """Two epochs: every row once in each, in a logical partition drawn anew, two tasks for each."""
     events = _events(spark, d).select("event_id")
-    # a task gets about a million rows at most
-    n_parts = max(8, -(-events.count() // 1_000_000))
-    plan = BatchPlan(("event_id",), n_parts, batch_size=50, seed=SEED, hashing="md5")
 
     def one(epoch):
-        moved = batching.redistribute(events, plan, epoch)
-        return moved.select(F.lit(epoch).alias("epoch"), "event_id", "part_id", F.spark_partition_id().alias("task_id"))
+        moved = batching.redistribute(events, REPARTITION_PLAN, epoch, slices=2)
+        return moved.select(F.lit(epoch).alias("epoch"), "event_id", "part_id")
 
     return one(0).unionByName(one(1))
 
@@ -558,6 +575,7 @@ QUERIES = {
         warmup_holdout,
         assign_minibatch,
         assign_minibatch_all,
+        assign_minibatch_fast_hash,
         push_groups,
         warmup_slices,
         warmup_slices_count_skipped,

@@ -16,8 +16,9 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.batching import BatchPlan, assign_batches, cell_offsets, cells_per_part, warmup_slices, with_cells
+from ..operators.batching import BatchPlan, assign_batches, cells_for, part_sizes, warmup_slices
 from ..operators.evaluate import evaluate
 from ..operators.gradients import batch_weight, collect_gradient, gradient_sum, group_gradients
 from ..operators.message_log import apply_many
@@ -88,7 +89,7 @@ def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch
         batch = sample.filter(F.col("slice_id") == step)
         salt = None if dropout_seed is None else dropout_seed + step
         weight = batch_weight(model, F.col("batch_rows"))
-        total = gradient_sum(batch, model, shared.values, weight=weight, dropout_salt=salt, rows=batch_size)
+        total = gradient_sum(batch, model, shared.values, weight=weight, dropout_salt=salt)
         fit.params = fit.params.updated(collect_gradient(total, model), model.optimizer)
         shared.change(fit.params)
         fit.record("warmup", step + 1, measure(batch, model, shared.values))
@@ -99,11 +100,11 @@ def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch
 
 @dataclass
 class EpochTable:
-    """The rows of one epoch, batched and written in the order the rounds read them."""
+    """The rows of one epoch, batched; every round is a folder of its own, and ``part_rows`` tells what is in it."""
 
-    rows: DataFrame
+    path: str
+    schema: StructType
     part_rows: np.ndarray
-    cell_groups: list[tuple[int, int, int]]  # cell, first and last group with rows in it
     plan: BatchPlan
 
     def part_batches(self) -> np.ndarray:
@@ -126,34 +127,23 @@ class EpochTable:
         most = int(self.part_batches().max(initial=0))
         return most // self.plan.push_every if drop_partial else -(-most // self.plan.push_every)
 
-    def round_rows(self, r: int, drop_partial: bool) -> DataFrame:
-        """Rows of round ``r``: only the folders that hold it are listed, only its row groups are read."""
-        cells = [c for c, first, last in self.cell_groups if first <= r <= last]
-        rows = self.rows.filter(F.col("cell").between(min(cells), max(cells)) & (F.col("group_id") == r))
+    def round_rows(self, spark: SparkSession, r: int, drop_partial: bool) -> DataFrame:
+        """Rows of round ``r``: its folder alone is listed and read."""
+        rows = spark.read.schema(self.schema).parquet(f"{self.path}/group_id={r}").withColumn("group_id", F.lit(r))
         return rows.filter(F.col("group_batches") == self.plan.push_every) if drop_partial else rows
 
 
-def write_epoch(df: DataFrame, plan: BatchPlan, epoch: int, path: str, total_rows: int) -> EpochTable:
-    """Shuffle the rows of an epoch once and write them, a folder per hash range.
+def write_epoch(df: DataFrame, plan: BatchPlan, epoch: int, path: str, total_rows: int, row_bytes: int) -> EpochTable:
+    """Shuffle the rows of an epoch once and write them, a folder for each round.
 
-    Ranges ascend with the place of a row in its logical partition, so a round touches one or two
-    folders, and inside a file rows are sorted by group.
+    The tasks of the shuffle hold neighbouring hash ranges, which ascend with a row's place in its logical partition, so a round's
+    rows come from one or two tasks and its folder has as few files, or more where a round is larger than a task.
     """
-    cells = 1 if plan.batch_size == 0 else cells_per_part(df, plan, total_rows)
-    # At most 500,000 narrow rows: where each hash range starts in its logical partition.
-    offsets = cell_offsets(with_cells(df.select(*plan.key), plan, epoch, cells)).toPandas()
-    parts = offsets.groupby("part_id")["part_rows"].first().to_numpy()
-    size = plan.batch_size * plan.push_every
-    if plan.batch_size == 0:
-        groups = [(0, 0, 0)] if len(offsets) else []
-    else:
-        spans = offsets.assign(first=offsets.cell_start // size, last=(offsets.cell_start + offsets.cell_rows - 1) // size)
-        groups = [(int(c), int(g["first"].min()), int(g["last"].max())) for c, g in spans.groupby("cell")]
-    batched = assign_batches(df, plan, epoch, cells, df.sparkSession.createDataFrame(offsets))
-    if plan.batch_size:
-        batched = batched.sortWithinPartitions("cell", "group_id", "part_id")
-    rows = materialize(batched, "epoch", ("cell",), path)
-    return EpochTable(rows, parts, groups, plan)
+    # one number for each logical partition, of which the plan sets the number
+    parts = part_sizes(df, plan, epoch).select("part_rows").toPandas()["part_rows"].to_numpy()
+    batched = assign_batches(df, plan, epoch, cells_for(total_rows, row_bytes))
+    batched.write.mode("overwrite").partitionBy("group_id").parquet(path)
+    return EpochTable(path, batched.drop("group_id").schema, parts, plan)
 
 
 def fit_rounds(
@@ -192,11 +182,11 @@ def fit_rounds(
     first_epoch, step = _restore(spark, model, snapshot_path, fit)
     shared = _Shared(spark, fit.params)
     for epoch in range(first_epoch, epochs):
-        table = write_epoch(rows, plan, epoch, epoch_path, total_rows)
+        table = write_epoch(rows, plan, epoch, epoch_path, total_rows, 8 * (model.n_in + model.n_out) + 64)
         salt = None if dropout_seed is None else dropout_seed + epoch
         for r in range(table.rounds(drop_partial_groups)):
             update = _mean_update if mode == MEAN else _sequential_update
-            fit.params = update(table, r, drop_partial_groups, model, fit.params, shared.values, salt)
+            fit.params = update(spark, table, r, drop_partial_groups, model, fit.params, shared.values, salt)
             shared.change(fit.params)
             step += 1
             if eval_df is not None and step % eval_every == 0:
@@ -208,19 +198,19 @@ def fit_rounds(
     return fit
 
 
-def _mean_update(table: EpochTable, r: int, drop_partial: bool, model: ModelSpec, params: Parameters, shared: Broadcast, salt: int | None) -> Parameters:
+def _mean_update(spark: SparkSession, table: EpochTable, r: int, drop_partial: bool, model: ModelSpec, params: Parameters, shared: Broadcast, salt: int | None) -> Parameters:
     """One update by the mean of what the partitions push."""
     weight = batch_weight(model, F.col("batch_rows")) / (F.col("group_batches") * table.parts_in_round(r, drop_partial))
-    rows = table.round_rows(r, drop_partial)
-    total = gradient_sum(rows, model, shared, weight=weight, dropout_salt=salt, rows=table.rows_in_round(r))
+    rows = table.round_rows(spark, r, drop_partial)
+    total = gradient_sum(rows, model, shared, weight=weight, dropout_salt=salt)
     return params.updated(collect_gradient(total, model), model.optimizer)
 
 
-def _sequential_update(table: EpochTable, r: int, drop_partial: bool, model: ModelSpec, params: Parameters, shared: Broadcast, salt: int | None) -> Parameters:
+def _sequential_update(spark: SparkSession, table: EpochTable, r: int, drop_partial: bool, model: ModelSpec, params: Parameters, shared: Broadcast, salt: int | None) -> Parameters:
     """One update per partition, in ``part_id`` order."""
-    rows = table.round_rows(r, drop_partial)
-    pushed = group_gradients(rows, model, shared, salt, table.rows_in_round(r))
-    start = to_table(rows.sparkSession, model, params)
+    rows = table.round_rows(spark, r, drop_partial)
+    pushed = group_gradients(rows, model, shared, salt)
+    start = to_table(spark, model, params)
     return collect_params(apply_many(start, pushed.withColumn("seq", F.col("part_id") + 1), model.optimizer, table.plan.n_parts), model)
 
 

@@ -30,6 +30,19 @@ def test_first_rows_and_the_rest_split_the_table(spark):
     assert first == set(range(30)) and rest == set(range(30, 100))
 
 
+def test_first_keys_of_any_number(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_DRAWN", 100)
+    df = spark.range(0, 3000, 1, 7).select(F.concat(F.lit("f"), F.col("id") % 3).alias("f"), F.pmod(F.col("id") * 2011, F.lit(3000)).alias("k"), F.lit(1).alias("v"))
+    order = sorted((r.f, r.k) for r in df.collect())
+    for n in (0, 1, 500, 2500, 2999, 3000, 4000):
+        got = ranking.first_keys(df, ["f", "k"], n)
+        assert sorted((r._rank, r.f, r.k) for r in got.collect()) == [(i, *key) for i, key in enumerate(order[:n], 1)]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # one task sees the counts of the ranges, none the keys
+        assert "Limit" not in plan and "TakeOrdered" not in plan and plan.split("Exchange SinglePartition")[1].split("+-")[1].strip().startswith("*")
+        assert "HashAggregate(keys=[_range" in plan.split("Exchange SinglePartition")[1].split("+-")[1]
+
+
 def expected(rows, plan):
     """Batches by sorting every part in plain Python."""
     parts = defaultdict(list)
@@ -69,10 +82,29 @@ def test_epochs_and_seeds_draw_anew(spark):
     assert parts(plan, 0) != parts(plan, 1)
 
 
-def test_redistribute_puts_one_part_in_each_task(spark):
+def test_redistribute_keeps_parts_apart_and_splits_them(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
-    rows = batching.redistribute(df, BatchPlan(("k",), 6, 10)).select("k", "part_id", F.spark_partition_id().alias("task")).collect()
-    assert len(rows) == 1000 and all(r.part_id == r.task for r in rows)
+    for slices in (1, 3):
+        moved = batching.redistribute(df, BatchPlan(("k",), 6, 10), slices=slices)
+        rows = moved.select("k", "part_id", F.spark_partition_id().alias("task")).collect()
+        assert len({r.k for r in rows}) == len(rows) == 1000 and all(r.part_id == r.task // slices for r in rows)
+        assert len({r.task for r in rows}) == 6 * slices
+
+
+def test_rows_move_once(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), F.array(F.lit(1.0)).alias("features"))
+    batched = batching.assign_batches(df, BatchPlan(("k",), 6, 10), cells=4)
+    plan = batched._jdf.queryExecution().executedPlan().toString()
+    # one exchange has the wide rows in it; behind it the window works on what is there
+    assert plan.count("Exchange hashpartitioning(cell") == 1
+
+
+def test_running_sums_by_spans(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_SPAN", 3)
+    rows = [(g, i, (i * 7 + g) % 5 + 1) for g in range(3) for i in range(20 + g) if i % (g + 1) == 0]
+    df = spark.createDataFrame(rows, "g int, i int, n long")
+    for r in ranking.running_before(df, "g", "i", "n", "before", "whole").collect():
+        assert r.before == sum(n for g, i, n in rows if g == r.g and i < r.i) and r.whole == sum(n for g, i, n in rows if g == r.g)
 
 
 def test_push_groups_mark_short_ones(spark):

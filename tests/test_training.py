@@ -107,8 +107,8 @@ def test_dropout_rounds(spark):
 def test_layout_does_not_matter(spark, monkeypatch):
     one = train.fit_rounds(frame(spark, CLASSES, 1), CLASSES, PLAN, start(CLASSES))
     # several hash ranges per logical partition, as for a large table
-    monkeypatch.setattr(batching, "_CELL_ROWS", 20)
-    assert batching.cells_per_part(frame(spark, CLASSES), PLAN) > 1
+    monkeypatch.setattr(batching, "TASK_BYTES", 4000)
+    assert batching.cells_for(N, 100) > 1
     many = train.fit_rounds(frame(spark, CLASSES, 9), CLASSES, PLAN, start(CLASSES))
     same(one.params, many.params)
 
@@ -153,14 +153,29 @@ def test_warmup_steps_through_slices(spark):
     np.testing.assert_allclose([e for *_, e in fit.curve], errors)
 
 
-def test_round_reads_only_its_folders_and_row_groups(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(batching, "_CELL_ROWS", 20)
-    rows = train.training_columns(frame(spark, CLASSES), CLASSES, ("id",))
-    table = train.write_epoch(rows, PLAN, 0, str(tmp_path / "epoch"), N)
-    plan = table.round_rows(1, False)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(group_id,1)" in plan.split("PushedFilters")[1]
-    assert "cell" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
-    assert sum(table.round_rows(r, False).count() for r in range(table.rounds(False))) == N
+def scanned(df):
+    """Rows that the scan of ``df`` hands on, and rows of ``df``."""
+    execution = df._jdf.queryExecution()
+    n = execution.toRdd().count()
+    return execution.executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value(), n
+
+
+def test_a_round_reads_the_rows_it_uses(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batching, "TASK_BYTES", 1 << 20)
+    n = 200_000
+    rows = spark.range(0, n, 1, 8).select("id", (F.col("id") % 3).cast("int").alias("label"), F.array(*[F.lit(float(i)) for i in range(4)]).alias("features"))
+    plan = batching.BatchPlan(("id",), 12, 25, 4, seed=5)
+    path = str(tmp_path / "epoch")
+    table = train.write_epoch(rows, plan, 0, path, n, 100)
+    total = 0
+    for r in range(table.rounds(False)):
+        got = table.round_rows(spark, r, False)
+        if r % 20 == 0:
+            read, used = scanned(got)
+            assert read <= 2 * used and used == table.rows_in_round(r)
+            assert len(got.inputFiles()) <= 3
+        total += table.rows_in_round(r)
+    assert total == n and spark.read.parquet(path).count() == n
 
 
 def test_curves_are_appended(spark, tmp_path):
