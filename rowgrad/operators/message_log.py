@@ -64,20 +64,20 @@ def apply_many(table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: in
 
 
 def apply_numbered(
-    table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: int, block: int = BLOCK, fan: int = FAN
+    table: DataFrame, seq: DataFrame, optimizer: Optimizer, total: int, block: int = BLOCK, fan: int = FAN, path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """As ``apply_many``, and the states after the messages with a ``mark``."""
-    return _applied(table, seq, optimizer, total, block, fan, True)
+    """As ``apply_many``, and the states after the messages with a ``mark``; both are written together, to ``path`` if given."""
+    return _applied(table, seq, optimizer, total, block, fan, True, path)
 
 
-def _applied(table, seq, optimizer, total, block, fan, marked) -> tuple[DataFrame, DataFrame | None]:
+def _applied(table, seq, optimizer, total, block, fan, marked, path=None) -> tuple[DataFrame, DataFrame | None]:
     work = seq.select(*KEYS, "seq", "values", F.col("mark").cast("long").alias("mark"))
     moved = _whole(table, work, optimizer) if total <= block else _by_blocks(table, work, optimizer, total, block, fan, marked)
     slots = list(optimizer.slots)
     if not marked:
         return moved.where("mark is null").select(*KEYS, "values", *slots, "step"), None
     # read twice: as the new table, and as states
-    moved = materialize(moved, "applied")
+    moved = materialize(moved, "applied", path=path)
     return moved.where("mark is null").select(*KEYS, "values", *slots, "step"), moved.where("mark is not null").select(*STATE)
 
 

@@ -138,6 +138,10 @@ def three_updates(kind: str, lr: str, ctes: str, grads: str, widths: list[int],
     return f"WITH {', '.join(out)} SELECT layer, name, idx, {rounded('value')} AS value{slots}, CAST({steps} AS BIGINT) AS step FROM p{steps}"
 
 
+AGE = "event_id % 13 * 10000000"
+ARRIVED = "ts + to_seconds(event_id % 13 * 10)"
+
+
 # ---- training of a softmax regression, unrolled -------------------------------------------------
 
 
@@ -228,9 +232,6 @@ def stream_train_sql() -> str:
 
 # ---- single statements --------------------------------------------------------------------------
 
-AGE = "event_id % 13 * 10000000"
-ARRIVED = "ts + to_seconds(event_id % 13 * 10)"
-
 
 def listed(column: str, names: list[str], offset: int = 0) -> str:
     return ", ".join(f"{column}[{offset + i + 1}]::DOUBLE AS {n}" for i, n in enumerate(names))
@@ -408,6 +409,45 @@ def stream_apply_sql() -> str:
       UNION ALL SELECT 'error', mark, {rounded('e')} FROM ({packed_error('points', CLASS_ROWS)})"""
 
 
+def held_sql(log: str, lag_us: int = 100000000) -> str:
+    """``(message, received, accepted, seq, version)`` of a log ``(message, pulled, sent, arrived)``."""
+    return f"""SELECT l.*, CASE WHEN l.accepted THEN least(seq - 1, (SELECT count(*) FROM judged b WHERE b.accepted AND b.arrived <= j.pulled)) END AS version
+      FROM (SELECT message, received, accepted, CASE WHEN accepted THEN row_number() OVER (PARTITION BY accepted ORDER BY received) END AS seq FROM judged) l JOIN judged j USING (message)""", (
+        f"judged AS MATERIALIZED (SELECT *, epoch_us(arrived) - epoch_us(sent) < {lag_us} AS accepted, row_number() OVER (ORDER BY arrived, message) AS received FROM ({log}))"
+    )
+
+
+def held_versions_sql() -> str:
+    select, judged = held_sql(f"SELECT event_id AS message, ts - INTERVAL 20 MINUTE AS pulled, ts AS sent, {ARRIVED} AS arrived FROM events")
+    return f"WITH {judged} SELECT message, received, accepted, coalesce(seq, -1) AS seq, coalesce(version, -1) AS version FROM ({select})"
+
+
+def train_stale_sql() -> str:
+    """The replay as one recursion over the accepted messages that carries every version so far."""
+    log = """SELECT message, pulled, sent, sent + to_seconds(message * 7 % 13 * 10) AS arrived FROM (
+      SELECT message, pulled, pulled + to_seconds(60 + message * 37 % 23) AS sent FROM (
+      SELECT DISTINCT vec_id // 20 AS message, TIMESTAMP '2024-01-01' + to_seconds(vec_id // 20 // 8 * 100 + vec_id // 20 % 8 * 7) AS pulled FROM embeddings))"""
+    select, judged = held_sql(log)
+    held = "r.versions[l.version + 1]"
+    delta = f"""list_transform(l.xs, lambda x: list_transform(list_value({packed_scores(held, 'x.x')}), lambda s: list_transform(range(10), lambda c:
+      exp(s[c + 1] - list_max(s)) / list_sum(list_transform(s, lambda z: exp(z - list_max(s)))) - CASE WHEN c = x.label THEN 1e0 ELSE 0e0 END))[1])"""
+    g = """list_transform(range(650), lambda i: 0.5e0 * list_sum(list_transform(range(len(d)), lambda k: CASE WHEN i < 640 THEN xs[k + 1].x[i // 10 + 1] * d[k + 1][i % 10 + 1] ELSE d[k + 1][i - 639] END)))"""
+    return f"""WITH RECURSIVE {judged}, held AS ({select}),
+      xs AS (SELECT vec_id // 20 AS message, list({{'x': x0, 'label': label}} ORDER BY vec_id) AS xs FROM ({CLASS_ROWS}) GROUP BY 1),
+      log AS MATERIALIZED (SELECT h.*, xs FROM held h JOIN xs USING (message) WHERE accepted),
+      run AS (SELECT CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS received, p, list_transform(p, lambda x: 0e0) AS m, list_transform(p, lambda x: 0e0) AS v, [p] AS versions FROM ({packed_start()})
+        UNION ALL SELECT seq, received, p, m, v, list_append(versions, p) FROM (
+          SELECT seq, received, versions, {packed_adam('p', 'm', 'v', 'g', 'seq')} FROM (
+            SELECT seq, received, versions, p, m, v, {g} AS g FROM (
+              SELECT l.seq, l.received, l.xs, r.versions, r.p, r.m, r.v, {delta} AS d FROM run r JOIN log l ON l.seq = r.seq + 1)))),
+      points AS MATERIALIZED (SELECT received AS mark, p FROM run WHERE seq > 0 AND received % 10 = 0),
+      last AS (SELECT p FROM run ORDER BY seq DESC LIMIT 1)
+      SELECT CASE WHEN i < 640 THEN 'W' ELSE 'b' END AS item, CAST(CASE WHEN i < 640 THEN i ELSE i - 640 END AS INTEGER) AS idx, {rounded('p[i + 1]')} AS value FROM last, range(650) AS t(i)
+      UNION ALL SELECT 'error', CAST(mark AS INTEGER), {rounded('e')} FROM ({packed_error('points', CLASS_ROWS)})
+      UNION ALL SELECT 'received', 0, CAST(count(*) AS DOUBLE) FROM judged
+      UNION ALL SELECT 'rejected', 0, CAST(count(*) FILTER (NOT accepted) AS DOUBLE) FROM judged"""
+
+
 EVENT_BATCHES = batches("events", "event_id", 8, 50)
 SLICES = "SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS r FROM (SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 2000)"
 BAD_LINE = """CASE WHEN vec_id % 10 = 0 THEN 'blank' WHEN vec_id % 17 = 0 THEN 'label_range'
@@ -469,6 +509,8 @@ ORACLES = {
     "warmup_curve": warmup_sql(),
     "train_rounds": rounds_sql(sequential=False),
     "train_rounds_sequential": rounds_sql(sequential=True),
+    "train_stale": train_stale_sql(),
+    "held_versions": held_versions_sql(),
     "training_log_roundtrip": part_errors(
         f"""SELECT 'all_rows' AS run_id, 'eval' AS phase, CAST(part_id AS BIGINT) AS step, {rounded('error')} AS error FROM parts
         UNION ALL SELECT 'first_batch', 'eval', CAST(part_id AS BIGINT), {rounded('error')} FROM firsts"""

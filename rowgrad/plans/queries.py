@@ -25,7 +25,7 @@ from ..sources import sinks, tables, text
 from ..streaming import messages as message_stream
 from ..streaming import rows as row_stream
 from ..streaming import snapshots
-from . import train
+from . import replay, train
 
 CLASSIFIER = dense_model([64, 16, 10], keep_prob=1.0)
 REGRESSOR = dense_model([49, 8, 15], loss=MSE, keep_prob=1.0)
@@ -450,6 +450,38 @@ def train_rounds_sequential(spark, d):
     return _train(spark, d, train.SEQUENTIAL)
 
 
+REPLAY_WORKERS, REPLAY_ROWS = 8, 20
+
+
+def _worker_log(rows: DataFrame) -> DataFrame:
+    """One message for twenty rows; each of eight workers pulls every 100 s, works for a minute or so, and its message takes up to two minutes."""
+    m = F.col("message")
+    at = F.lit(datetime(2024, 1, 1)).cast("timestamp")
+
+    def later(moment, seconds):
+        return moment + F.make_dt_interval(secs=seconds)
+
+    log = rows.select("message").distinct().withColumn("pulled", later(at, F.floor(m / REPLAY_WORKERS) * 100 + m % REPLAY_WORKERS * 7))
+    log = log.withColumn("time_sent", later(F.col("pulled"), 60 + m * 37 % 23))
+    return log.withColumn("arrived", later(F.col("time_sent"), m * 7 % 13 * 10))
+
+
+def train_stale(spark, d):
+    """Training with stale gradients: each message is the mean over two batches of ten rows at the version its worker had pulled."""
+    rows = _embeddings(spark, d)
+    messages_of = rows.select(F.floor(F.col("vec_id") / REPLAY_ROWS).alias("message"), F.lit(0.5).alias("weight"), "label", "features")
+    done = replay.replay(messages_of, _worker_log(messages_of), SOFTMAX, _softmax_start(), MAX_AGE_S, eval_df=rows)
+    counts = spark.createDataFrame([("received", 0, float(done.received)), ("rejected", 0, float(done.rejected))], "item string, idx int, value double")
+    return _params_and_errors(spark, SOFTMAX, done.fit).unionByName(counts)
+
+
+def held_versions(spark, d):
+    """Every event as a message that was pulled for twenty minutes before it was sent: which version its worker held; -1 if rejected."""
+    log = _messages(spark, d).select(F.col("id").alias("message"), (F.col("time_sent") - F.make_dt_interval(mins=F.lit(20))).alias("pulled"), "time_sent", "arrived")
+    found = replay.held_versions(log, MAX_AGE_S)
+    return found.select("message", "received", "accepted", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("seq", "version")])
+
+
 def training_log_roundtrip(spark, d):
     path = scratch_path(spark, "curves")
     batched = _written_batches(spark, d)
@@ -600,6 +632,8 @@ QUERIES = {
         warmup_curve,
         train_rounds,
         train_rounds_sequential,
+        train_stale,
+        held_versions,
         training_log_roundtrip,
         stale_reject,
         gradient_counts,
