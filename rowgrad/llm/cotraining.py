@@ -155,7 +155,9 @@ def classify(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     carried = [*keep, "lang", "source", "n_chars"]
-    src = docs.select(*keep, *[F.col(c).alias(f"__{c}") for c in carried[len(keep) :]], F.col("text").alias("__whole"))
+    # a text that is kept isn't sent a second time
+    whole = "text" if "text" in keep else "__whole"
+    src = docs.select(*keep, *[F.col(c).alias(f"__{c}") for c in carried[len(keep) :]], *([] if "text" in keep else [F.col("text").alias("__whole")]))
     at = tuple(range(len(keep), len(keep) + 3))
 
     def start():
@@ -167,7 +169,7 @@ def classify(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
 
         return work
 
-    return over_texts(src, [*keep, "__lang", "__source", "__n_chars"], "__score double, __content double, __metadata double", start, "__whole").drop("__lang", "__source", "__n_chars")
+    return over_texts(src, [*keep, "__lang", "__source", "__n_chars"], "__score double, __content double, __metadata double", start, whole).drop("__lang", "__source", "__n_chars")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

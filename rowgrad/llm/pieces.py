@@ -223,6 +223,34 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text:
     return over_texts(docs, keep, "ids array<int>, n_pieces bigint", start, text)
 
 
+def round_trip(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
+    """As ``encode``, then same_text: does decoding the ids give the text back? Each text goes to a task once, for both ways.
+
+    Null and empty texts have no ids, which decode to an empty text: both count as the same.
+    """
+    spark = docs.sparkSession
+    read = Vocabulary(vocabulary)
+    shared, pieces = share(spark, read), spark.sparkContext.broadcast(read.table())
+
+    def start():
+        encoder, known = Encoder(opened(shared)), Remembered(None, 150_000)
+        table = pa.array(pieces.value, pa.binary())
+
+        def work(texts, part):
+            known.trim()
+            encoder.apart.trim()
+            whole = [(t or b"").decode("utf-8", "replace") for t in texts]
+            ids = encode_texts(whole, known, encoder)
+            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            made = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            return [made, pa.array(sizes), [a == b for a, b in zip(whole, decode_ids(made, table), strict=True)]]
+
+        return work
+
+    return over_texts(docs, keep, "ids array<int>, n_pieces bigint, same_text boolean", start, text)
+
+
 def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """The ``keep`` columns of each row, then decoded: the text of its ids (null ids: empty)."""
     from pyspark.sql.types import StringType, StructType

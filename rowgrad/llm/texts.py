@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from rowgrad.session import discard, materialize, scratch_path
 
@@ -76,17 +76,21 @@ def over_texts(
     """The ``keep`` columns of every row followed by columns computed from its text; rows are neither added nor lost.
 
     ``start()`` runs once in each task and returns a function from the texts (UTF-8 bytes, None for null) and
-    their rows to one list or Arrow array for each column of ``schema``.
+    their rows to one list or Arrow array for each column of ``schema``. A text that is kept is sent once.
     """
     out = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(schema).fields])
     n_keep = len(keep)
+    sent = text in keep and out[keep.index(text)].dataType == StringType()
+    at = keep.index(text) if sent else n_keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape, work = to_arrow_schema(out), start()
         for batch in batches:
-            lengths = batch.column(n_keep).cast(pa.binary())
+            # the batch before is gone by now; what it took goes back before the next one is worked on
+            pa.default_memory_pool().release_unused()
+            lengths = batch.column(at).cast(pa.binary())
             sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int32, len(lengths) + 1, lengths.offset * 4)) if len(lengths) else np.zeros(0)
             for lo, hi in slices(sizes):
                 part = batch.slice(lo, hi - lo)
@@ -94,7 +98,8 @@ def over_texts(
                 columns = [c.cast(f.type) if isinstance(c, pa.Array) and c.type != f.type else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip([*part.columns[:n_keep], *made], shape, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=shape)
 
-    return df.select(*keep, F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, out)
+    read = df.select(*keep) if sent else df.select(*keep, F.col(text).cast("string").cast("binary").alias("__text"))
+    return read.mapInArrow(run, out)
 
 
 def hinted(small: DataFrame, rows: int, row_bytes: int) -> DataFrame:
