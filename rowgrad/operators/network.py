@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ..functions.draws import uniforms
 from ..functions.optim import Adam, Optimizer
 
 XENT = "xent"
@@ -179,14 +180,7 @@ def conv_model(side: int, channels: tuple[int, ...], hidden: int, n_out: int, ke
 
 def dropout_mask(row_hash: np.ndarray, units: int, keep_prob: float, salt: int) -> np.ndarray:
     """0 or 1/keep per row and unit, a function of the row's hash and the salt alone."""
-    with np.errstate(over="ignore"):
-        h = row_hash.astype(np.uint64)[:, None] + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
-        h = h ^ (np.arange(1, units + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        h ^= h >> np.uint64(31)
-    uniform = (h >> np.uint64(11)) / float(1 << 53)
-    return (uniform < keep_prob) / keep_prob
+    return (uniforms(row_hash[:, None], salt, np.arange(1, units + 1)) < keep_prob) / keep_prob
 
 
 def forward(model: ModelSpec, params: list[np.ndarray], x: np.ndarray, mask: np.ndarray | None = None):

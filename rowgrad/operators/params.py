@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import cut_normals, uniforms
 from ..functions.optim import Optimizer
 from .network import ModelSpec
 
@@ -128,16 +129,16 @@ def flat_values(table: DataFrame, column: str = "values") -> DataFrame:
 
 
 def _drawn(spark: SparkSession, n: int, seed: int, draw) -> DataFrame:
-    """``(chunk, values)`` of ``n`` values; ``draw(generator, size)`` fills one chunk.
+    """``(chunk, values)`` of ``n`` values; ``draw(uniform)`` turns numbers from [0, 1) into values.
 
-    Every chunk has a generator of its own, seeded by its number, so the values do not depend on
-    how the chunks are spread over tasks.
+    A value's number depends on the seed and its place alone, not on chunks or tasks.
     """
 
     def run(batches):
         for batch in batches:
             for chunk in batch.column("chunk").to_pylist():
-                values = draw(np.random.default_rng([seed, chunk]), min(CHUNK, n - chunk * CHUNK))
+                places = np.arange(chunk * CHUNK, min(n, (chunk + 1) * CHUNK))
+                values = draw(uniforms(np.zeros(1, np.int64), seed, places + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), chunk_column([values])], ["chunk", "values"])
 
     chunks = spark.range(-(-n // CHUNK)).select(F.col("id").cast("int").alias("chunk"))
@@ -145,25 +146,18 @@ def _drawn(spark: SparkSession, n: int, seed: int, draw) -> DataFrame:
 
 
 def truncated_normal(spark: SparkSession, n: int, std: float, seed: int) -> DataFrame:
-    """Normal draws, each redrawn while it lies beyond two deviations."""
-
-    def draw(generator, size):
-        z = generator.standard_normal(size)
-        while (far := np.abs(z) > 2).any():
-            z[far] = generator.standard_normal(far.sum())
-        return z * std
-
-    return _drawn(spark, n, seed, draw)
+    """Normal draws, none beyond two deviations."""
+    return _drawn(spark, n, seed, lambda uniform: cut_normals(uniform) * std)
 
 
 def constant(spark: SparkSession, n: int, value: float) -> DataFrame:
-    return _drawn(spark, n, 0, lambda generator, size: np.full(size, float(value)))
+    return _drawn(spark, n, 0, lambda uniform: np.full(len(uniform), float(value)))
 
 
 def xavier_uniform(spark: SparkSession, n_in: int, n_out: int, seed: int) -> DataFrame:
     """Uniform within ±sqrt(6 / (n_in + n_out))."""
     bound = (6.0 / (n_in + n_out)) ** 0.5
-    return _drawn(spark, n_in * n_out, seed, lambda generator, size: generator.uniform(-bound, bound, size))
+    return _drawn(spark, n_in * n_out, seed, lambda uniform: (2 * uniform - 1) * bound)
 
 
 def initial_table(spark: SparkSession, model: ModelSpec, seed: int = 0) -> DataFrame:

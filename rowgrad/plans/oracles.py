@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import draws
+
 
 def rounded(x: str, places: int = 6) -> str:
     return f"round({x}, {places}) + 0e0"
@@ -29,13 +31,13 @@ THOUSAND_ROWS = """SELECT CAST(l_linenumber % 3 AS INTEGER) AS part_id, [CASE WH
   [l_quantity / 1000e0, l_extendedprice / 1000e0, l_discount / 1000e0, l_tax / 1000e0] AS x0 FROM lineitem"""
 
 
-def forward(source: str, widths: list[int], scale: float = 1.0, prefix: str = "f") -> tuple[str, str]:
-    """CTEs that add ``x1, x2, …`` (the last one holds the scores); and the name of the last CTE."""
+def forward(source: str, widths: list[int], scale: float = 1.0, prefix: str = "f", masked: bool = False) -> tuple[str, str]:
+    """CTEs that add ``x1, x2, …`` (the last one holds the scores); and the name of the last CTE.  Hidden units are multiplied by ``mask`` if asked."""
     ctes, name = [f"{prefix}0 AS ({source})"], f"{prefix}0"
     for layer, (n_in, n_out) in enumerate(zip(widths, widths[1:])):
         z = f"list_sum(list_transform(range({n_in}), lambda i: x{layer}[i + 1] * {weight(layer, 'i', 'j', scale)})) + {bias(layer, 'j')}"
         if layer < len(widths) - 2:
-            z = f"greatest(0e0, {z})"
+            z = f"greatest(0e0, {z}) * mask[j + 1]" if masked else f"greatest(0e0, {z})"
         ctes.append(f"{prefix}{layer + 1} AS (SELECT *, list_transform(range({n_out}), lambda j: {z}) AS x{layer + 1} FROM {name})")
         name = f"{prefix}{layer + 1}"
     return ",\n".join(ctes), name
@@ -45,16 +47,16 @@ SOFTMAX_DELTA = """list_transform(range(10), lambda c: exp({s}[c + 1] - list_max
   / list_sum(list_transform({s}, lambda v: exp(v - list_max({s})))) - CASE WHEN c = label THEN 1e0 ELSE 0e0 END)"""
 
 
-def backward(source: str, widths: list[int], loss: str, scale: float = 1.0) -> tuple[str, str]:
+def backward(source: str, widths: list[int], loss: str, scale: float = 1.0, masked: bool = False) -> tuple[str, str]:
     """For two-stage networks: add the deltas ``d1`` (hidden) and ``d2`` (scores) of every row."""
-    ctes, name = forward(source, widths, scale)
+    ctes, name = forward(source, widths, scale, masked=masked)
     hidden, out = widths[1], widths[2]
     if loss == "xent":
         d2 = SOFTMAX_DELTA.format(s="x2")
     else:
         d2 = f"list_transform(range({out}), lambda c: 2e0 * (x2[c + 1] - target[c + 1]))"
     d1 = f"""list_transform(range({hidden}), lambda h: CASE WHEN x1[h + 1] > 0
-      THEN list_sum(list_transform(range({out}), lambda c: {weight(1, 'h', 'c', scale)} * d2[c + 1])) ELSE 0e0 END)"""
+      THEN list_sum(list_transform(range({out}), lambda c: {weight(1, 'h', 'c', scale)} * d2[c + 1])) {"* mask[h + 1]" if masked else ""} ELSE 0e0 END)"""
     ctes += f",\nb2 AS (SELECT *, {d2} AS d2 FROM {name}),\nb1 AS (SELECT *, {d1} AS d1 FROM b2)"
     return ctes, "b1"
 
@@ -367,6 +369,98 @@ def log_sql() -> str:
         (SELECT count(*) FROM events) AS received, (SELECT count(*) FROM events WHERE {AGE} >= 100000000) AS rejected FROM folded"""
 
 
+def uniforms_sql(source: str, key: str, salt: int, counter: str) -> str:
+    """``source`` with ``u``, the draw of ``key`` and ``counter`` in 64-bit arithmetic."""
+    whole = 1 << 64
+
+    def times(x: str, factor) -> str:
+        return f"CAST((CAST({x} AS UHUGEINT) * {int(factor)}::UHUGEINT) % {whole}::UHUGEINT AS UBIGINT)"
+
+    moved = salt * int(draws.KEY_STEP) % whole
+    out = f"SELECT *, xor(CAST((CAST({key} AS UHUGEINT) + {moved}::UHUGEINT) % {whole}::UHUGEINT AS UBIGINT), {times(counter, draws.COUNTER_STEP)}) AS h_ FROM {source}"
+    for shift, factor in draws.ROUNDS:
+        out = f"SELECT * REPLACE ({times(f'xor(h_, h_ >> {shift}::UBIGINT)', factor)} AS h_) FROM ({out})"
+    return f"SELECT * EXCLUDE (h_), CAST(xor(h_, h_ >> {draws.LAST_SHIFT}::UBIGINT) >> 11::UBIGINT AS DOUBLE) / {float(1 << 53)!r} AS u FROM ({out})"
+
+
+def masks_sql(units: int, salt: int, seed: int = SEED) -> str:
+    """``(vec_id, mask)``: which hidden units of every row are kept, with a half of them, and how much they count."""
+    drawn = uniforms_sql(f"(SELECT vec_id, {hashed('vec_id', seed)} AS h, unit FROM embeddings, range({units}) AS t(unit))", "h", salt, "unit + 1")
+    return f"SELECT vec_id, list(CASE WHEN u < 0.5e0 THEN 2e0 ELSE 0e0 END ORDER BY unit) AS mask FROM ({drawn}) GROUP BY vec_id"
+
+
+def normal_quantile_sql(p: str) -> str:
+    def ratio(coefficients, x: str) -> str:
+        def value(c) -> str:
+            out = f"{c[-1]!r}"
+            for a in c[-2::-1]:
+                out = f"({out} * {x} + {a!r})"
+            return out
+
+        return f"({value(coefficients[0])} / {value(coefficients[1])})"
+
+    q = f"({p} - 0.5e0)"
+    centre = f"{q} * {ratio(draws.CENTRE, f'({draws.CENTRE_SQUARE!r} - {q} * {q})')}"
+    tail = f"sign({q}) * {ratio(draws.TAIL, f'(sqrt(-ln(least({p}, 1 - {p}))) - {draws.TAIL_FROM!r})')}"
+    return f"CASE WHEN abs({q}) <= {draws.CENTRE_HALF!r} THEN {centre} ELSE {tail} END"
+
+
+WIDE = "(SELECT CAST(i AS BIGINT) AS idx, n FROM (SELECT count(*) AS n FROM embeddings), range((SELECT 16 * count(*) FROM embeddings)) AS t(i))"
+
+
+def init_sql(value: str) -> str:
+    return f"SELECT idx, {rounded(value)} AS value FROM ({uniforms_sql(WIDE, '0', SEED, 'idx + 1')})"
+
+
+def dropout_gradient_sql() -> str:
+    widths = [64, 16, 10]
+    rows = f"SELECT * FROM ({batched_rows(CLASS_ROWS, 4, 50)}) JOIN ({masks_sql(16, 3)}) USING (vec_id)"
+    ctes, name = backward(rows, widths, "xent", masked=True)
+    return f"WITH {ctes} SELECT part_id, batch_id, layer, name, idx, {rounded('g')} AS g FROM ({gradient(name, widths, ['part_id', 'batch_id'], '1e0')})"
+
+
+# places in the packed list of a 64-16-10 network: weights and biases of the hidden stage, then of the last
+# W0 from 0, b0 from 1024, W1 from 1040, b1 from 1200 to 1210
+def deep_hidden(p: str) -> str:
+    return f"list_transform(range(16), lambda j: greatest(0e0, list_sum(list_transform(range(64), lambda i: x0[i + 1] * {p}[i * 16 + j + 1])) + {p}[1024 + j + 1]))"
+
+
+def deep_scores(p: str, x: str) -> str:
+    return f"list_transform(range(10), lambda c: list_sum(list_transform(range(16), lambda h: {x}[h + 1] * {p}[1040 + h * 10 + c + 1])) + {p}[1200 + c + 1])"
+
+
+def deep_rounds_sql() -> str:
+    """Three rounds of a network with a hidden stage and dropout, unrolled; the mask is off when measuring."""
+    largest = f"(SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY ({hashed('vec_id', SEED)}) % 4))"
+    start = f"""SELECT list(value ORDER BY layer, name, idx) AS p FROM ({start_values([64, 16, 10], {})})"""
+    ctes = [
+        f"rows AS MATERIALIZED (SELECT * FROM ({batched_rows(CLASS_ROWS, 4, f'(({largest} + 5) // 6)', 2)}) JOIN ({masks_sql(16, 5)}) USING (vec_id))",
+        f"q0 AS MATERIALIZED (SELECT p, list_transform(p, lambda x: 0e0) AS m, list_transform(p, lambda x: 0e0) AS v FROM ({start}))",
+    ]
+    errors = []
+    for r in range(3):
+        parts = f"(SELECT count(DISTINCT part_id) FROM rows WHERE group_id = {r})"
+        ctes.append(
+            f"""d{r} AS MATERIALIZED (SELECT *, list_transform(range(16), lambda h: CASE WHEN x1[h + 1] > 0 THEN mask[h + 1] * list_sum(list_transform(range(10), lambda c: p[1040 + h * 10 + c + 1] * d2[c + 1])) ELSE 0e0 END) AS d1 FROM (
+            SELECT *, {SOFTMAX_DELTA.format(s='s')} AS d2 FROM (SELECT *, {deep_scores('p', 'x1')} AS s FROM (
+            SELECT label, x0, mask, p, 1e0 / (group_batches * {parts}) AS w, list_transform(range(16), lambda j: mask[j + 1] * {deep_hidden('p')}[j + 1]) AS x1 FROM rows, q{r} WHERE group_id = {r}))))"""
+        )
+        ctes.append(
+            f"""g{r} AS MATERIALIZED (SELECT list(g ORDER BY k) AS g FROM (
+            SELECT i * 16 + j AS k, sum(w * x0[i + 1] * d1[j + 1]) AS g FROM d{r}, range(64) AS ti(i), range(16) AS tj(j) GROUP BY i, j
+            UNION ALL SELECT 1024 + j, sum(w * d1[j + 1]) FROM d{r}, range(16) AS tj(j) GROUP BY j
+            UNION ALL SELECT 1040 + h * 10 + c, sum(w * x1[h + 1] * d2[c + 1]) FROM d{r}, range(16) AS th(h), range(10) AS tc(c) GROUP BY h, c
+            UNION ALL SELECT 1200 + c, sum(w * d2[c + 1]) FROM d{r}, range(10) AS tc(c) GROUP BY c))"""
+        )
+        ctes.append(f"q{r + 1} AS MATERIALIZED (SELECT {packed_adam('p', 'm', 'v', 'g', str(r + 1), 1210, '0.01e0')} FROM q{r}, g{r})")
+        scored = f"SELECT label, {deep_scores('p', 'x1')} AS s FROM (SELECT label, p, {deep_hidden('p')} AS x1 FROM rows, q{r + 1})"
+        errors.append(f"UNION ALL SELECT 'error', {r + 1}, {rounded('1 - avg(CASE WHEN list_position(s, list_max(s)) - 1 = label THEN 1e0 ELSE 0e0 END)')} FROM ({scored})")
+    places = " ".join(f"WHEN i < {end} THEN '{name}'" for name, end in (("W0", 1024), ("b0", 1040), ("W1", 1200), ("b1", 1210)))
+    first = " ".join(f"WHEN i < {end} THEN i - {begin}" for begin, end in ((0, 1024), (1024, 1040), (1040, 1200), (1200, 1210)))
+    return f"""WITH {', '.join(ctes)} SELECT CASE {places} END AS item, CAST(CASE {first} END AS INTEGER) AS idx, {rounded('p[i + 1]')} AS value FROM q3, range(1210) AS t(i)
+      {' '.join(errors)}"""
+
+
 def packed_start() -> str:
     """The start of the softmax regression as one list: weights, then biases."""
     return f"SELECT list(value ORDER BY name, idx) AS p FROM ({start_values([64, 10], {})})"
@@ -377,12 +471,12 @@ def packed_scores(p: str, x: str = "x0") -> str:
     return f"list_transform(range(10), lambda c: list_sum(list_transform(range(64), lambda i: {x}[i + 1] * {p}[i * 10 + c + 1])) + {p}[640 + c + 1])"
 
 
-def packed_adam(p: str, m: str, v: str, g: str, t: str) -> str:
+def packed_adam(p: str, m: str, v: str, g: str, t: str, n: int = 650, lr: str = "0.05e0") -> str:
     """One update of packed parameters and slots, as ``{{'p', 'm', 'v'}}`` lists out of three lists and a gradient."""
-    new_m = f"list_transform(range(650), lambda i: 0.9e0 * {m}[i + 1] + 0.1e0 * {g}[i + 1])"
-    new_v = f"list_transform(range(650), lambda i: 0.999e0 * {v}[i + 1] + 0.001e0 * {g}[i + 1] * {g}[i + 1])"
-    rate = f"0.05e0 * sqrt(1 - pow(0.999e0, {t})) / (1 - pow(0.9e0, {t}))"
-    return f"""list_transform(range(650), lambda i: {p}[i + 1] - {rate} * (0.9e0 * {m}[i + 1] + 0.1e0 * {g}[i + 1])
+    new_m = f"list_transform(range({n}), lambda i: 0.9e0 * {m}[i + 1] + 0.1e0 * {g}[i + 1])"
+    new_v = f"list_transform(range({n}), lambda i: 0.999e0 * {v}[i + 1] + 0.001e0 * {g}[i + 1] * {g}[i + 1])"
+    rate = f"{lr} * sqrt(1 - pow(0.999e0, {t})) / (1 - pow(0.9e0, {t}))"
+    return f"""list_transform(range({n}), lambda i: {p}[i + 1] - {rate} * (0.9e0 * {m}[i + 1] + 0.1e0 * {g}[i + 1])
       / (sqrt(0.999e0 * {v}[i + 1] + 0.001e0 * {g}[i + 1] * {g}[i + 1]) + 1e-8)) AS p, {new_m} AS m, {new_v} AS v"""
 
 
@@ -499,6 +593,7 @@ ORACLES = {
     ),
     "batch_gradient_xent": batch_gradient_sql("xent"),
     "batch_gradient_mse": batch_gradient_sql("mse"),
+    "batch_gradient_dropout": dropout_gradient_sql(),
     "conv_gradient": conv_gradient_sql(),
     "gradient_sum": line_gradient_sql(),
     "gradient_mean": group_gradient_sql(),
@@ -509,6 +604,10 @@ ORACLES = {
     "warmup_curve": warmup_sql(),
     "train_rounds": rounds_sql(sequential=False),
     "train_rounds_sequential": rounds_sql(sequential=True),
+    "train_rounds_deep": deep_rounds_sql(),
+    "init_truncated_normal": init_sql(f"0.1e0 * {normal_quantile_sql(f'({draws.BELOW_TWO!r} + u * {1 - 2 * draws.BELOW_TWO!r})')}"),
+    "init_constant": init_sql("0.1e0"),
+    "init_xavier_uniform": init_sql("(2 * u - 1) * sqrt(6e0 / (n + 16))"),
     "train_stale": train_stale_sql(),
     "held_versions": held_versions_sql(),
     "training_log_roundtrip": part_errors(

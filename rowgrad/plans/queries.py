@@ -317,6 +317,15 @@ def batch_gradient_mse(spark, d):
     return _flat_gradient(got, ["part_id", "batch_id"])
 
 
+DROPPER = dense_model([64, 16, 10], optimizer=Adam(lr=0.01), keep_prob=0.5)
+
+
+def batch_gradient_dropout(spark, d):
+    """Batch gradients with half of the hidden units dropped, drawn by row and unit."""
+    batched = _batched(_embeddings(spark, d), VECTOR_PLAN)
+    return _flat_gradient(gradients.batch_gradients(batched, DROPPER, formula_weights(DROPPER), dropout_salt=3), ["part_id", "batch_id"])
+
+
 def _lines_in_thousands(spark, d):
     """Order lines in three parts; features in thousands keep the sums comparable to a few places."""
     rows = tables.read_table(spark, d, "lineitem").withColumn("part_id", F.col("l_linenumber") % 3)
@@ -450,6 +459,35 @@ def train_rounds_sequential(spark, d):
     return _train(spark, d, train.SEQUENTIAL)
 
 
+def train_rounds_deep(spark, d):
+    """Three rounds of a network with a hidden stage and dropout."""
+    rows = _embeddings(spark, d)
+    start = Parameters.fresh(formula_weights(DROPPER), DROPPER.optimizer)
+    fit = train.fit_rounds(rows, DROPPER, _round_plan(rows), start, eval_df=rows, eval_every=1, dropout_seed=5)
+    flat = params.flat_values(params.to_table(spark, DROPPER, fit.params))
+    flat = flat.select(F.concat("name", F.col("layer").cast("string")).alias("item"), "idx", rounded("values").alias("value"))
+    curve = fit.curve_frame(spark).select(F.lit("error").alias("item"), F.col("step").cast("int").alias("idx"), rounded("error").alias("value"))
+    return flat.unionByName(curve)
+
+
+def _first_weights(drawn: DataFrame) -> DataFrame:
+    rows = drawn.select("chunk", F.posexplode("values").alias("_i", "_v"))
+    return rows.select((F.col("chunk").cast("long") * params.CHUNK + F.col("_i")).alias("idx"), rounded("_v").alias("value"))
+
+
+def init_truncated_normal(spark, d):
+    """First weights of a stage with an input for each embedding and sixteen units."""
+    return _first_weights(params.truncated_normal(spark, 16 * _embeddings(spark, d).count(), 0.1, SEED))
+
+
+def init_constant(spark, d):
+    return _first_weights(params.constant(spark, 16 * _embeddings(spark, d).count(), 0.1))
+
+
+def init_xavier_uniform(spark, d):
+    return _first_weights(params.xavier_uniform(spark, _embeddings(spark, d).count(), 16, SEED))
+
+
 REPLAY_WORKERS, REPLAY_ROWS = 8, 20
 
 
@@ -526,7 +564,7 @@ def stream_stale_reject(spark, d):
 
 def stream_worker_cadence(spark, d):
     path, mark = scratch_path(spark, "cadence"), scratch_path(spark, "cadence-checkpoint")
-    message_stream.run_cadence(message_stream.worker_cadence(_message_stream(spark, d)), path, mark)
+    message_stream.run_cadence(_message_stream(spark, d), path, mark)
     return message_stream.latest_cadence(spark, path)
 
 
@@ -622,6 +660,7 @@ QUERIES = {
         partition_eval,
         batch_gradient_xent,
         batch_gradient_mse,
+        batch_gradient_dropout,
         conv_gradient,
         gradient_sum,
         gradient_mean,
@@ -632,6 +671,10 @@ QUERIES = {
         warmup_curve,
         train_rounds,
         train_rounds_sequential,
+        train_rounds_deep,
+        init_truncated_normal,
+        init_constant,
+        init_xavier_uniform,
         train_stale,
         held_versions,
         training_log_roundtrip,

@@ -22,7 +22,7 @@ from ..operators.messages import with_acceptance
 from ..operators.network import ModelSpec
 from ..operators.params import KEYS, Parameters, collect_params, to_table
 from ..operators.ranking import row_positions
-from ..session import discard, join_small, materialize, scratch_path
+from ..session import join_small, materialize, scratch_owner, scratch_path
 from .train import Fit
 
 
@@ -69,6 +69,11 @@ def replay(
     measured after every ``eval_every``-th message received, if that was accepted; points are recorded under the message's number.
     Accepted messages without rows count as received and change nothing.
     """
+    with scratch_owner(rows.sparkSession):
+        return _replay(rows, log, model, start, max_age_s, eval_df, eval_every)
+
+
+def _replay(rows, log, model, start, max_age_s, eval_df, eval_every) -> Replayed:
     spark = rows.sparkSession
     folder = scratch_path(spark, "replay")
     plan = materialize(held_versions(log, max_age_s), "log", path=f"{folder}/log")
@@ -105,7 +110,6 @@ def replay(
         done, waves = last, waves + 1
     plan.unpersist()
     fit.params = collect_params(table, model)
-    discard(spark, folder)
     return Replayed(fit, received, received - taken, waves)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -23,10 +24,11 @@ from ..operators.evaluate import evaluate
 from ..operators.gradients import batch_weight, collect_gradient, gradient_sum, group_gradients
 from ..operators.message_log import apply_many
 from ..operators.network import ModelSpec
-from ..operators.params import Parameters, collect_params, load_params, save_params, to_table
+from ..operators.params import Parameters, collect_params, to_table
 from ..operators.ranking import without_first_rows
-from ..session import discard, materialize, scratch_path
+from ..session import discard, materialize, scratch_owner, scratch_path
 from ..sources.sinks import CURVE_SCHEMA
+from . import snapshots
 
 log = logging.getLogger("rowgrad")
 
@@ -40,10 +42,14 @@ class Fit:
 
     params: Parameters
     curve: list[tuple[str, datetime, int, float]] = field(default_factory=list)
+    sink: Callable[[str, datetime, int, float], None] | None = None
 
     def record(self, phase: str, step: int, error: float) -> None:
+        """Keep a point, and hand it to the sink at once."""
         self.curve.append((phase, datetime.fromtimestamp(time.time(), timezone.utc), step, float(error)))
         log.info("%s step %d error %f", phase, step, error)
+        if self.sink is not None:
+            self.sink(*self.curve[-1])
 
     def curve_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.curve, CURVE_SCHEMA)
@@ -71,7 +77,7 @@ class _Shared:
         self.values = self.context.broadcast(params.values)
 
 
-def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch_size: int, params: Parameters, dropout_seed: int | None = None) -> Fit:
+def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch_size: int, params: Parameters, dropout_seed: int | None = None, sink=None) -> Fit:
     """Step through the first ``rows`` rows batch by batch; error on each batch right after its update.
 
     The sample is written once, one folder per slice, and every slice is a distributed gradient.
@@ -83,7 +89,7 @@ def fit_warmup(df: DataFrame, model: ModelSpec, key: list[str], rows: int, batch
     spark = df.sparkSession
     path = scratch_path(spark, "warmup")
     sample = materialize(sliced.repartition("slice_id"), "warmup", ("slice_id",), path)
-    fit = Fit(params)
+    fit = Fit(params, sink=sink)
     shared = _Shared(spark, params)
     for step in range(-(-sample.count() // batch_size)):
         batch = sample.filter(F.col("slice_id") == step)
@@ -159,6 +165,8 @@ def fit_rounds(
     exclude_first: int = 0,
     dropout_seed: int | None = None,
     snapshot_path: str | None = None,
+    snapshot_every: int | None = None,
+    sink: Callable[[str, datetime, int, float], None] | None = None,
 ) -> Fit:
     """Train for some epochs; every round takes the next push group of all logical partitions.
 
@@ -167,34 +175,43 @@ def fit_rounds(
     parameters at the start of the round, so a gradient is at most one round old.
 
     ``exclude_first`` holds the first rows by key (the warm-up sample) out.  With
-    ``snapshot_path`` the parameters are saved after every epoch and a restarted fit goes on after
-    the last saved one.
+    ``snapshot_path`` the parameters and the curve are saved after every epoch, and after every ``snapshot_every`` rounds of one; a
+    restarted fit goes on after the last saved round, and refuses snapshots of another model, plan or way of training.
+    ``sink`` gets every point of the curve as it is measured.
     """
     if mode not in (MEAN, SEQUENTIAL):
         raise ValueError(f"unknown mode {mode!r}")
     spark = df.sparkSession
+    settings = repr((model, plan, mode, eval_every, drop_partial_groups, exclude_first, dropout_seed))
     rows = training_columns(df, model, plan.key)
-    if exclude_first:
-        rows = without_first_rows(rows, list(plan.key), exclude_first)
-    total_rows = rows.count()
-    fit = Fit(params)
-    epoch_path = scratch_path(spark, "epochs")
-    first_epoch, step = _restore(spark, model, snapshot_path, fit)
-    shared = _Shared(spark, fit.params)
-    for epoch in range(first_epoch, epochs):
-        table = write_epoch(rows, plan, epoch, epoch_path, total_rows, 8 * (model.n_in + model.n_out) + 64)
-        salt = None if dropout_seed is None else dropout_seed + epoch
-        for r in range(table.rounds(drop_partial_groups)):
-            update = _mean_update if mode == MEAN else _sequential_update
-            fit.params = update(spark, table, r, drop_partial_groups, model, fit.params, shared.values, salt)
-            shared.change(fit.params)
-            step += 1
-            if eval_df is not None and step % eval_every == 0:
-                fit.record("train", step, measure(eval_df, model, shared.values))
-        if snapshot_path is not None:
-            save_params(to_table(spark, model, fit.params).withColumn("rounds", F.lit(step)), f"{snapshot_path}/epoch={epoch}")
-    shared.values.destroy()
-    discard(spark, epoch_path)
+    with scratch_owner(spark):
+        if exclude_first:
+            rows = without_first_rows(rows, list(plan.key), exclude_first)
+        total_rows = rows.count()
+        fit = Fit(params, sink=sink)
+        epoch_path = scratch_path(spark, "epochs")
+        saved = snapshots.Rounds(spark, snapshot_path, settings) if snapshot_path is not None else None
+        at = saved.restore() if saved is not None else None
+        first_epoch, first_round, step = (0, 0, 0) if at is None else (at.epoch, at.next_round, at.step)
+        if at is not None:
+            fit.params, fit.curve = collect_params(at.table, model), at.curve
+        shared = _Shared(spark, fit.params)
+        update = _mean_update if mode == MEAN else _sequential_update
+        for epoch in range(first_epoch, epochs):
+            table = write_epoch(rows, plan, epoch, epoch_path, total_rows, 8 * (model.n_in + model.n_out) + 64)
+            salt = None if dropout_seed is None else dropout_seed + epoch
+            rounds = table.rounds(drop_partial_groups)
+            for r in range(first_round if epoch == first_epoch else 0, rounds):
+                fit.params = update(spark, table, r, drop_partial_groups, model, fit.params, shared.values, salt)
+                shared.change(fit.params)
+                step += 1
+                if eval_df is not None and step % eval_every == 0:
+                    fit.record("train", step, measure(eval_df, model, shared.values))
+                if saved is not None and r < rounds - 1 and snapshot_every and step % snapshot_every == 0:
+                    saved.commit(to_table(spark, model, fit.params), fit.curve, epoch, r + 1, step)
+            if saved is not None:
+                saved.commit(to_table(spark, model, fit.params), fit.curve, epoch + 1, 0, step)
+        shared.values.destroy()
     return fit
 
 
@@ -212,21 +229,3 @@ def _sequential_update(spark: SparkSession, table: EpochTable, r: int, drop_part
     pushed = group_gradients(rows, model, shared, salt)
     start = to_table(spark, model, params)
     return collect_params(apply_many(start, pushed.withColumn("seq", F.col("part_id") + 1), model.optimizer, table.plan.n_parts), model)
-
-
-def _restore(spark: SparkSession, model: ModelSpec, path: str | None, fit: Fit) -> tuple[int, int]:
-    """Load the last epoch's snapshot into ``fit``; next epoch and rounds made so far."""
-    if path is None:
-        return 0, 0
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = [-1]
-    if fs.exists(folder):
-        names = [s.getPath() for s in fs.listStatus(folder)]
-        done += [int(p.getName()[6:]) for p in names if p.getName().startswith("epoch=") and fs.exists(p.suffix("/_SUCCESS"))]
-    last = max(done)
-    if last < 0:
-        return 0, 0
-    table = load_params(spark, f"{path}/epoch={last}")
-    fit.params = collect_params(table, model)
-    return last + 1, table.select("rounds").first()[0]

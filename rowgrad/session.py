@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_owned = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/rowgrad/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; inside ``scratch_owner`` it is freed at the end."""
+    path = f"{shared_dir(spark)}/rowgrad/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_owned, "stack", []):
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_owner(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside, also when it fails; results that are read later must be written elsewhere."""
+    stack = _owned.__dict__.setdefault("stack", [])
+    paths: list[str] = []
+    stack.append(paths)
+    try:
+        yield
+    finally:
+        stack.remove(paths)
+        for path in paths:
+            discard(spark, path)
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:

@@ -10,12 +10,12 @@ from ..session import join_small, materialize
 LINE_KEY = ["file_path", "line_no"]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, copy: str | None = None) -> DataFrame:
     """``(value, file_path, line_no)`` for every line, blank ones included.
 
-    The reader of plain text is used on purpose: the one for CSV drops blank lines unseen.  Lines
-    are counted per file block in a first narrow pass; a line's number is the number of lines in
-    earlier blocks of its file plus its place in its own block.  That first pass runs at once.
+    The reader of plain text is used on purpose: the one for CSV drops blank lines unseen.  The text is read once and
+    copied, each line with its file block and its place in it, to ``copy`` or a scratch table.  A line's number is the number of lines in
+    earlier blocks of its file plus its place in its own; the lines of a block are counted from the narrow columns of the copy.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -23,12 +23,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_m"),
     )
+    lines = materialize(lines, "lines", path=copy)
     blocks = lines.groupBy("file_path", "_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file_path", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     # One row per file block; kept as a table so that its true size decides how it is joined.
     starts = materialize(starts, "line-starts")
-    joined = join_small(lines, starts, ["file_path", "_block"], rows=starts.count(), row_bytes=256)
+    rows, longest = starts.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("file_path")), F.lit(0))).first()
+    joined = join_small(lines, starts, ["file_path", "_block"], rows=rows, row_bytes=64 + longest)
     return joined.select("value", "file_path", (F.col("_m") + F.col("_shift")).alias("line_no"))
 
 

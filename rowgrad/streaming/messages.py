@@ -6,18 +6,14 @@ import logging
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.optim import Optimizer
 from ..operators.message_log import apply_marked
 from ..operators.messages import with_acceptance
 from ..operators.ranking import row_positions
-from ..session import join_small
+from ..session import join_small, scratch_owner
 from . import snapshots
 
 log = logging.getLogger("rowgrad")
@@ -55,44 +51,41 @@ def run_counts(counts: DataFrame, path: str, checkpoint: str) -> None:
     run_available(counts, checkpoint, lambda df, batch_id: snapshots.write_batch(df, path, batch_id, keep=2), mode="complete")
 
 
-CADENCE_SCHEMA = "worker long, iterations long, pulls long, pushes long"
+def run_cadence(messages: DataFrame, path: str, checkpoint: str, every: int = 5, expire_after_s: float | None = None) -> None:
+    """Per worker: iterations so far, the pulls and pushes they caused, and when it was last heard of.
 
-
-def _count_workers(batches):
-    # one row per worker and Arrow batch, so that a busy worker's messages do not meet in one task
-    for batch in batches:
-        seen = pc.value_counts(batch.column("worker"))
-        yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts").cast(pa.int64())], ["worker", "n"])
-
-
-def worker_cadence(messages: DataFrame, every: int = 5) -> DataFrame:
-    """Per worker: iterations so far, and the pulls and pushes they caused.
-
-    The counter lives in the state store, across micro-batches and restarts.  A worker pulls before
-    iterations 0, ``every``, … and pushes after ``every``, 2 ``every``, ….  Emits the worker's new
-    totals in each micro-batch it appears in.
+    A worker pulls before iterations 0, ``every``, … and pushes after ``every``, 2 ``every``, ….  Each micro-batch counts its messages by
+    worker, adds the totals of the snapshot before and writes a new one, all in the JVM; two snapshots stay.  A worker that has been
+    silent for ``expire_after_s`` before the newest message leaves the table, which so holds the active ones; one that comes back starts anew.
     """
-    counted = messages.select("worker").filter(F.col("worker").isNotNull()).mapInArrow(_count_workers, "worker long, n long")
-
-    def advance(key, frames, state):
-        before = state.get[0] if state.exists else 0
-        after = before + sum(int(f["n"].sum()) for f in frames)
-        state.update((after,))
-        yield pd.DataFrame([[key[0], after, -(-after // every), after // every]], columns=["worker", "iterations", "pulls", "pushes"])
-
-    return counted.groupBy("worker").applyInPandasWithState(
-        advance, CADENCE_SCHEMA, "iterations long", "update", GroupStateTimeout.NoTimeout
-    )
-
+    spark = messages.sparkSession
 
-def run_cadence(cadence: DataFrame, path: str, checkpoint: str) -> None:
-    run_available(cadence, checkpoint, lambda df, batch_id: snapshots.write_batch(df, path, batch_id), mode="update")
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        if snapshots.is_finished(spark, path, batch_id):
+            return
+        # partial counts come first, so a busy worker's messages do not meet in one task
+        came = batch.where("worker is not null").groupBy("worker").agg(F.count(F.lit(1)).alias("iterations"), F.max("arrived").alias("last_arrived"))
+        before = snapshots.latest(spark, path, before=batch_id)
+        if before is not None:
+            came = came.unionByName(before.select("worker", "iterations", "last_arrived")).groupBy("worker")
+            came = came.agg(F.sum("iterations").alias("iterations"), F.max("last_arrived").alias("last_arrived"))
+        if expire_after_s is not None:
+            newest = batch.agg(F.max("arrived").alias("newest"))
+            if before is not None:
+                newest = newest.unionByName(before.agg(F.max("last_arrived").alias("newest")))
+            newest = newest.agg(F.max("newest")).first()[0]
+            if newest is not None:
+                oldest = F.lit(newest) - F.make_dt_interval(secs=F.lit(float(expire_after_s)))
+                came = came.where(F.col("last_arrived") >= oldest)
+        totals = came.select("worker", "iterations", F.ceil(F.col("iterations") / every).alias("pulls"), F.floor(F.col("iterations") / every).alias("pushes"), "last_arrived")
+        snapshots.write_batch(totals, path, batch_id, keep=2)
+
+    run_available(messages.select("worker", "arrived"), checkpoint, each_batch)
 
 
 def latest_cadence(spark: SparkSession, path: str) -> DataFrame:
-    """The newest totals of every worker over all micro-batches; totals only grow."""
-    written = spark.read.schema(f"{CADENCE_SCHEMA}, batch long").parquet(path)
-    return written.groupBy("worker").agg(*[F.max(c).alias(c) for c in ("iterations", "pulls", "pushes")])
+    """The newest totals of every worker that hasn't expired."""
+    return snapshots.latest(spark, path).select("worker", "iterations", "pulls", "pushes")
 
 
 def run_updates(
@@ -121,8 +114,11 @@ def run_updates(
     first = _with_counters(table, 0, 0)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        if snapshots.is_finished(spark, path, batch_id):
-            return
+        if not snapshots.is_finished(spark, path, batch_id):
+            with scratch_owner(spark):
+                update(batch, batch_id)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
         before = snapshots.latest(spark, path, before=batch_id)
         before = first if before is None else before
         seen, refused = before.select("received", "rejected").first()

@@ -6,7 +6,7 @@ from rowgrad.functions.optim import Adam, RMSProp
 from rowgrad.functions.parsing import Layout
 from rowgrad.operators import params
 from rowgrad.operators.network import MSE, dense_model
-from rowgrad.plans.job import run_dataset
+from rowgrad.plans.job import run_dataset, settings
 from rowgrad.sources import sinks, tables
 from rowgrad.sources.datasets import DatasetSpec
 
@@ -69,3 +69,15 @@ def test_a_whole_run_with_several_targets(spark, folder, tmp_path):
     # 160 rows in three parts and groups of up to 100 rows: one push per part
     assert run.fit.params.step == 2 + 3
     assert run.final_error == pytest.approx(run.curve[-1][3])
+
+
+def test_settings_of_a_data_set_can_be_replaced():
+    spec, options = settings(["higgs", "/data"])
+    assert (spec.n_parts, spec.batch_size, spec.warmup_rows, spec.epochs) == (64, 128, 20000, 1) and options["folder"] == "/data" and options["eval_every"] == 10
+    spec, options = settings(
+        "mnist /d --n-parts 7 --batch-size 9 --epochs 2 --light-warmup --train-file t.csv --mode sequential --parse-mode DROPMALFORMED --snapshot-every 3 --drop-partial-groups".split()
+    )
+    assert (spec.n_parts, spec.batch_size, spec.warmup_rows, spec.epochs) == (7, 9, 9, 2) and spec.paths("/d") == ("/d/t.csv", "/d/mnist_test.csv")
+    assert (options["mode"], options["parse_mode"], options["snapshot_every"], options["drop_partial_groups"]) == ("sequential", "DROPMALFORMED", 3, True)
+    with pytest.raises(ValueError, match="unknown data set"):
+        settings(["other", "/d"])

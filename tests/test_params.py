@@ -1,6 +1,9 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 
+from rowgrad.functions import draws
 from rowgrad.functions.optim import Adam, Momentum, RMSProp
 from rowgrad.operators import message_log, params
 from rowgrad.operators.network import dense_model
@@ -194,3 +197,14 @@ def test_a_gradient_of_another_length_is_refused(spark):
     wrong = spark.createDataFrame([(0, "W", 0, [1.0])], "layer int, name string, chunk int, values array<double>")
     with pytest.raises(Exception, match="differs in length"):
         params.apply_gradient(table, wrong, model.optimizer).collect()
+
+
+def test_draws_are_uniform_and_normal():
+    u = draws.uniforms(np.arange(200)[:, None], 3, np.arange(1, 501))
+    assert u.shape == (200, 500) and 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.005
+    assert np.abs(np.corrcoef(u[:, :20], rowvar=False) - np.eye(20)).max() < 0.35
+    p = np.concatenate([np.linspace(1e-6, 1 - 1e-6, 999), [0.075, 0.925]])
+    np.testing.assert_allclose(draws.normal_quantile(p), [NormalDist().inv_cdf(x) for x in p], rtol=1e-12, atol=1e-15)
+    assert draws.BELOW_TWO == pytest.approx(NormalDist().cdf(-2), rel=1e-15)
+    z = draws.cut_normals(u.reshape(-1))
+    assert np.abs(z).max() <= 2 and z.std() == pytest.approx(0.8796, rel=0.01)

@@ -75,7 +75,10 @@ def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     for size in ("1k", "5k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        rows = text.read_lines(spark, str(tmp_path)).collect()
+        lines = text.read_lines(spark, str(tmp_path))
+        # the text itself isn't read again for its numbers
+        assert "FileScan text" not in lines._jdf.queryExecution().executedPlan().toString()
+        rows = lines.collect()
         seen.append({(r.file_path, r.line_no): r.value for r in rows})
         assert len(rows) == len(seen[-1]) == 2037
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)

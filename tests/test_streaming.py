@@ -58,7 +58,7 @@ def test_worker_state_survives_batches_and_restarts(spark, tmp_path):
     for ids in (range(40), range(40, 100), range(100, 103)):
         log(spark, ids).repartition(3).write.mode("append").parquet(source)
         messages_in = stream.stream_table(spark, source, SCHEMA, max_files=1)
-        stream.run_cadence(stream.worker_cadence(messages_in), out, mark)
+        stream.run_cadence(messages_in, out, mark)
     seen = {}
     for i in range(103):
         w = 7 if i % 3 else i % 5
@@ -67,6 +67,21 @@ def test_worker_state_survives_batches_and_restarts(spark, tmp_path):
     assert got == {w: (n, -(-n // 5), n // 5) for w, n in seen.items()}
 
 
+def test_silent_workers_leave_the_state(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    want = {}
+    for lot in range(6):
+        # in each lot two workers of its own, and one that always works
+        rows = [(i, lot * 2 + i % 2 if i % 3 else 99, T0, T0 + timedelta(seconds=lot * 100 + i), 0.0) for i in range(30)]
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(source)
+        stream.run_cadence(stream.stream_table(spark, source, SCHEMA), out, mark, expire_after_s=150)
+        for _, w, *_ in rows:
+            want[w] = want.get(w, 0) + 1
+        got = {r.worker: r.iterations for r in stream.latest_cadence(spark, out).collect()}
+        assert got == {w: n for w, n in want.items() if w == 99 or w // 2 >= lot - 1}
+    assert snapshots.finished_batches(spark, out) == [4, 5]
+
+
 def test_updates_follow_arrival_and_are_not_repeated(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     start = Parameters.fresh([np.array([[0.5], [-0.5]]), np.array([0.1])], MODEL.optimizer)

@@ -134,6 +134,40 @@ def test_a_restarted_fit_goes_on_after_the_last_epoch(spark, tmp_path):
     same(whole.params, again.params)
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", [1, 4, 7])
+def test_a_fit_killed_between_rounds_ends_with_the_same_model_and_curve(spark, tmp_path, monkeypatch, after):
+    df, path, curves = frame(spark, CLASSES), str(tmp_path / "snapshots"), str(tmp_path / "curves")
+
+    def run(**more):
+        return train.fit_rounds(df, CLASSES, PLAN, start(CLASSES), epochs=2, eval_df=df, eval_every=2, dropout_seed=3, **more)
+
+    whole = run()
+    made, update = [], train._mean_update
+
+    def dies(*args):
+        if len(made) == after:
+            raise Killed
+        made.append(1)
+        return update(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(train, "_mean_update", dies)
+        with pytest.raises(Killed):
+            run(snapshot_path=path, snapshot_every=2, sink=sinks.curve_sink(spark, curves, "one"))
+    resumed = run(snapshot_path=path, snapshot_every=2, sink=sinks.curve_sink(spark, curves, "one"))
+    same(whole.params, resumed.params)
+    assert [(p, s) for p, _, s, _ in resumed.curve] == [(p, s) for p, _, s, _ in whole.curve]
+    np.testing.assert_allclose([e for *_, e in resumed.curve], [e for *_, e in whole.curve])
+    kept = sinks.newest_points(sinks.read_curve(spark, curves, "one")).orderBy("step").collect()
+    assert [r.step for r in kept] == [s for _, _, s, _ in whole.curve]
+    with pytest.raises(ValueError, match="another fit"):
+        train.fit_rounds(df, CLASSES, PLAN, start(CLASSES), epochs=2, eval_df=df, eval_every=2, dropout_seed=4, snapshot_path=path)
+
+
 def test_held_out_rows_do_not_count(spark):
     df = frame(spark, CLASSES)
     held = train.fit_rounds(df, CLASSES, PLAN, start(CLASSES), exclude_first=100)
