@@ -11,6 +11,7 @@ wherever it stands; runs whose smallest one is shared are compared by 128 bits o
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgrad.llm.linking import SKETCH, link
-from rowgrad.llm.setjoin import minhashes, shingle_set, sketch, split_words
+from rowgrad.llm.setjoin import hash_functions, shingle_set, split_words
 from rowgrad.llm.texts import Remembered, free, hash_word, hinted, mix, over_texts, put
 
 MIN_WORDS, SHINGLE = 20, 5
 RECALL, STRAY = 0.999, 0.25
 PASSAGE, RUN = 50, 25
+HASH_CELLS = 1 << 18  # hash values that a task works out at a time: as many as stay in its cache
 
 
 def tuned(recall: float = RECALL, stray: float = STRAY, similarity: float = 0.8, background: float = 0.3) -> tuple[int, int]:
@@ -35,34 +37,71 @@ def tuned(recall: float = RECALL, stray: float = STRAY, similarity: float = 0.8,
     raise ValueError("no banding meets both rates")
 
 
+def _marks(words: list[list[bytes]], hashed: Remembered) -> tuple[np.ndarray, ...]:
+    """For paragraphs of at least SHINGLE words: size of the shingle set, its digest, band values and sketch, a row each.
+
+    All paragraphs of a slice are worked on together; the values are those of ``shingle_set``, ``minhashes`` and ``sketch``.
+    """
+    from hashlib import md5
+
+    bands, rows = tuned()
+    h = np.fromiter(map(hashed.__getitem__, chain.from_iterable(words)), np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    made = np.full(len(h) - SHINGLE + 1, np.uint64(SHINGLE))
+    for i in range(SHINGLE):
+        made = mix(made, h[i : len(h) - SHINGLE + 1 + i])
+    of = np.repeat(np.arange(len(words)), sizes)[: len(made)]
+    last = np.cumsum(sizes) - SHINGLE
+    inside = np.flatnonzero(np.arange(len(made)) <= last[of])
+    made, of = made[inside], of[inside]
+    order = np.lexsort((made, of))
+    made, of = made[order], of[order]
+    new = np.ones(len(made), bool)
+    new[1:] = (made[1:] != made[:-1]) | (of[1:] != of[:-1])
+    made, of = made[new], of[new]
+    n = np.bincount(of, minlength=len(words))
+    starts = np.cumsum(n) - n
+    whole = made.tobytes()
+    keys = [md5(whole[8 * lo : 8 * hi]).digest() for lo, hi in zip(starts.tolist(), (starts + n).tolist(), strict=True)]
+    factors, terms = hash_functions()
+    x = (made ^ (made >> np.uint64(32))).astype(np.uint32)
+    values = np.empty((len(words), len(factors)), np.uint32)
+    step = max(1, HASH_CELLS // len(x))
+    for lo in range(0, len(factors), step):
+        v = factors[lo : lo + step] * x
+        v += terms[lo : lo + step]
+        values[:, lo : lo + step] = np.minimum.reduceat(v, starts, axis=1).T
+    grid = values[:, : bands * rows].reshape(len(words), bands, rows).astype(np.uint64)
+    band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(words), bands))
+    for k in range(rows):
+        band = mix(band, grid[:, :, k])
+    bits = ((values * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return n, keys, band.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, pos, key, n, bands, s0..s3) for each paragraph of at least MIN_WORDS words."""
-    bands, rows = tuned()
 
     def start():
-        from hashlib import md5
-
         hashed = Remembered(hash_word)
-        shape = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]]))
+        shape = pa.struct([("pos", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
 
         def work(texts, part):
-            out = []
+            words, places, ends = [], [], [0]
             for text in texts:
-                found = []
                 for pos, line in enumerate((text or b"").split(b"\n")):
-                    words = split_words(line)
-                    if len(words) < MIN_WORDS:
-                        continue
-                    some = shingle_set(words, SHINGLE, hashed)
-                    values = minhashes(some)
-                    grid = values[: bands * rows].reshape(bands, rows).astype(np.uint64)
-                    band = np.arange(bands, dtype=np.uint64)
-                    for k in range(rows):
-                        band = mix(band, grid[:, k])
-                    found.append({"pos": pos, "key": md5(some.tobytes()).digest(), "n": len(some), "bands": band.view(np.int64).tolist(), **dict(zip(SKETCH, sketch(values).tolist(), strict=True))})
-                out.append(found)
-                hashed.trim()
-            return [pa.array(out, shape)]
+                    some = split_words(line)
+                    if len(some) >= MIN_WORDS:
+                        words.append(some)
+                        places.append(pos)
+                ends.append(len(words))
+            if not words:
+                return [pa.array([[]] * len(texts), pa.list_(shape))]
+            n, keys, band, bits = _marks(words, hashed)
+            hashed.trim()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * band.shape[1]), pa.array(np.ascontiguousarray(band).reshape(-1)))
+            columns = [pa.array(places, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]]
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(shape)))]
 
         return work
 
@@ -99,13 +138,19 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, removed array<int>): by document, the lines that repeat another paragraph; ``docs`` has doc_id, text, mark (hash of the text)."""
+    """(doc_id, mark, removed array<int>, lines): by document, the lines that repeat another paragraph, and how many lines another document has too.
+
+    ``docs`` has doc_id, text, mark (hash of the text).
+    """
     signed = put(_signed(docs), "paragraphs")
     fields = F.struct("doc_id", "mark", "pos", "n", "bands", *SKETCH)
     reps = put(signed.groupBy("key").agg(F.min_by(fields, F.struct(F.coalesce("doc_id", F.lit(1 << 62)), "pos", "mark")).alias("r")).select("key", "r.*"), "reps")
-    members = reps.select(F.col("key").alias("id"), "n", *SKETCH, F.explode("bands").alias("node"))
-    shared = put(members.groupBy("node").count().where("count > 1").select("node"), "shared")
-    members = put(members.join(hinted(shared, shared.count(), 16), "node", "left_semi").select("node", "id", "n", *SKETCH), "members")
+    # nodes and ids alone are shuffled for what collides; sizes and sketches follow for what is left
+    nodes = reps.select(F.col("key").alias("id"), F.explode("bands").alias("node"))
+    shared = put(nodes.groupBy("node").count().where("count > 1").select("node"), "shared")
+    nodes = put(nodes.join(hinted(shared, shared.count(), 16), "node", "left_semi"), "nodes")
+    members = put(nodes.join(reps.select(F.col("key").alias("id"), "n", *SKETCH), "id").select("node", "id", "n", *SKETCH), "members")
+    free(nodes)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _full_sets(docs, reps.join(ids, reps.key == ids.id).select("doc_id", "mark", "pos"))
@@ -114,8 +159,11 @@ def removals(docs: DataFrame) -> DataFrame:
     told = signed.select("doc_id", "mark", "pos", "key").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     told = put(told.select("doc_id", "mark", "pos", "label"), "told")
     place = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("d"), "pos", "mark")
-    first = told.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
-    gone = told.join(first, "label").where(place != F.col("first")).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    document = F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("d"), "mark")
+    first = told.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("size"), (F.min(document) != F.max(document)).alias("wide")).where("size > 1")
+    gone = told.join(first, "label").groupBy("doc_id", "mark").agg(
+        F.sort_array(F.collect_set(F.when(place != F.col("first"), F.col("pos")))).alias("removed"), F.count_distinct(F.when(F.col("wide"), F.col("pos"))).alias("lines")
+    )
     out = put(gone, "removed")
     free(signed, reps, shared, members, labels, told)
     return out
@@ -132,13 +180,18 @@ def _runs(h: np.ndarray) -> np.ndarray:
 
 
 def _smallest(runs: np.ndarray) -> np.ndarray:
-    """Where the smallest run (the first of equal ones) of each PASSAGE words begins."""
-    wide = PASSAGE - RUN + 1
-    return np.lib.stride_tricks.sliding_window_view(runs, wide).argmin(axis=1) + np.arange(len(runs) - wide + 1)
+    """Where the smallest run (the first of equal ones) of each PASSAGE words begins: by windows of doubling width."""
+    wide, reach, at = PASSAGE - RUN + 1, 1, np.arange(len(runs))
+    while 2 * reach <= wide:
+        a, b = at[:-reach], at[reach:]
+        at, reach = np.where(runs[b] < runs[a], b, a), 2 * reach
+    a, b = at[: len(runs) - wide + 1], at[wide - reach :]
+    return np.where(runs[b] < runs[a], b, a)
 
 
 def _passages(docs: DataFrame) -> DataFrame:
-    """(d, m, spans array<struct<s,e>>): by document, what lies under PASSAGE words that an earlier place has too, in code points (end exclusive) of text.
+    """(d, m, spans array<struct<s,e>>, runs): by document, what lies under PASSAGE words that an earlier place has too, in code points (end exclusive)
+    of text; and how many runs of PASSAGE words another document has as well, first places included.
 
     ``docs`` has d, m (which tell documents apart) and text; of equal rows one counts.
     """
@@ -205,18 +258,23 @@ def _passages(docs: DataFrame) -> DataFrame:
     some = docs.join(hinted(asked, n * 64 + spread * 8, 1), ["d", "m"])
     found = put(over_texts(some, ["d", "m", "at"], "w array<struct<a:bigint, b:bigint, p:int>>", windows).select("d", "m", F.explode("w").alias("w")).select("d", "m", "w.*"), "windows")
     place = F.struct(F.when(F.col("d") == -1, F.lit(1 << 62)).otherwise(F.col("d")).alias("d"), "m", "p")
-    first = put(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("a", "b", "first"), "first")
-    again = found.join(hinted(first, first.count(), 64), ["a", "b"]).where(place != F.col("first"))
-    again = put(again.groupBy("d", "m").agg(F.collect_set("p").alias("at")), "again")
-    n, spread = again.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    some = docs.join(hinted(again, n * 64 + spread * 8, 1), ["d", "m"])
-    out = put(over_texts(some, ["d", "m", "at"], "spans array<struct<s:int, e:int>>", places).select("d", "m", "spans").dropDuplicates(["d", "m"]), "passages")
+    document = F.struct("d", "m")
+    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), (F.min(document) != F.max(document)).alias("wide")).where("first <> last")
+    first = put(first.select("a", "b", "first", "wide"), "first")
+    again = found.join(hinted(first, first.count(), 64), ["a", "b"]).groupBy("d", "m")
+    again = put(again.agg(F.collect_set(F.when(place != F.col("first"), F.col("p"))).alias("at"), F.count_if("wide").alias("runs")), "again")
+    later = again.where("size(at) > 0").select("d", "m", "at")
+    n, spread = later.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    some = docs.join(hinted(later, n * 64 + spread * 8, 1), ["d", "m"])
+    spans = over_texts(some, ["d", "m", "at"], "spans array<struct<s:int, e:int>>", places).select("d", "m", "spans").dropDuplicates(["d", "m"])
+    out = put(again.select("d", "m", "runs").join(spans, ["d", "m"], "left"), "passages")
     free(mins, shared, asked, found, first, again)
     return out
 
 
 def without_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of each row, then __paragraphs, __removed (line numbers from 0), __passages (spans of the lines that stay) and __kept, their text without those.
+    """The ``keep`` columns of each row, then __paragraphs, __removed (line numbers from 0), __passages (spans of the lines that stay), __shared (lines
+    and runs of PASSAGE words that another document has as well, where they come first too) and __kept, the text without what goes.
 
     Null texts count as empty. Rows that share doc_id and text are one document listed several times and get equal answers; a row without doc_id comes last.
     A text all of whose lines go becomes empty. An empty table gives an empty result.
@@ -224,21 +282,25 @@ def without_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     docs = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     gone = removals(docs.select("doc_id", "text", "mark"))
     n, spread = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
-    gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("mark").alias("__m"), "removed")
+    gone = gone.select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("mark").alias("__m"), "removed", "lines")
     both = docs.withColumn("__d", F.coalesce("doc_id", F.lit(-1))).withColumnRenamed("mark", "__m").join(hinted(gone, n * 64 + spread * 8, 1), ["__d", "__m"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.expr("case when removed is null then text else array_join(filter(split(text, r'\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n') end")
+    kept = F.expr("case when removed is null or size(removed) = 0 then text else array_join(filter(split(text, r'\\n', -1), (x, i) -> not array_contains(removed, i)), '\\n') end")
     both = both.withColumn("__removed", removed).withColumn("__kept", kept)
     cut = _passages(both.select(F.col("__d").alias("d"), F.col("__m").alias("m"), F.col("__kept").alias("text")))
-    n, spread = cut.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    cut = cut.select(F.col("d").alias("__d"), F.col("m").alias("__m"), "spans")
+    n, spread = cut.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("spans").isNotNull(), F.size("spans"))), F.lit(0))).first()
+    cut = cut.select(F.col("d").alias("__d"), F.col("m").alias("__m"), "spans", "runs")
     both = both.join(hinted(cut, n * 64 + spread * 16, 1), ["__d", "__m"], "left")
-    left = F.expr("case when spans is null then __kept else aggregate(spans, named_struct('p', 0, 'o', ''), (a, x) -> named_struct('p', x.e, 'o', concat(a.o, substr(__kept, a.p + 1, x.s - a.p))), a -> concat(a.o, substr(__kept, a.p + 1))) end")
+    # the pieces between the spans, joined once
+    begin = "if(i = 0, 0, spans[i - 1].e)"
+    piece = f"substr(__kept, {begin} + 1, if(i = size(spans), length(__kept), spans[i].s) - {begin})"
+    left = F.expr(f"case when spans is null then __kept else array_join(transform(sequence(0, size(spans)), i -> {piece}), '') end")
     spans = F.coalesce("spans", F.array().cast("array<struct<s:int, e:int>>"))
-    return both.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("__paragraphs"), "__removed", spans.alias("__passages"), left.alias("__kept"))
+    return both.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("__paragraphs"), "__removed", spans.alias("__passages"), (F.coalesce("lines", F.lit(0)) + F.coalesce("runs", F.lit(0))).alias("__shared"), left.alias("__kept"))
 
 
 def paragraph_removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (lines), n_removed, removed, kept_sha256, passages (spans of code points, removed from the lines that stay)."""
+    """doc_id, n_paragraphs (lines), n_removed, removed, kept_sha256, passages (spans of code points, removed from the lines that stay), n_shared
+    (lines and runs of 50 words that another document has as well, whichever comes first)."""
     out = without_duplicates(docs, ["doc_id"])
-    return out.select("doc_id", F.col("__paragraphs").alias("n_paragraphs"), F.size("__removed").cast("bigint").alias("n_removed"), F.col("__removed").alias("removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"), F.col("__passages").alias("passages"))
+    return out.select("doc_id", F.col("__paragraphs").alias("n_paragraphs"), F.size("__removed").cast("bigint").alias("n_removed"), F.col("__removed").alias("removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"), F.col("__passages").alias("passages"), F.col("__shared").alias("n_shared"))

@@ -9,6 +9,7 @@ every link is confirmed on full shingle sets.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -35,11 +36,17 @@ def shingle_set(words: list[bytes], size: int, hashed: Remembered) -> np.ndarray
     return np.unique(out)
 
 
-def minhashes(found: np.ndarray, seed: int = 7, count: int = HASHES) -> np.ndarray:
-    """``count`` smallest values of a set under as many hash functions, 32 bits each."""
+@functools.cache
+def hash_functions(seed: int = 7, count: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of ``count`` hash functions, a row each."""
     draw = np.random.default_rng(seed)
     a = (draw.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1))[:, None]
-    b = draw.integers(0, 1 << 32, count, dtype=np.uint32)[:, None]
+    return a, draw.integers(0, 1 << 32, count, dtype=np.uint32)[:, None]
+
+
+def minhashes(found: np.ndarray, seed: int = 7, count: int = HASHES) -> np.ndarray:
+    """``count`` smallest values of a set under as many hash functions, 32 bits each."""
+    a, b = hash_functions(seed, count)
     x = (found ^ (found >> np.uint64(32))).astype(np.uint32)
     best = np.full(count, 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(x), 1024):
