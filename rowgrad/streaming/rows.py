@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.parsing import FAILFAST, Layout, parse_lines
-from ..operators.gradients import batch_weight, collect_gradient, gradient_sum
+from ..operators.gradients import gradient_sum
 from ..operators.network import ModelSpec
-from ..operators.params import Parameters, collect_params, to_table
+from ..operators.params import Parameters, collect_params, tensors_of, to_table
 from ..sources.text import stream_lines
 from . import snapshots
 from .messages import run_available
@@ -40,13 +39,15 @@ def train_on_files(
             return
         before = snapshots.latest(spark, path, before=batch_id)
         params = start if before is None else collect_params(before, model)
-        rows = parse_lines(batch, layout, mode)
-        n = rows.count()
-        if n:
+        # parsed once: the gradient is summed with weight one, and its rows are counted with it
+        shared = spark.sparkContext.broadcast(params.values)
+        got = gradient_sum(parse_lines(batch, layout, mode), model, shared).toArrow()
+        shared.destroy()
+        if got.num_rows:
+            n = got.column("n_rows")[0].as_py()
             batches = 1 if batch_size == 0 else -(-n // batch_size)
-            weight = batch_weight(model, F.lit(n)) if model.answer == "target" else F.lit(1.0 / batches)
-            total = gradient_sum(rows, model, params.values, weight=weight)
-            params = params.updated(collect_gradient(total, model), model.optimizer)
+            share = 1.0 / (n * model.n_out) if model.answer == "target" else 1.0 / batches
+            params = params.updated([g * share for g in tensors_of(got, model, "values")], model.optimizer)
         snapshots.write_batch(to_table(spark, model, params), path, batch_id, keep)
 
     run_available(lines, checkpoint, each_batch)
