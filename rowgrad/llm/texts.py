@@ -14,8 +14,8 @@ from rowgrad.session import discard, materialize, scratch_path
 
 # A side is broadcast only if its counted rows stay under so many bytes.
 BROADCAST_BYTES = 32 << 20
-# A task works on so many bytes of text at a time; a single longer text is still taken whole.
-SLICE_BYTES = 4 << 20
+# A task works on so many bytes of text at a time; a single longer text is still taken whole. Its words take ten times as much memory.
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -66,6 +66,16 @@ def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield lo, len(sizes)
 
 
+def hand_back() -> None:
+    """Give memory that a worker has freed back to the system: workers live on, and what one stage took would be missing in the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def over_texts(
     df: DataFrame,
     keep: list[str],
@@ -88,8 +98,7 @@ def over_texts(
 
         shape, work = to_arrow_schema(out), start()
         for batch in batches:
-            # the batch before is gone by now; what it took goes back before the next one is worked on
-            pa.default_memory_pool().release_unused()
+            hand_back()
             lengths = batch.column(at).cast(pa.binary())
             sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int32, len(lengths) + 1, lengths.offset * 4)) if len(lengths) else np.zeros(0)
             for lo, hi in slices(sizes):
@@ -97,6 +106,10 @@ def over_texts(
                 made = work(lengths.slice(lo, hi - lo).to_pylist(), part)
                 columns = [c.cast(f.type) if isinstance(c, pa.Array) and c.type != f.type else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip([*part.columns[:n_keep], *made], shape, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=shape)
+                del made, columns, part
+        # what the task remembered goes before it ends
+        work = None
+        hand_back()
 
     read = df.select(*keep) if sent else df.select(*keep, F.col(text).cast("string").cast("binary").alias("__text"))
     return read.mapInArrow(run, out)
