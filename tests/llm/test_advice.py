@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from rowgrad.llm import paragraphs, sanitise, setjoin
+from rowgrad.llm import paragraphs, rules, sanitise, setjoin
 from tests.llm.test_operators import PLAIN, plain_spans, table, words
 
 
@@ -75,3 +75,14 @@ def test_passages_in_different_lines_and_across_lines(spark):
         assert (str(i), sha(cut[i])) in got, i
     assert ("2", sha(cut[2])) in got and ("2", sha("ñ ")) in got and ("None", sha("before " + words(20, salt="q") + " ")) in got
     assert [x for x in got if x[0] == "9"] == [("9", sha(rows[-1][1]))] * 2 and len({x for x in got if x[0] in "56"}) == 2
+
+
+def test_cascade_order_follows_what_rules_cost_and_reject(spark, monkeypatch):
+    rows = [(i, " ".join(["word%d" % (i * k % 97) for k in range(4000)]) if i % 2 else " ".join(["12 34 56"] * 2000)) for i in range(300)]
+    seen = rules.measured(table(spark, rows))
+    # a pattern over every word is dearer than a comparison of counts, and its own work is in its time
+    assert seen["alphabetic_words"][0] == 150 and seen["word_length"][0] == 0
+    assert seen["alphabetic_words"][1] > seen["word_length"][1]
+    monkeypatch.setattr(rules, "measured", lambda docs: {r: (10, 1.0) for r in rules.RULES} | {"capitals": (10, 0.1), "symbols": (0, 0.001), "word_length": (1, 5.0)})
+    order = rules.cascade_order(None)
+    assert order[:2] == ["symbols", "capitals"] and order[-1] == "word_length"
