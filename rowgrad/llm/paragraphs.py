@@ -25,6 +25,7 @@ from rowgrad.llm.texts import Remembered, free, hash_word, hinted, mix, over_tex
 MIN_WORDS, SHINGLE = 20, 5
 RECALL, STRAY = 0.999, 0.25
 PASSAGE, RUN = 50, 25
+BASE = 0x9E3779B97F4A7C15  # of the polynomials over word hashes; odd
 HASH_CELLS = 1 << 18  # hash values that a task works out at a time: as many as stay in its cache
 
 
@@ -145,12 +146,10 @@ def removals(docs: DataFrame) -> DataFrame:
     signed = put(_signed(docs), "paragraphs")
     fields = F.struct("doc_id", "mark", "pos", "n", "bands", *SKETCH)
     reps = put(signed.groupBy("key").agg(F.min_by(fields, F.struct(F.coalesce("doc_id", F.lit(1 << 62)), "pos", "mark")).alias("r")).select("key", "r.*"), "reps")
-    # nodes and ids alone are shuffled for what collides; sizes and sketches follow for what is left
-    nodes = reps.select(F.col("key").alias("id"), F.explode("bands").alias("node"))
-    shared = put(nodes.groupBy("node").count().where("count > 1").select("node"), "shared")
-    nodes = put(nodes.join(hinted(shared, shared.count(), 16), "node", "left_semi"), "nodes")
-    members = put(nodes.join(reps.select(F.col("key").alias("id"), "n", *SKETCH), "id").select("node", "id", "n", *SKETCH), "members")
-    free(nodes)
+    # no broadcast of what collides, which grows with the table: small and large ones are joined alike
+    members = reps.select(F.col("key").alias("id"), "n", *SKETCH, F.explode("bands").alias("node"))
+    shared = put(members.groupBy("node").count().where("count > 1").select("node"), "shared")
+    members = put(members.join(shared, "node", "left_semi").select("node", "id", "n", *SKETCH), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _full_sets(docs, reps.join(ids, reps.key == ids.id).select("doc_id", "mark", "pos"))
@@ -169,14 +168,24 @@ def removals(docs: DataFrame) -> DataFrame:
     return out
 
 
+_known_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of an odd number and of its inverse, modulo 2 ** 64; a task keeps them."""
+    if not _known_powers or len(_known_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _known_powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(x))])) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _known_powers
+
+
 def _runs(h: np.ndarray) -> np.ndarray:
-    """Fingerprints of the RUN (25) words from each start."""
-    two = mix(h[:-1], h[1:])
-    four = mix(two[:-2], two[2:])
-    eight = mix(four[:-4], four[4:])
-    more = mix(eight[:-8], eight[8:])
-    more = mix(more[:-8], eight[16:])
-    return mix(more[:-1], h[24:])
+    """Fingerprints of the RUN words from each start: differences of running polynomials, shifted to one place and mixed."""
+    up, down = _powers(1 << (len(h) + 1).bit_length())
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+        found = (sums[RUN:] - sums[:-RUN]) * down[: len(h) - RUN + 1]
+    return mix(found, found >> np.uint64(32))
 
 
 def _smallest(runs: np.ndarray) -> np.ndarray:
@@ -211,7 +220,8 @@ def _passages(docs: DataFrame) -> DataFrame:
                     out.append(None)
                     continue
                 runs = _runs(h)
-                out.append(runs[np.unique(_smallest(runs))].view(np.int64))
+                at = _smallest(runs)  # ascending
+                out.append(runs[at[np.append(True, at[1:] != at[:-1])]].view(np.int64))
                 hashed.trim()
             return [pa.array(out, pa.list_(pa.int64()))]
 
@@ -253,7 +263,7 @@ def _passages(docs: DataFrame) -> DataFrame:
     mins = put(over_texts(docs, ["d", "m"], "r array<bigint>", anchors).where("r is not null").dropDuplicates(["d", "m"]), "anchors")
     each = mins.select("d", "m", F.explode("r").alias("r"))
     shared = put(each.groupBy("r").count().where("count > 1").select("r"), "shared")
-    asked = put(each.join(hinted(shared, shared.count(), 16), "r").groupBy("d", "m").agg(F.collect_set("r").alias("at")), "asked")
+    asked = put(each.join(shared, "r").groupBy("d", "m").agg(F.collect_set("r").alias("at")), "asked")
     n, spread = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
     some = docs.join(hinted(asked, n * 64 + spread * 8, 1), ["d", "m"])
     found = put(over_texts(some, ["d", "m", "at"], "w array<struct<a:bigint, b:bigint, p:int>>", windows).select("d", "m", F.explode("w").alias("w")).select("d", "m", "w.*"), "windows")
@@ -261,7 +271,7 @@ def _passages(docs: DataFrame) -> DataFrame:
     document = F.struct("d", "m")
     first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), (F.min(document) != F.max(document)).alias("wide")).where("first <> last")
     first = put(first.select("a", "b", "first", "wide"), "first")
-    again = found.join(hinted(first, first.count(), 64), ["a", "b"]).groupBy("d", "m")
+    again = found.join(first, ["a", "b"]).groupBy("d", "m")
     again = put(again.agg(F.collect_set(F.when(place != F.col("first"), F.col("p"))).alias("at"), F.count_if("wide").alias("runs")), "again")
     later = again.where("size(at) > 0").select("d", "m", "at")
     n, spread = later.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()

@@ -9,7 +9,6 @@ every link is confirmed on full shingle sets.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -36,12 +35,16 @@ def shingle_set(words: list[bytes], size: int, hashed: Remembered) -> np.ndarray
     return np.unique(out)
 
 
-@functools.cache
+_known_functions: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
 def hash_functions(seed: int = 7, count: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
-    """Factors and terms of ``count`` hash functions, a row each."""
-    draw = np.random.default_rng(seed)
-    a = (draw.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1))[:, None]
-    return a, draw.integers(0, 1 << 32, count, dtype=np.uint32)[:, None]
+    """Factors and terms of ``count`` hash functions, a row each; a task keeps them."""
+    if (seed, count) not in _known_functions:
+        draw = np.random.default_rng(seed)
+        a = (draw.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1))[:, None]
+        _known_functions[seed, count] = a, draw.integers(0, 1 << 32, count, dtype=np.uint32)[:, None]
+    return _known_functions[seed, count]
 
 
 def minhashes(found: np.ndarray, seed: int = 7, count: int = HASHES) -> np.ndarray:
