@@ -209,17 +209,63 @@ def test_slices_take_every_row_once():
     assert not list(texts.slices(sizes[:0]))
 
 
+def contaminated(text, windows):
+    found = plain_words(text)
+    hit = set()
+    for n in {len(w) for w in windows}:
+        for i in range(len(found) - n + 1):
+            if tuple(found[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+    return bool(hit) and 20 * len(hit) >= len(found)
+
+
+def plain_words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
 def test_pipeline(spark, folder):
+    """Every stage on what the one before kept, with nulls, repeats and columns whose names the operators use themselves."""
     import corpus_pipeline
-
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, folder)
-        assert after.columns == docs.columns
-        docs = texts.put(after, name)
-        assert 0 < docs.count()
-    out = corpus_pipeline.run(spark, folder)
-    assert out.columns == [*docs.columns, "ids", "n_pieces"] and out.count() == docs.count()
+    from pyspark.sql import functions as F
+    from tests.llm.test_brute import components, shingles
+    from tests.llm.test_brute import words as split
+
+    base = spark.read.parquet(f"{folder}/documents.parquet")
+    more = [(5000, None, None, None, None), (5001, "", "en", "s", 0), (None, None, "en", "s", 3), (1, None, "de", "s", 1), (5002, "a short one", "en", "src1", 11), (5002, "a short one", "en", "src1", 11)]
+    docs = base.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    clash = ["d", "__t", "__hits", "__text", "__score", "__gone", "ids", "e0"]
+    docs = texts.put(docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clash}), "start")
+    names, rows = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.select("doc_id", "text").collect()
+        docs = texts.put(stage(spark, docs, folder), name)
+        assert set(names) <= set(docs.columns)
+        rows[name] = (before, docs.collect())
+        # further columns stay with their rows
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows[name][1] for c in clash if c != "ids")
+    assert len(rows["quality"][1]) > 100
+
+    before, after = rows["near_duplicates"]
+    sets = {(r.doc_id, i): shingles(split(r.text), 5) for i, r in enumerate(before) if r.doc_id is not None}
+    label = components(sets)
+    lowest = {k: min(x[0] for x, l in label.items() if l == label[k]) for k in sets}
+    # rows that repeat a doc_id stay if one of them does
+    stays = {d for (d, i) in sets if not sets[d, i] or lowest[d, i] == d}
+    wanted = [d for d, _ in sets if d in stays]
+    assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(wanted)
+
+    before, after = rows["decontamination"]
+    windows = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        ws = plain_words(r.text)
+        windows.update(tuple(ws[i : i + 13]) for i in range(max(1, len(ws) - 12)) if ws)
+    key = lambda x: (x is not None, x or 0)
+    assert sorted((r.doc_id for r in after), key=key) == sorted((r.doc_id for r in before if not contaminated(r.text, windows)), key=key)
+
+    assert len(rows["personal_data"][1]) == len(rows["decontamination"][1])
+    before, after = rows["token_ids"]
+    assert len(after) == len(before) and all(r.same_text and r.n_pieces == len(r.ids) and bool(r.ids) == bool(r.text) for r in after)
 
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op5_warc", "op9_rules"])
