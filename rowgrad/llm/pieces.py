@@ -65,6 +65,10 @@ class Vocabulary:
         return out
 
 
+# Texts whose words are sorted together: the more, the more prefixes they share.
+SORTED_BYTES = 4 << 20
+
+
 class Encoder:
     """Encodes sorted words, keeping forward states along the current path of the trie."""
 
@@ -220,7 +224,7 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text:
 
         return work
 
-    return over_texts(docs, keep, "ids array<int>, n_pieces bigint", start, text)
+    return over_texts(docs, keep, "ids array<int>, n_pieces bigint", start, text, SORTED_BYTES)
 
 
 def round_trip(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:

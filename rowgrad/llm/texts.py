@@ -82,11 +82,13 @@ def over_texts(
     schema: str,
     start: Callable[[], Callable[[list[bytes | None], pa.RecordBatch], list]],
     text: str = "text",
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """The ``keep`` columns of every row followed by columns computed from its text; rows are neither added nor lost.
 
     ``start()`` runs once in each task and returns a function from the texts (UTF-8 bytes, None for null) and
-    their rows to one list or Arrow array for each column of ``schema``. A text that is kept is sent once.
+    their rows to one list or Arrow array for each column of ``schema``. A text that is kept is sent once; about ``limit`` bytes of texts
+    are worked on together.
     """
     out = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(schema).fields])
     n_keep = len(keep)
@@ -101,7 +103,7 @@ def over_texts(
             hand_back()
             lengths = batch.column(at).cast(pa.binary())
             sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int32, len(lengths) + 1, lengths.offset * 4)) if len(lengths) else np.zeros(0)
-            for lo, hi in slices(sizes):
+            for lo, hi in slices(sizes, limit):
                 part = batch.slice(lo, hi - lo)
                 made = work(lengths.slice(lo, hi - lo).to_pylist(), part)
                 columns = [c.cast(f.type) if isinstance(c, pa.Array) and c.type != f.type else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip([*part.columns[:n_keep], *made], shape, strict=True)]
