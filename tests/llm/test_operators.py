@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -280,3 +281,41 @@ def test_queries_match_their_sql(spark, folder, name):
     want = db.execute(ORACLES[name])
     cols = [c[0] for c in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in QUERIES[name](spark, folder).collect())
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """A word of its own in every document: all of them are counted, dealt and learned; layout changes scores by rounding only."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    ids = [i for i in range(900) if crc32(str(i).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [(i, f"plain words here {'vile' + chr(97 + i % 26) if i % 3 == 0 else 'kind'} only{i}") for i in range(900)])
+    rows = toxicity._labelled(docs, labels)
+    assert sorted(r.id for r in rows.collect()) == ids
+    learned = [i for i in ids if crc32(f"c{i}".encode()) % 4 != 0]
+    shards = toxicity._shards(rows.where("not checks"), 4)
+    sizes = [len(np.frombuffer(r.y, np.int8)) for r in shards.collect()]
+    assert len(sizes) == 4 and sum(sizes) == len(learned)
+    count = toxicity._counted(shards)
+    for i in learned:
+        assert count[int(i % 3 == 0), toxicity.slots(f"only{i}")[0]] >= 1
+    plain = toxicity.slots("plain")[0]
+    assert count[1, plain] == sum(i % 3 == 0 for i in learned) and count[:, plain].sum() == len(learned)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    again = {r.doc_id: r.score for r in toxicity.toxicity(docs.repartition(7), labels.repartition(3)).collect()}
+    assert again.keys() == got.keys() and max(abs(again[i] - got[i]) for i in got) < 1e-6
+    held = [i for i in range(900) if i not in set(ids)]
+    assert np.mean([(got[i] >= 0.3) == (i % 3 == 0) for i in held]) > 0.95
+
+
+def test_toxicity_shards_add_up():
+    net = toxicity.Net()
+    net.const = np.float32(0.5)
+    other = toxicity.Net(3)
+    other.unpack(net.packed())
+    assert (other.packed() == net.packed()).all() and (other.filters[2] == net.filters[2]).all() and other.const == 0.5
+    # grouped counts calibrate and choose like single rows
+    z, y = np.array([-2.0, -1.0, -1.0, 1.0, 1.0, 2.0] * 9), np.array([0, 0, 1, 1, 0, 1] * 9)
+    at = np.unique(z)
+    n, t = np.array([(z == v).sum() for v in at]), np.array([y[z == v].sum() for v in at])
+    assert np.allclose(toxicity.calibrated(at, t, n), toxicity.calibrated(z, y, np.ones(len(z))))
+    assert toxicity.best_threshold(np.array([0.9, 0.6, 0.2]), np.array([8, 4, 1]), np.array([9, 5, 30])) == 0.4
