@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -57,10 +58,16 @@ def version_errors(df: DataFrame, model: ModelSpec, states: DataFrame) -> DataFr
     spark = df.sparkSession
     if not marks:
         return spark.createDataFrame([], "mark long, n long, error double")
+    return errors_of(df, model, [lambda g=g: versions_of(states, model, g) for g in version_groups(marks, model)])
+
+
+def errors_of(df: DataFrame, model: ModelSpec, groups: list[Callable[[], dict[int, list[np.ndarray]]]]) -> DataFrame:
+    """``(mark, n, error)`` of parameter sets by mark over all rows of ``df``, one pass for each group of sets."""
+    spark = df.sparkSession
     source = df.select(model.answer, "features")
 
-    def measured(group: list[int]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(versions_of(states, model, group))
+    def measured(group) -> DataFrame:
+        shared = spark.sparkContext.broadcast(group())
 
         def run(batches):
             sets = shared.value
@@ -76,7 +83,7 @@ def version_errors(df: DataFrame, model: ModelSpec, states: DataFrame) -> DataFr
 
         return source.mapInArrow(run, "mark long, n long, wrong double")
 
-    sums = reduce(DataFrame.unionByName, [measured(g) for g in version_groups(marks, model)])
+    sums = reduce(DataFrame.unionByName, [measured(g) for g in groups])
     return sums.groupBy("mark").agg(F.sum("n").alias("n"), (F.sum("wrong") / F.sum("n")).alias("error"))
 
 

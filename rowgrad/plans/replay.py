@@ -4,6 +4,8 @@ A worker pulls the parameters, works for a while and pushes a gradient, which ar
 A log says when each message was pulled for, sent and received, and which rows its gradient is taken over.  Replaying it needs the version
 of the parameters that each worker held, an as-of join of pulls with arrivals, and a table of versions.  All messages whose versions exist
 already form a wave: their gradients are one job, and one more applies them in order and keeps the versions that later messages need.
+Where all versions that are alive at a time are few megabytes, as bounded by the log, the driver keeps them: it collects a wave's gradients, as large as
+these, and applies them itself, so that a wave is one job; curve points are then measured many in a pass.
 """
 
 from __future__ import annotations
@@ -11,20 +13,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.evaluate import version_errors, version_groups, versions_of
-from ..operators.gradients import gradient_sum
+from ..operators import evaluate
+from ..operators.evaluate import errors_of, version_errors, version_groups, versions_of
+from ..operators.gradients import gradient_partials, gradient_sum
 from ..operators.message_log import apply_numbered
 from ..operators.messages import with_acceptance
 from ..operators.network import ModelSpec
-from ..operators.params import KEYS, Parameters, collect_params, to_table
+from ..operators.params import KEYS, Parameters, chunk_keys, collect_params, tensors_of, to_table
 from ..operators.ranking import row_positions
 from ..session import join_small, materialize, scratch_owner, scratch_path
 from .train import Fit
 
+LOG_ROWS = 4096  # messages whose numbers the driver reads at a time
+
 
 def held_versions(log: DataFrame, max_age_s: float) -> DataFrame:
     """``(message, received, accepted, seq, version)`` of every message ``(message, pulled, time_sent, arrived)``.
@@ -83,8 +89,13 @@ def _replay(rows, log, model, start, max_age_s, eval_df, eval_every) -> Replayed
     held = plan.where("version > 0").select(F.col("version").alias("seq")).distinct().withColumn("is_held", F.lit(True))
     plan = plan.where("accepted").join(held, "seq", "left").select("message", "received", "seq", "version", "is_held", point.alias("point"))
     plan = materialize(plan, "plan", path=f"{folder}/plan")
-    span = max(1, round(plan.agg(F.avg(F.col("seq") - F.col("version"))).first()[0] or 1))
+    late, widest = plan.agg(F.avg(F.col("seq") - F.col("version")), F.max(F.col("seq") - F.col("version"))).first()
+    span = max(1, round(late or 1))
     table_rows = _laid_out(rows, plan, model, span, taken, f"{folder}/rows")
+    # no message holds a version older than that, and no wave is longer: twice as many sets are versions and gradients
+    if 2 * (widest or 1) * model.size_bytes <= evaluate.VERSIONS_BYTES:
+        fit, waves = _held_here(plan, table_rows, span, taken, widest, model, start, eval_df)
+        return Replayed(fit, received, received - taken, waves)
 
     fit, done, waves = Fit(start), 0, 0
     table = to_table(spark, model, start)
@@ -113,24 +124,73 @@ def _replay(rows, log, model, start, max_age_s, eval_df, eval_every) -> Replayed
     return Replayed(fit, received, received - taken, waves)
 
 
-def _laid_out(rows: DataFrame, plan: DataFrame, model: ModelSpec, span: int, taken: int, path: str) -> tuple[str, StructType]:
+def _held_here(plan: DataFrame, table_rows, span: int, taken: int, widest: int, model: ModelSpec, start: Parameters, eval_df: DataFrame | None) -> tuple[Fit, int]:
+    """The fit and its waves where the driver keeps the versions that later messages may hold, ``widest`` at most."""
+    spark = plan.sparkSession
+    fit, params, done, waves = Fit(start), start, 0, 0
+    states, points = {0: start.values}, {}
+    plan = plan.select("seq", "received", "version", "point").persist()
+
+    def measure() -> None:
+        """Points of many waves in one pass over the rows."""
+        if points:
+            for r in errors_of(eval_df, model, [points.copy]).orderBy("mark").collect():
+                fit.record("train", r["mark"], r["error"])
+            points.clear()
+
+    while done < taken:
+        some = sorted(plan.where(F.col("seq").between(done + 1, done + LOG_ROWS)).collect(), key=lambda r: r["seq"])
+        while some:
+            # what doesn't hold an update still to come
+            n = next((i for i, r in enumerate(some) if r["version"] > done), len(some))
+            wave, some = some[:n], some[n:]
+            found = _collected(_rows_of(spark, table_rows, span, done + 1, done + n), model, {v: states[v] for v in {r["version"] for r in wave}})
+            for r in wave:
+                if r["seq"] in found:
+                    params = params.updated(found[r["seq"]], model.optimizer)
+                states[r["seq"]] = params.values
+                if r["point"]:
+                    points[r["received"]] = params.values
+                    if (len(points) + 1) * model.size_bytes > evaluate.VERSIONS_BYTES:
+                        measure()
+            done, waves = done + n, waves + 1
+            states = {upto: v for upto, v in states.items() if upto > done - widest}
+    measure()
+    plan.unpersist()
+    fit.params = params
+    return fit, waves
+
+
+def _collected(rows: DataFrame, model: ModelSpec, held: dict[int, list[np.ndarray]]) -> dict[int, list[np.ndarray]]:
+    """Each message's gradient at the version it held, on the driver; messages without rows have none."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+    # a message's rows are in one folder, so that there are hardly more partial sums than messages
+    got = gradient_partials(rows, model, shared, ["seq"], F.col("weight"), version="version").toArrow()
+    shared.destroy()
+    out, width = {}, len(chunk_keys(model))
+    for at in range(0, got.num_rows, width):
+        part = got.slice(at, width)
+        seq, gradient = part.column("seq")[0].as_py(), tensors_of(part, model, "values")
+        out[seq] = [a + b for a, b in zip(out[seq], gradient)] if seq in out else gradient
+    return out
+
+
+def _laid_out(rows: DataFrame, plan: DataFrame, model: ModelSpec, span: int, taken: int, path: str) -> tuple[str, StructType, set[int]]:
     """The rows of accepted messages with their ``seq`` and ``version``, a folder for every ``span`` messages, so that a wave reads its own rows."""
     data = rows.select("message", "weight", model.answer, "features")
     numbered = join_small(data, plan.select("message", "seq", "version"), "message", rows=taken)
     block = F.floor((F.col("seq") - 1) / span).cast("int")
     out = numbered.drop("message").withColumn("block", block)
     out.repartition("block").write.partitionBy("block").parquet(path)
-    return path, out.drop("block").schema
+    # messages without rows leave gaps
+    there = {r[0] for r in rows.sparkSession.read.schema(out.schema).parquet(path).select("block").distinct().collect()}
+    return path, out.drop("block").schema, there
 
 
-def _rows_of(spark: SparkSession, table: tuple[str, StructType], span: int, first: int, last: int) -> DataFrame:
-    path, schema = table
-    folders = [f"{path}/block={b}" for b in range((first - 1) // span, (last - 1) // span + 1)]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    # messages without rows leave gaps
-    there = [f for f in folders if (p := hadoop.Path(f)).getFileSystem(conf).exists(p)]
-    read = spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+def _rows_of(spark: SparkSession, table: tuple[str, StructType, set[int]], span: int, first: int, last: int) -> DataFrame:
+    path, schema, there = table
+    folders = [f"{path}/block={b}" for b in range((first - 1) // span, (last - 1) // span + 1) if b in there]
+    read = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
     return read.where(F.col("seq").between(first, last))
 
 

@@ -84,6 +84,40 @@ def test_replay_is_what_plain_python_computes(spark, model, monkeypatch):
         np.testing.assert_allclose([p[3] for p in done.fit.curve], [e for _, e in want], rtol=1e-9)
 
 
+def test_a_wave_is_one_job_and_points_are_measured_together(spark, monkeypatch):
+    """Several jobs a wave and a pass over all rows for each wave with a point took too long. Some messages have no rows."""
+    monkeypatch.setattr(replay, "LOG_ROWS", 50)
+    rng = np.random.default_rng(5)
+    model, log, lag = dense_model([3, 2], optimizer=Adam(lr=0.05)), log_of(120, 4), 50
+    x, message = rng.normal(size=(360, 3)), np.arange(360) // 3
+    gone = {r[0] for r in held(log, lag) if r[3] in (3, 20)}
+    kept = [i for i in range(360) if message[i] not in gone]
+    label, start = rng.integers(0, 2, 360), Parameters.fresh([rng.normal(size=s) for _, _, s in model.tensors()], model.optimizer)
+    rows = spark.createDataFrame([(int(message[i]), 0.5, int(label[i]), x[i].tolist()) for i in kept], "message long, weight double, label int, features array<double>")
+    rows = rows.repartition(4).cache()
+
+    versions, points = [start], []
+    for m, received, ok, _, version in held(log, lag):
+        if ok:
+            mine = np.flatnonzero(message == m)
+            _, factors = network.row_factors(model, versions[version].values, x[mine], label[mine])
+            after = versions[-1].updated(network.weighted_gradient(factors, slice(None), np.full(3, 0.5)), model.optimizer)
+            versions.append(versions[-1] if m in gone else after)
+            if received % 10 == 0:
+                points.append((received, float(((x[kept] @ versions[-1].values[0] + versions[-1].values[1]).argmax(1) != label[kept]).mean())))
+    spark.sparkContext.setJobGroup("replay-jobs", "one replay")
+    try:
+        done = replay.replay(rows, frame(spark, log), model, start, lag, eval_df=rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("replay-jobs"))
+    for a, b in zip(done.fit.params.values, versions[-1].values):
+        np.testing.assert_allclose(a, b, rtol=1e-8, atol=1e-10)
+    assert [p[2] for p in done.fit.curve] == [r for r, _ in points] and len(points) > 4
+    np.testing.assert_allclose([p[3] for p in done.fit.curve], [e for _, e in points], rtol=1e-9)
+    assert done.waves > 12 and jobs < 60 + done.waves, (jobs, done.waves)
+
+
 def test_nothing_accepted_leaves_the_start(spark):
     model = dense_model([1, 2])
     start = Parameters.fresh([np.ones((1, 2)), np.zeros(2)], model.optimizer)
