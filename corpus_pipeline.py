@@ -7,7 +7,8 @@ next, so that a lost executor or a failed stage repeats that stage alone.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from rowgrad.llm.texts import free, put
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BASE = ("doc_id", "text", "lang", "source", "n_chars")
 EXTRA = "corpus_pipeline_extra"
+# What Spark hands to a Python worker at a time. Its own limit is a number of rows, whatever their texts take, on both sides of the pipe.
+BATCH_BYTES = 2 << 20
 
 
 def _apart(stage: Stage) -> Stage:
@@ -93,12 +96,28 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, batches of rows for Python workers take about ``BATCH_BYTES``; a setting of the session's own comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over documents."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        docs = put(stage(spark, docs, sf_dir), f"stage-{name}")
-        if before is not None:
-            free(before)
-        before = docs
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = put(stage(spark, docs, sf_dir), f"stage-{name}")
+            if before is not None:
+                free(before)
+            before = docs
     return docs

@@ -6,6 +6,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowgrad.llm import cotraining, decontaminate, linking, paragraphs, pieces, rules, sanitise, setjoin, substrings, texts, toxicity, warc
@@ -269,6 +270,30 @@ def test_pipeline(spark, folder):
     assert len(after) == len(before) and all(r.same_text and r.n_pieces == len(r.ids) and bool(r.ids) == bool(r.text) for r in after)
 
 
+def test_pipeline_hands_workers_small_batches(spark, folder, monkeypatch):
+    """Ten thousand rows, Spark's own limit, would be one batch of 40 MB."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    def sizes(spark, docs, folder):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+        rows = docs.sparkSession.range(0, 10_000, 1, 1).select(F.repeat(F.lit("word "), 800).alias("text"))
+        return rows.mapInArrow(run, "n long, bytes long")
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes)])
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r.n for r in got) == 10_000 and max(r.bytes for r in got) < 2 * corpus_pipeline.BATCH_BYTES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("broken", lambda *_: 1 / 0)])
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, folder)
+    assert spark.conf.get(name, None) == before
+
+
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op5_warc", "op9_rules"])
 def test_queries_match_their_sql(spark, folder, name):
     import duckdb
