@@ -20,17 +20,18 @@ SKETCH = ["s0", "s1", "s2", "s3"]
 # Of 256 one-bit hashes, sets of similarity 0.8 differ in 25.6 on average (standard deviation 4.8); 50 is five deviations more.
 MAX_DIFFERENT = 50
 PIVOTS, PROBES, TRIES = 4, 16, 4
+# Members of nodes with more of them are compared by their sets inside the join, after at most so many rounds of giving them hubs.
+CROWD, HUB_ROUNDS = 64, 4
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id of ``edges`` (id, other) reaches, by alternating star contraction.
 
     Each round links every vertex's larger, then its smaller neighbours to its smallest one, and halves the
-    depth of trees; a vertex's neighbours are aggregated before they are shuffled and never gathered in one row.
+    depth of trees; a vertex's neighbours are aggregated before they are shuffled and never gathered in one row. It ends when there are stars only.
     """
     edges = edges.where("id is not null and other is not null and id <> other")
     kept = put(edges.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "edges")
-    seen = None
     while True:
         both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -43,10 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         kept = put(small, "small")
         free(large)
-        state = tuple(kept.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        if state == seen:
-            return kept.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("id"), F.col("m").alias("label")).unionByName(kept.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
-        seen = state
+        ends = kept.select(F.col("a").alias("id"), F.lit(0).alias("below")).unionByName(kept.select(F.col("b").alias("id"), F.lit(1).alias("below")))
+        # a star's leaf is below its centre and nowhere else
+        if not ends.groupBy("id").agg(F.sum("below").alias("below"), F.count("*").alias("n")).where("below > 0 and n > 1").count():
+            return kept.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(kept.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
 
 
 def alike(a: str, b: str) -> str:
@@ -82,8 +83,8 @@ def _different(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in SKETCH)
 
 
-def _hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, n, s0..s3, c): for each id the nearest node centre that may be similar; c has far, id, n and the sketch. And (id, label): families, all that hangs together by such centres.
+def _near(members: DataFrame) -> DataFrame:
+    """(id, n, s0..s3, c), written: each id with the centres of its nodes that may be similar; c has far, id, n and the sketch.
 
     A node's centre is the member nearest to a few of its members together: in a family of copies the text that they were made from.
     """
@@ -92,10 +93,29 @@ def _hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     centres = members.join(pivots, "node").withColumn("far", far).groupBy("node").agg(F.min(F.struct("far", "id", "n", *SKETCH)).alias("c"))
     star = members.join(centres, "node").where("id <> c.id").where(alike("m", "c").replace("m.", ""))
     near = F.struct(F.expr(_different("", "c.")).alias("far"), "c.id", "c.n", *[f"c.{x}" for x in SKETCH])
-    all_near = put(star.withColumn("__c", F.col("c.id")).groupBy("id", "__c").agg(F.first("n").alias("n"), *[F.first(x).alias(x) for x in SKETCH], F.min(near).alias("c")).select("id", "n", *SKETCH, "c"), "near")
+    return put(star.withColumn("__c", F.col("c.id")).groupBy("id", "__c").agg(F.first("n").alias("n"), *[F.first(x).alias(x) for x in SKETCH], F.min(near).alias("c")).select("id", "n", *SKETCH, "c"), "near")
+
+
+def _hubs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, s0..s3, c): for each id the nearest node centre that may be similar. And (id, label): families, all that hangs together by such centres.
+
+    A crowd that its node's centre doesn't resemble gets a centre of its own in the next round.
+    """
+    made = [_near(members)]
+    all_near = made[0]
+    while len(made) < HUB_ROUNDS:
+        placed = all_near.select("id").union(all_near.select("c.id")).distinct()
+        left = members.join(placed, "id", "left_anti")
+        left = put(left.join(left.groupBy("node").count().where(F.col("count") > CROWD).select("node"), "node", "left_semi"), "left")
+        more = _near(left) if left.count() else None
+        free(left)
+        if more is None:
+            break
+        made.append(more)
+        all_near = all_near.unionByName(more)
     star = put(all_near.groupBy("id").agg(F.first("n").alias("n"), *[F.first(x).alias(x) for x in SKETCH], F.min("c").alias("c")), "star")
     kin = put(components(all_near.select("id", F.col("c.id").alias("other"))), "kin")
-    free(all_near)
+    free(*made)
     return star, kin
 
 
@@ -155,19 +175,27 @@ def link(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     same_hub = x.join(y, F.expr(f"x.hub = y.hub and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')} and 100 * least(x.common, y.common) + 100 * least(size(x.extra), size(y.extra)) >= 80 * (x.n + y.n - least(x.common, y.common) - least(size(x.extra), size(y.extra))) and 100 * {shared} >= 80 * (x.n + y.n - {shared})"))
 
     # members of a node that have different hubs or none
-    known = tested.select("id", "hub").join(sizes, "id", "full")
-    told = members.join(known, "id", "left").select("node", "id", "n", *SKETCH, "hub", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = tested.select("id", "hub").join(sizes, "id", "full")
+    told = members.join(placed, "id", "left").select("node", "id", "n", *SKETCH, "hub", F.coalesce("label", "id").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     told = put(told, "told")
-    mixed = told.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("c")).where("lo <> hi").select("node", F.col("c.label").alias("main"))
-    both = told.join(mixed, "node")
-    x, y = both.where("label <> main").alias("x"), both.alias("y")
-    apart = x.join(y, F.expr(f"x.node = y.node and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')} and not coalesce(x.hub = y.hub, false) and not coalesce(x.hub = y.id, false) and not coalesce(y.hub = x.id, false)"))
-    pairs = [j.selectExpr("least(x.id, y.id) as id", "greatest(x.id, y.id) as other") for j in (same_hub, apart)]
-    rest = put(pairs[0].union(pairs[1]).distinct(), "rest")
-    wanted = rest.select("id").union(rest.select("other")).distinct().join(sets.select("id"), "id", "left_anti")
+    mixed = told.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("size", "label")).alias("c"), F.count("*").alias("among"), F.expr("count(hub) < count(*) or min(hub) <> max(hub)").alias("hubs"))
+    both = told.join(mixed.where("lo <> hi and hubs").select("node", F.col("c.label").alias("main"), "among"), "node")
+    differ = f"x.node = y.node and x.label <> y.label and (y.label = y.main or x.id < y.id) and {alike('x', 'y')} and not coalesce(x.hub = y.hub, false) and not coalesce(x.hub = y.id, false) and not coalesce(y.hub = x.id, false)"
+    few = both.where(F.col("among") <= CROWD)
+    apart = few.where("label <> main").alias("x").join(few.alias("y"), F.expr(differ))
+    # in crowded nodes the pairs that may be similar grow with the square of the crowd, those that are don't
+    crowd = put(both.where(F.col("among") > CROWD).drop("among", "size"), "crowd")
+    theirs = _once(sets_of(crowd.select("id").distinct().join(sets.select("id"), "id", "left_anti")))
+    known = sets.unionByName(theirs)
+    common = "size(array_intersect(x.set, y.set))"
+    crowd_sets = crowd.join(known, "id")
+    in_crowd = crowd_sets.where("label <> main").alias("x").join(crowd_sets.alias("y"), F.expr(f"{differ} and 100 * {common} >= 80 * (x.n + y.n - {common})"))
+    pairs = [j.selectExpr("least(x.id, y.id) as id", "greatest(x.id, y.id) as other") for j in (same_hub, apart, in_crowd)]
+    rest = put(pairs[0].union(pairs[1]).union(pairs[2]).distinct(), "rest")
+    wanted = rest.select("id").union(rest.select("other")).distinct().join(known.select("id"), "id", "left_anti")
     more = _once(sets_of(wanted))
-    also = confirmed(rest, sets.unionByName(more))
-    free(sets, tried, sizes, family, told, rest, more)
+    also = confirmed(rest, known.unionByName(more))
+    free(sets, tried, sizes, family, told, crowd, theirs, rest, more)
     out = put(components(sure.unionByName(also)), "components")
     free(sure, also)
     return out

@@ -11,11 +11,10 @@ wherever it stands; runs whose smallest one is shared are compared by 128 bits o
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowgrad.llm.linking import SKETCH, link
@@ -38,42 +37,55 @@ def tuned(recall: float = RECALL, stray: float = STRAY, similarity: float = 0.8,
     raise ValueError("no banding meets both rates")
 
 
-def _marks(words: list[list[bytes]], hashed: Remembered) -> tuple[np.ndarray, ...]:
-    """For paragraphs of at least SHINGLE words: size of the shingle set, its digest, band values and sketch, a row each.
+def _word_hashes(texts: pa.Array, hashed: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (as of ``split_words``) of all ``texts`` in a row, and how many each text has; a word is looked up once."""
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty ones
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    coded = words.filter(full).dictionary_encode()
+    known = np.fromiter(map(hashed.__getitem__, coded.dictionary.view(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return known[coded.indices.to_numpy()], np.diff(upto[split.offsets.to_numpy()])
+
+
+def _marks(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For paragraphs of ``sizes`` words each, at least SHINGLE, whose hashes ``h`` has: size of the shingle set, its digest, band values and sketch, a row each.
 
     All paragraphs of a slice are worked on together; the values are those of ``shingle_set``, ``minhashes`` and ``sketch``.
     """
     from hashlib import md5
 
     bands, rows = tuned()
-    h = np.fromiter(map(hashed.__getitem__, chain.from_iterable(words)), np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
     made = np.full(len(h) - SHINGLE + 1, np.uint64(SHINGLE))
     for i in range(SHINGLE):
         made = mix(made, h[i : len(h) - SHINGLE + 1 + i])
-    of = np.repeat(np.arange(len(words)), sizes)[: len(made)]
+    of = np.repeat(np.arange(len(sizes)), sizes)[: len(made)]
     last = np.cumsum(sizes) - SHINGLE
     inside = np.flatnonzero(np.arange(len(made)) <= last[of])
     made, of = made[inside], of[inside]
-    order = np.lexsort((made, of))
-    made, of = made[order], of[order]
+    lo = 0
+    for hi in np.cumsum(sizes - SHINGLE + 1).tolist():
+        made[lo:hi].sort()
+        lo = hi
     new = np.ones(len(made), bool)
     new[1:] = (made[1:] != made[:-1]) | (of[1:] != of[:-1])
     made, of = made[new], of[new]
-    n = np.bincount(of, minlength=len(words))
+    n = np.bincount(of, minlength=len(sizes))
     starts = np.cumsum(n) - n
     whole = made.tobytes()
     keys = [md5(whole[8 * lo : 8 * hi]).digest() for lo, hi in zip(starts.tolist(), (starts + n).tolist(), strict=True)]
     factors, terms = hash_functions()
     x = (made ^ (made >> np.uint64(32))).astype(np.uint32)
-    values = np.empty((len(words), len(factors)), np.uint32)
+    values = np.empty((len(sizes), len(factors)), np.uint32)
     step = max(1, HASH_CELLS // len(x))
     for lo in range(0, len(factors), step):
         v = factors[lo : lo + step] * x
         v += terms[lo : lo + step]
         values[:, lo : lo + step] = np.minimum.reduceat(v, starts, axis=1).T
-    grid = values[:, : bands * rows].reshape(len(words), bands, rows).astype(np.uint64)
-    band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(words), bands))
+    grid = values[:, : bands * rows].reshape(len(sizes), bands, rows).astype(np.uint64)
+    band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sizes), bands))
     for k in range(rows):
         band = mix(band, grid[:, :, k])
     bits = ((values * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
@@ -84,23 +96,23 @@ def _signed(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, pos, key, n, bands, s0..s3) for each paragraph of at least MIN_WORDS words."""
 
     def start():
+        import pyarrow.compute as pc
+
         hashed = Remembered(hash_word)
         shape = pa.struct([("pos", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
 
         def work(texts, part):
-            words, places, ends = [], [], [0]
-            for text in texts:
-                for pos, line in enumerate((text or b"").split(b"\n")):
-                    some = split_words(line)
-                    if len(some) >= MIN_WORDS:
-                        words.append(some)
-                        places.append(pos)
-                ends.append(len(words))
-            if not words:
-                return [pa.array([[]] * len(texts), pa.list_(shape))]
-            n, keys, band, bits = _marks(words, hashed)
+            lines = pc.split_pattern(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string()), "\n")
+            h, sizes = _word_hashes(lines.flatten().view(pa.binary()), hashed)
             hashed.trim()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * band.shape[1]), pa.array(np.ascontiguousarray(band).reshape(-1)))
+            some = sizes >= MIN_WORDS
+            upto = lines.offsets.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(some)])[upto]
+            if not some.any():
+                return [pa.array([[]] * len(texts), pa.list_(shape))]
+            places = (np.arange(len(sizes)) - np.repeat(upto[:-1], np.diff(upto)))[some]
+            n, keys, band, bits = _marks(h[np.repeat(some, sizes)], sizes[some])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * band.shape[1]), pa.array(np.ascontiguousarray(band).reshape(-1)))
             columns = [pa.array(places, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), lists, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]]
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(shape)))]
 
@@ -146,10 +158,10 @@ def removals(docs: DataFrame) -> DataFrame:
     signed = put(_signed(docs), "paragraphs")
     fields = F.struct("doc_id", "mark", "pos", "n", "bands", *SKETCH)
     reps = put(signed.groupBy("key").agg(F.min_by(fields, F.struct(F.coalesce("doc_id", F.lit(1 << 62)), "pos", "mark")).alias("r")).select("key", "r.*"), "reps")
-    # no broadcast of what collides, which grows with the table: small and large ones are joined alike
-    members = reps.select(F.col("key").alias("id"), "n", *SKETCH, F.explode("bands").alias("node"))
-    shared = put(members.groupBy("node").count().where("count > 1").select("node"), "shared")
-    members = put(members.join(shared, "node", "left_semi").select("node", "id", "n", *SKETCH), "members")
+    # bands move with 64 bits of the key, once; what belongs to a paragraph joins those few that collide
+    short = F.xxhash64("key").alias("short")
+    together = reps.select(short, F.explode("bands").alias("node")).withColumn("among", F.count("*").over(Window.partitionBy("node"))).where("among > 1")
+    members = put(together.join(reps.select(short, F.col("key").alias("id"), "n", *SKETCH), "short").select("node", "id", "n", *SKETCH), "members")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return _full_sets(docs, reps.join(ids, reps.key == ids.id).select("doc_id", "mark", "pos"))
@@ -164,7 +176,7 @@ def removals(docs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.when(place != F.col("first"), F.col("pos")))).alias("removed"), F.count_distinct(F.when(F.col("wide"), F.col("pos"))).alias("lines")
     )
     out = put(gone, "removed")
-    free(signed, reps, shared, members, labels, told)
+    free(signed, reps, members, labels, told)
     return out
 
 
@@ -205,24 +217,23 @@ def _passages(docs: DataFrame) -> DataFrame:
     ``docs`` has d, m (which tell documents apart) and text; of equal rows one counts.
     """
 
-    def hashes(text, hashed):
-        words = split_words(text)
-        return np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words)) if len(words) >= PASSAGE else None
+    def hashes(texts, hashed):
+        h, sizes = _word_hashes(pa.array([t or b"" for t in texts], pa.binary()), hashed)
+        hashed.trim()
+        return np.split(h, np.cumsum(sizes)[:-1])
 
     def anchors():
         hashed = Remembered(hash_word)
 
         def work(texts, part):
             out = []
-            for text in texts:
-                h = hashes(text, hashed)
-                if h is None:
+            for h in hashes(texts, hashed):
+                if len(h) < PASSAGE:
                     out.append(None)
                     continue
                 runs = _runs(h)
                 at = _smallest(runs)  # ascending
                 out.append(runs[at[np.append(True, at[1:] != at[:-1])]].view(np.int64))
-                hashed.trim()
             return [pa.array(out, pa.list_(pa.int64()))]
 
         return work
@@ -231,16 +242,15 @@ def _passages(docs: DataFrame) -> DataFrame:
         hashed = Remembered(hash_word)
 
         def work(texts, part):
-            out = []
-            for text, at in zip(texts, part.column(2).to_pylist(), strict=True):
-                h = hashes(text, hashed)
+            out, ends = [], [0]
+            for h, at in zip(hashes(texts, hashed), part.column(2).to_pylist(), strict=True):
                 runs = _runs(h)
                 found = np.flatnonzero(np.isin(runs[_smallest(runs)], np.array(at, np.int64).view(np.uint64)))
                 other = _runs(mix(h, h ^ np.uint64(PASSAGE)))
-                a, b = (mix(r[found], r[found + RUN]).view(np.int64).tolist() for r in (runs, other))
-                out.append([{"a": x, "b": y, "p": p} for x, y, p in zip(a, b, found.tolist(), strict=True)])
-                hashed.trim()
-            return [pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("p", pa.int32())])))]
+                out.append([*(mix(r[found], r[found + RUN]).view(np.int64) for r in (runs, other)), found.astype(np.int32)])
+                ends.append(ends[-1] + len(found))
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["a", "b", "p"]))]
 
         return work
 
@@ -249,12 +259,10 @@ def _passages(docs: DataFrame) -> DataFrame:
 
         def work(texts, part):
             out = []
-            for text, at in zip(texts, part.column(2).to_pylist(), strict=True):
+            for text, lo, hi in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 ends = np.array([m.span() for m in re.finditer(rb"[^ \t-\r]+", text)])
                 points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                at = np.sort(np.array(at))
-                cut = np.flatnonzero(np.diff(at) > PASSAGE) + 1
-                lo, hi = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [-1]])] + PASSAGE - 1
+                hi = np.array(hi) + PASSAGE - 1
                 out.append([{"s": s, "e": e} for s, e in zip(points[ends[lo, 0]].tolist(), points[ends[hi, 1]].tolist(), strict=True)])
             return [pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]
 
@@ -273,10 +281,12 @@ def _passages(docs: DataFrame) -> DataFrame:
     first = put(first.select("a", "b", "first", "wide"), "first")
     again = found.join(first, ["a", "b"]).groupBy("d", "m")
     again = put(again.agg(F.collect_set(F.when(place != F.col("first"), F.col("p"))).alias("at"), F.count_if("wide").alias("runs")), "again")
-    later = again.where("size(at) > 0").select("d", "m", "at")
-    n, spread = later.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
-    some = docs.join(hinted(later, n * 64 + spread * 8, 1), ["d", "m"])
-    spans = over_texts(some, ["d", "m", "at"], "spans array<struct<s:int, e:int>>", places).select("d", "m", "spans").dropDuplicates(["d", "m"])
+    # of neighbouring places the first and the last
+    later = again.where("size(at) > 0").select("d", "m", F.sort_array("at").alias("at"))
+    later = later.selectExpr("d", "m", f"filter(at, (x, i) -> i = 0 or x - at[i - 1] > {PASSAGE}) as lo", f"filter(at, (x, i) -> i = size(at) - 1 or at[i + 1] - x > {PASSAGE}) as hi")
+    n, spread = later.agg(F.count("*"), F.coalesce(F.sum(F.size("lo")), F.lit(0))).first()
+    some = docs.join(hinted(later, n * 80 + spread * 16, 1), ["d", "m"])
+    spans = over_texts(some, ["d", "m", "lo", "hi"], "spans array<struct<s:int, e:int>>", places).select("d", "m", "spans").dropDuplicates(["d", "m"])
     out = put(again.select("d", "m", "runs").join(spans, ["d", "m"], "left"), "passages")
     free(mins, shared, asked, found, first, again)
     return out
